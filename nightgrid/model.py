@@ -170,6 +170,12 @@ def group_column(channel: Column) -> Column:
     return channel_map({c: g for g, cs in GROUP_CHANNELS.items() for c in cs}, channel)
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A few constant rows as a local relation of the plan."""
+    values = ", ".join("(" + ", ".join(_literal(x) for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def channel_dimension(spark: SparkSession) -> DataFrame:
     """Fifteen fixed rows: order, kind, storage group, applicable rules and output unit."""
     rows = [
@@ -177,8 +183,7 @@ def channel_dimension(spark: SparkSession) -> DataFrame:
          APPLICABLE_MASK[channel_kind(c)], "%" if c == "spo2" else "uV")
         for i, c in enumerate(CHANNELS)
     ]
-    return spark.createDataFrame(
-        rows, "channel_idx int, channel string, kind string, grp string, applicable int, unit string")
+    return inline_table(spark, rows, ("channel_idx", "channel", "kind", "grp", "applicable", "unit"))
 
 
 def enum_dimension(spark: SparkSession) -> DataFrame:
@@ -195,7 +200,7 @@ def enum_dimension(spark: SparkSession) -> DataFrame:
         "coverage_detection": {v: k for k, v in COVERAGE_DETECTION.items()},
     }
     rows = [(name, code, label) for name, t in tables.items() for code, label in t.items()]
-    return spark.createDataFrame(rows, "enum string, code int, label string")
+    return inline_table(spark, rows, ("enum", "code", "label"))
 
 
 CHANNEL_HEADER_SCHEMA = (

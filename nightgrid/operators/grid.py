@@ -24,11 +24,11 @@ def explode_range(df: DataFrame, stop: Column, name: str, start: Column | None =
     first = (F.lit(0) if start is None else start).cast("bigint")
     last = stop.cast("bigint")
     blocks = F.when(last > first, F.sequence(first, last - 1, F.lit(_STEP).cast("bigint")))
-    rows = (df.withColumn("_stop", last).withColumn("_block", F.explode(blocks))
-            .repartition(tasks, F.xxhash64("_block", *df.columns)))
-    return (rows.withColumn(name, F.explode(F.sequence(
-        F.col("_block"), F.least(F.col("_block") + F.lit(_STEP), F.col("_stop")) - 1)))
-        .drop("_block", "_stop"))
+    rows = (df.withColumn("_range_stop", last).withColumn("_range_from", F.explode(blocks))
+            .repartition(tasks, F.xxhash64("_range_from", *df.columns)))
+    until = F.least(F.col("_range_from") + F.lit(_STEP), F.col("_range_stop")) - 1
+    return (rows.withColumn(name, F.explode(F.sequence(F.col("_range_from"), until)))
+            .drop("_range_from", "_range_stop"))
 
 
 def epoch_count(duration: Column, epoch_seconds: float = 30.0) -> Column:

@@ -136,7 +136,7 @@ def night_grade(hours: DataFrame) -> DataFrame:
 def _rule_rows(spark: SparkSession) -> DataFrame:
     rows = [(c, code, m.HARD_CODES[code], bool(m.APPLICABLE_MASK[m.channel_kind(c)] >> (code - 1) & 1))
             for c in m.CHANNELS for code in range(1, 8)]
-    return spark.createDataFrame(rows, "channel string, code int, name string, applicable boolean")
+    return m.inline_table(spark, rows, ("channel", "code", "name", "applicable"))
 
 
 def rule_summary(qc: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -230,14 +230,14 @@ def p19(t):
 
 
 _BAND = """band AS (SELECT st.*, kind, CASE WHEN prefilter LIKE 'HP:0.300%' THEN 0.3::DOUBLE WHEN prefilter LIKE 'HP:0.53%' THEN 0.53::DOUBLE
-   WHEN prefilter LIKE 'hp 10%' THEN 10::DOUBLE END AS hp, CASE WHEN prefilter LIKE '%LP:35%' THEN 35::DOUBLE WHEN prefilter LIKE 'hp 10%' THEN 100::DOUBLE END AS lp,
+   WHEN prefilter LIKE 'hp 10%' THEN 10::DOUBLE WHEN prefilter LIKE 'HP:0Hz%' THEN 0::DOUBLE END AS hp, CASE WHEN prefilter LIKE '%LP:35%' THEN 35::DOUBLE WHEN prefilter LIKE 'hp 10%' THEN 100::DOUBLE WHEN prefilter LIKE 'HP:0Hz%' THEN 0::DOUBLE END AS lp,
    CASE kind WHEN 'eeg' THEN 0.3::DOUBLE WHEN 'eog' THEN 0.3::DOUBLE WHEN 'ecg' THEN 0.3::DOUBLE WHEN 'emg' THEN 10::DOUBLE WHEN 'airflow' THEN 0.159::DOUBLE WHEN 'snore' THEN 10::DOUBLE END AS tl,
    CASE kind WHEN 'eeg' THEN 35::DOUBLE WHEN 'eog' THEN 35::DOUBLE WHEN 'ecg' THEN 70::DOUBLE WHEN 'emg' THEN 100::DOUBLE WHEN 'airflow' THEN 15::DOUBLE WHEN 'snore' THEN 100::DOUBLE END AS th
   FROM st JOIN """ + _NAMES + """ USING (channel))"""
 
 
 @query("P20_filter_relation", CTE + ", " + _BAND + """SELECT recording_id, channel, CASE WHEN status <> 0 THEN 0 WHEN channel = 'spo2' THEN 6
-  WHEN hp IS NULL THEN 5 WHEN (hp > tl OR lp < th) AND (hp < tl OR lp > th) THEN 4 WHEN hp > tl OR lp < th THEN 3
+  WHEN hp IS NULL OR hp + lp = 0 THEN 5 WHEN (hp > tl OR lp < th) AND (hp < tl OR lp > th) THEN 4 WHEN hp > tl OR lp < th THEN 3
   WHEN hp < tl OR lp > th THEN 2 ELSE 1 END AS filter_relation FROM band""")
 def p20(t):
     return processed(t).select("recording_id", "channel", "filter_relation")
