@@ -91,7 +91,7 @@ def s5(t):
         "p_partkey", F.when(F.col("p_size") % 10 == 0, "  ").otherwise(F.col("p_name")).alias("name"), F.col("p_type").alias("type"),
         F.lit(" uV").alias("units"), F.col("p_size").cast("string").alias("sampling_frequency"),
         F.when(F.col("p_size") % 3 > 0, (F.col("p_size") / 2).cast("string")).otherwise("n/a").alias("lowcutoff"), F.lit("inf").alias("high_cutoff"))
-    rows.write.option("header", True).option("sep", "\t").option("ignoreLeadingWhiteSpace", False).csv(path)
+    rows.write.option("header", True).option("sep", "\t").option("emptyValue", "").csv(path)
     back = files.read_channels_tsv(t.spark, path)
     return back.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "raw_channel", "channel_type", "fs_hz", "hp_hz", "lp_hz", "filter_parse_ok", "prefilter_raw")
 
@@ -299,10 +299,11 @@ def a13(t):
     return _rounded(inv.quantile_table(sessions(t), {"metadata": "metadata_duration_seconds", "h5": "h5_duration_seconds", "edf": "edf_duration_seconds"}, 3600.0), "source")
 
 
-@query("A13_event_value_quantiles", f"SELECT user_id, count(v) AS count, round(avg(v), 6) AS mean, {_QP} FROM (SELECT user_id, value AS v FROM events) GROUP BY 1")
+@query("A13_event_value_quantiles", f"SELECT user_id, count(v) AS count, round(avg(v), 10) AS mean, {_QP} FROM (SELECT user_id, value AS v FROM events) GROUP BY 1")
 def a13b(t):
     from nightgrid.operators.scan import exact_quantiles
-    return _rounded(exact_quantiles(t.events, ["user_id"], F.col("value"), inv.QUANTILE_POINTS), "user_id")
+    q = exact_quantiles(t.events, ["user_id"], F.col("value"), inv.QUANTILE_POINTS)
+    return _rounded(q, "user_id").drop("mean").join(q.select("user_id", F.round("mean", 10).alias("mean")), "user_id")
 
 
 @query("A14_sessions_per_patient", CTE + "SELECT sessions, count(*) AS patients, 100 * count(*) / sum(count(*)) OVER ()::DOUBLE AS percent FROM (SELECT patient_id, count(*) AS sessions FROM ses GROUP BY 1) GROUP BY 1")
@@ -474,7 +475,7 @@ def a32b(t):
     return inv.mismatch_by_field(inv.h5_tsv_issues(channels(t)), total(t), ["H5_TSV_METADATA_MISMATCH"])
 
 
-@query("A33_missing_edf_channels", CTE + f", i AS ({_J5}) SELECT names.channel, any_value(p.n) AS present, 100 * any_value(p.n) / any_value(total)::DOUBLE AS percent, count(i.code) AS missing, 100 * count(i.code) / any_value(total)::DOUBLE AS missing_percent FROM names CROSS JOIN tot"
+@query("A33_missing_edf_channels", CTE + f", i AS ({_J5}) SELECT names.channel, any_value(p.n) AS present, count(i.code) AS missing, 100 * count(i.code) / any_value(total)::DOUBLE AS missing_percent FROM names CROSS JOIN tot"
        " LEFT JOIN (SELECT names.channel, count(DISTINCT session_key) AS n FROM names LEFT JOIN sel ON sel.channel = names.channel AND sel.source = 'edf' GROUP BY 1) p ON p.channel = names.channel LEFT JOIN i ON i.channel = names.channel AND i.code = 'EDF_SELECTED_CHANNEL_MISSING' GROUP BY 1")
 def a33(t):
     ch = channels(t)

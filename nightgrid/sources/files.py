@@ -91,11 +91,12 @@ def read_channel_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(m.CHANNEL_HEADER_SCHEMA).parquet(path)
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*.h5") -> DataFrame:
+def list_files(spark: SparkSession, root: str, pattern: str = "*.h5",
+               layout: str = r"/(sub-[^/]+)/(ses-[^/]+)/eeg/[^/]+$") -> DataFrame:
     """Recording files below sub-*/ses-*/eeg with their keys; only the listing is read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", pattern).load(root).select("path", "length"))
-    part = lambda i: F.regexp_extract("path", r"/(sub-[^/]+)/(ses-[^/]+)/eeg/[^/]+$", i)
+    part = lambda i: F.regexp_extract("path", layout, i)
     return (files.withColumn("subject_id", part(1)).withColumn("session_id", part(2))
             .where(F.col("subject_id") != "")
             .withColumn("session_key", F.concat_ws("/", "subject_id", "session_id")))
