@@ -136,10 +136,20 @@ def exact_once_batches(windows: DataFrame, batch_size: int, seed: int, epoch_pas
 
 def fixed_subset(windows: DataFrame, size: int, seed: int, split: str = "split",
                  order: str = "window_index") -> DataFrame:
-    """Uniform sample without replacement per split, the same on every run."""
+    """Uniform sample without replacement per split, the same on every run.
+
+    The sample is the ``size`` smallest hashes. Counting rows per leading hash digits shows
+    which digits can hold them, so only about ``size`` rows of a split are ever ordered.
+    """
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string")), 256)
-    w = Window.partitionBy(split).orderBy(digest, order)
-    return windows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size).drop("_k")
+    rows = windows.withColumn("_h", digest).withColumn("_d", F.substring("_h", 1, 4))
+    counts = rows.groupBy(split, "_d").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(split).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    last = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            .where(F.col("_before") < size).groupBy(split).agg(F.max("_d").alias("_last")))
+    near = rows.join(last, split).where(F.col("_d") <= F.col("_last"))
+    w = Window.partitionBy(split).orderBy("_h", order)
+    return near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size).drop("_k", "_h", "_d", "_last")
 
 
 def pad_batches(samples: DataFrame, epochs: DataFrame, batch: str = "batch_no", slot: str = "slot",

@@ -63,6 +63,18 @@ def selected(channels: DataFrame) -> DataFrame:
     return channels.where(F.col("selected_for_model") & (F.col("canonical_channel") != ""))
 
 
+def preferred(channels: DataFrame, order: str = "channel_no", key: str = "session_key") -> DataFrame:
+    """Only the rows :func:`select_preferred` would flag, with one aggregation and no join.
+
+    Most reports read nothing else, so this is what they should be given.
+    """
+    keys = [key, "source", "canonical_channel"]
+    place = F.struct(h.alias_rank(F.col("normalised_channel")).alias("rank"), "normalised_channel", order)
+    rest = [c for c in channels.columns if c not in keys]
+    best = channels.where(F.col("canonical_channel") != "").groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_r"))
+    return best.select(*keys, "_r.*").withColumn("selected_for_model", F.lit(True))
+
+
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest order per key, by aggregation."""
     rest = [c for c in df.columns if c not in keys]
@@ -146,43 +158,66 @@ def channel_bit(expected: Sequence[str] = m.CHANNELS) -> Column:
     return F.coalesce(m.channel_map({c: 1 << i for i, c in enumerate(expected)}, F.col("canonical_channel")), F.lit(0))
 
 
-def _paired(channels: DataFrame, left: str, right: str, fields: Sequence[str]) -> DataFrame:
-    keep = ["session_key", "canonical_channel"]
-    sel = selected(channels)
-    a = sel.where(F.col("source") == left).select(*keep, *[F.col(f).alias(f"l_{f}") for f in fields])
-    b = sel.where(F.col("source") == right).select(*keep, *[F.col(f).alias(f"r_{f}") for f in fields])
-    return a.join(b, keep)
+def _by_source(channels: DataFrame, sources: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One row per (session, channel) with a struct per source.
+
+    A source has at most one selected row per key, so a maximum picks it: one shuffle
+    serves every comparison, where joining the sources pairwise would take one per side.
+    """
+    rows = selected(channels).where(F.col("source").isin(*sources))
+    value = F.struct(*fields)
+    return rows.groupBy("session_key", "canonical_channel").agg(
+        *[F.max(F.when(F.col("source") == s, value)).alias(s) for s in sources])
 
 
-def _compare(pairs: DataFrame, fields: dict[str, float], mismatch: str, unknown: str | None) -> DataFrame:
-    parts = ", ".join(f"'{f}', l_{f}, r_{f}, CAST({t!r} AS DOUBLE)" for f, t in fields.items())
-    long = pairs.selectExpr("session_key", "canonical_channel",
-                            f"stack({len(fields)}, {parts}) AS (field, l, r, tol)")
-    both = F.col("l").isNotNull() & F.col("r").isNotNull()
-    # The tolerance differs per field, so the closeness test is written out here.
-    far = F.abs(F.col("l") - F.col("r")) > F.greatest(
-        F.lit(1e-8) * F.greatest(F.abs("l"), F.abs("r")), F.col("tol"))
-    code = F.when(both & far, mismatch)
+def _mismatch(left: str, right: str, field: str, tol: float, mismatch: str, unknown: str | None) -> Column:
+    l, r = F.col(left)[field], F.col(right)[field]
+    code = F.when(~isclose(l, r, 1e-8, tol), mismatch)
     if unknown is not None:
-        code = F.when(F.col("l").isNull() != F.col("r").isNull(), unknown).otherwise(code)
-    rows = long.withColumn("_code", code).where(F.col("_code").isNotNull())
-    return _issue(rows, F.col("_code"), F.col("canonical_channel"), F.col("field"), F.col("l"), F.col("r"))
+        code = F.when(l.isNull() != r.isNull(), unknown).otherwise(code)
+    return _finding(F.when(F.col(left).isNotNull() & F.col(right).isNotNull(), code), field, l, r)
+
+
+def _finding(code: Column, field: str, left: Column, right: Column) -> Column:
+    return F.struct(code.alias("code"), F.lit(field).alias("field"), left.cast("string").alias("left_value"),
+                    right.cast("string").alias("right_value"))
+
+
+def _h5_edf() -> list[Column]:
+    text = lambda s: F.lower(F.coalesce(F.col(s)["unit"], F.lit("")))
+    unit = F.when(F.col("h5").isNotNull() & F.col("edf").isNotNull() & (text("h5") != text("edf")), "H5_EDF_UNIT_MISMATCH")
+    return [_mismatch("h5", "edf", f, t, "H5_EDF_METADATA_MISMATCH", "H5_EDF_METADATA_UNKNOWN")
+            for f, t in H5_EDF_FIELDS.items()] + [_finding(unit, "unit", F.col("h5")["unit"], F.col("edf")["unit"])]
+
+
+def _h5_tsv() -> list[Column]:
+    return [_mismatch("h5", "tsv", f, t, "H5_TSV_METADATA_MISMATCH", None) for f, t in H5_TSV_FIELDS.items()]
+
+
+def _header_issues(channels: DataFrame, sources: Sequence[str], checks: list[Column]) -> DataFrame:
+    rows = _by_source(channels, sources, [*H5_EDF_FIELDS, "unit"])
+    found = F.filter(F.array(*checks), lambda e: e["code"].isNotNull())
+    out = rows.select("session_key", "canonical_channel", F.explode(found).alias("e"))
+    return out.select("session_key", "e.code", F.col("canonical_channel").alias("channel"), "e.field",
+                      "e.left_value", "e.right_value")
 
 
 def h5_edf_issues(channels: DataFrame) -> DataFrame:
-    pairs = _paired(channels, "h5", "edf", [*H5_EDF_FIELDS, "unit"])
-    units = pairs.where(F.lower(F.coalesce("l_unit", F.lit(""))) != F.lower(F.coalesce("r_unit", F.lit(""))))
-    return _compare(pairs, H5_EDF_FIELDS, "H5_EDF_METADATA_MISMATCH", "H5_EDF_METADATA_UNKNOWN").unionByName(
-        _issue(units, "H5_EDF_UNIT_MISMATCH", F.col("canonical_channel"), F.lit("unit"), F.col("l_unit"), F.col("r_unit")))
+    return _header_issues(channels, ("h5", "edf"), _h5_edf())
 
 
 def h5_tsv_issues(channels: DataFrame) -> DataFrame:
-    return _compare(_paired(channels, "h5", "tsv", list(H5_TSV_FIELDS)), H5_TSV_FIELDS, "H5_TSV_METADATA_MISMATCH", None)
+    return _header_issues(channels, ("h5", "tsv"), _h5_tsv())
+
+
+def header_issues(channels: DataFrame) -> DataFrame:
+    """Both header comparisons in one pass."""
+    return _header_issues(channels, SOURCES, _h5_edf() + _h5_tsv())
 
 
 def all_issues(sessions: DataFrame, channels: DataFrame) -> DataFrame:
     return (session_issues(sessions).unionByName(missing_channels(sessions, channels))
-            .unionByName(h5_edf_issues(channels)).unionByName(h5_tsv_issues(channels)))
+            .unionByName(header_issues(channels)))
 
 
 # --- report tables ------------------------------------------------------------------------------
