@@ -14,10 +14,17 @@ NOTCH_PATTERN = r"(?i)\b(?:N|NOTCH)\s*:?\s*([-+]?\d+(?:\.\d+)?)\s*Hz"
 FIRST_PATTERN = r"(?i)\b{key}\s*:?\s*([-+]?\d+(?:\.\d+)?)\s*Hz"
 
 
+# The characters Python's \s matches. Java's \s knows only the ASCII ones.
+WHITE_SPACE = ("\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def channel_name(raw: Column) -> Column:
-    """Trim, lower, dashes unified, white space dropped, underscore to dash."""
-    dashed = F.translate(F.lower(F.trim(raw)), "–—_", "---")
-    return F.regexp_replace(dashed, r"\s+", "")
+    """Lower case, dashes unified, white space dropped, underscore to dash.
+
+    One character table does it all: characters without a counterpart are deleted.
+    """
+    return F.translate(F.lower(raw), "–—_" + WHITE_SPACE, "---")
 
 
 def canonical_channel(normalised: Column) -> Column:

@@ -64,15 +64,15 @@ def selected(channels: DataFrame) -> DataFrame:
 
 
 def preferred(channels: DataFrame, order: str = "channel_no", key: str = "session_key") -> DataFrame:
-    """Only the rows :func:`select_preferred` would flag, with one aggregation and no join.
+    """Only the rows :func:`select_preferred` would flag; most reports read nothing else.
 
-    Most reports read nothing else, so this is what they should be given.
+    The rank-one filter becomes a group limit that runs before the shuffle, so a key with
+    very many candidates sends one row per task.
     """
-    keys = [key, "source", "canonical_channel"]
-    place = F.struct(h.alias_rank(F.col("normalised_channel")).alias("rank"), "normalised_channel", order)
-    rest = [c for c in channels.columns if c not in keys]
-    best = channels.where(F.col("canonical_channel") != "").groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_r"))
-    return best.select(*keys, "_r.*").withColumn("selected_for_model", F.lit(True))
+    w = Window.partitionBy(key, "source", "canonical_channel").orderBy(
+        h.alias_rank(F.col("normalised_channel")), "normalised_channel", order)
+    return (channels.where(F.col("canonical_channel") != "").withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") == 1).drop("_r").withColumn("selected_for_model", F.lit(True)))
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -139,19 +139,22 @@ def missing_channels(sessions: DataFrame, channels: DataFrame, sources: Sequence
                      expected: Sequence[str] = m.CHANNELS) -> DataFrame:
     """Expected (source, channel) pairs that a session has no selected row for.
 
-    What a session has fits in one bit mask per source, so the expected grid is opened only
-    after a join at session grain.
+    What a session has fits in one bit mask, so the expected grid is opened only after a
+    join at session grain.
     """
-    have = selected(channels).groupBy("session_key").agg(*[
-        F.bit_or(F.when(F.col("source") == s, channel_bit(expected))).alias(f"_{s}") for s in sources])
+    pairs = [(s, c) for s in sources for c in expected]
+    if len(pairs) > 63:
+        raise ValueError("more than 63 expected pairs do not fit the mask")
+    place = m.channel_map({f"{s}/{c}": i for i, (s, c) in enumerate(pairs)},
+                          F.concat_ws("/", "source", "canonical_channel"))
+    have = (selected(channels).select("session_key", place.alias("_i")).where(F.col("_i").isNotNull())
+            .groupBy("session_key").agg(F.bit_or(F.expr("shiftleft(1L, _i)")).alias("_have")))
     rows = sessions.select("session_key").join(have, "session_key", "left")
-    none = F.lit(0)
-    want = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(c).alias("channel"), F.lit(1 << i).alias("bit"),
-                              F.coalesce(F.col(f"_{s}"), none).alias("mask"))
-                     for s in sources for i, c in enumerate(expected)])
-    gone = F.filter(want, lambda w: w["mask"].bitwiseAND(w["bit"]) == 0)
-    out = rows.select("session_key", F.explode(gone).alias("w"))
-    return _issue(out, F.concat(F.upper(F.col("w.source")), F.lit("_SELECTED_CHANNEL_MISSING")), F.col("w.channel"))
+    gone = F.filter(F.sequence(F.lit(0), F.lit(len(pairs) - 1)),
+                    lambda i: F.getbit(F.coalesce("_have", F.lit(0).cast("bigint")), i) == 0)
+    out = rows.select("session_key", F.explode(gone).alias("_i"))
+    text = lambda items: F.get(F.expr("array(" + ", ".join(f"'{x}'" for x in items) + ")"), F.col("_i"))
+    return _issue(out, text([f"{s.upper()}_SELECTED_CHANNEL_MISSING" for s, _ in pairs]), text([c for _, c in pairs]))
 
 
 def channel_bit(expected: Sequence[str] = m.CHANNELS) -> Column:
@@ -471,23 +474,21 @@ def calibration_profiles(channels: DataFrame, top: int = 3) -> DataFrame:
     return distribution(model_rows(channels).withColumn("unit", _blank("unit")), ["source", "channel"], [*CALIBRATION, "unit"], top)
 
 
-def calibration_completeness(channels: DataFrame) -> DataFrame:
-    """Non-null counts for all h5 rows, the selected ones, and each channel.
+def calibration_completeness(channels: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Non-null counts for all h5 rows, the selected ones, and each selected channel.
 
-    One aggregation per channel; the wider scopes add up its few rows.
+    The selected scope adds up the few channel rows instead of reading again.
     """
     whole = F.lit(True)
     for f in CALIBRATION:
         whole = whole & F.col(f).isNotNull()
-    chosen = F.col("selected_for_model") & (F.col("canonical_channel") != "")
-    base = (channels.where(F.col("source") == "h5")
-            .groupBy(chosen.alias("_chosen"), F.col("canonical_channel").alias("_channel")).agg(
-                F.count("*").alias("instances"), *[F.count(f).alias(f"{f}_present") for f in CALIBRATION],
-                F.count_if(whole).alias("all_four")))
     sums = ["instances", *[f"{f}_present" for f in CALIBRATION], "all_four"]
-    total = lambda df, scope: df.groupBy(scope.alias("scope")).agg(*[F.sum(c).alias(c) for c in sums])
-    out = (total(base, F.lit("all")).unionByName(total(base.where("_chosen"), F.lit("selected")))
-           .unionByName(total(base.where("_chosen"), F.concat(F.lit("channel:"), F.col("_channel")))))
+    count = lambda df, scope: df.where(F.col("source") == "h5").groupBy(scope.alias("scope")).agg(
+        F.count("*").alias("instances"), *[F.count(f).alias(f"{f}_present") for f in CALIBRATION],
+        F.count_if(whole).alias("all_four"))
+    per = count(chosen, F.concat(F.lit("channel:"), F.col("canonical_channel")))
+    added = per.groupBy(F.lit("selected").alias("scope")).agg(*[F.sum(c).alias(c) for c in sums])
+    out = count(channels, F.lit("all")).unionByName(added).unionByName(per)
     return (out.withColumn("any_missing", F.col("instances") - F.col("all_four"))
             .withColumn("complete_percent", percent(F.col("all_four"), F.col("instances"))))
 
@@ -557,10 +558,10 @@ def strict_rows(channels: DataFrame, name: str = "airflow") -> DataFrame:
     return channels.where((F.col("source") == "h5") & (F.lower(F.trim("raw_channel")) == name))
 
 
-def strict_presence(sessions: DataFrame, channels: DataFrame, name: str = "airflow") -> DataFrame:
+def strict_presence(sessions: DataFrame, channels: DataFrame, chosen: DataFrame, name: str = "airflow") -> DataFrame:
     """Sessions with the exact name, without it, and served by another name."""
     exact = strict_rows(channels, name).select("session_key").distinct()
-    canon = (selected(channels).where((F.col("source") == "h5") & (F.col("canonical_channel") == name))
+    canon = (selected(chosen).where((F.col("source") == "h5") & (F.col("canonical_channel") == name))
              .select("session_key").distinct())
     fallback = canon.join(exact, "session_key", "left_anti").agg(F.count("*").alias("fallback"))
     present = exact.agg(F.count("*").alias("present"))

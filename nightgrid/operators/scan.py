@@ -107,25 +107,28 @@ def islands(df: DataFrame, keys: Sequence[str], position: str, width: int = 65_5
     return done.unionByName(edge)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
-                    points: dict[str, float], method: str = "linear",
-                    weight: Column | None = None, splits: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, points: dict[str, float],
+                    method: str = "linear", accuracy: int = 10_000) -> DataFrame:
     """Exact order statistics per key with count and mean, for groups of any size.
 
-    Equal values are counted first. The distinct values of a key are cut into ``splits``
-    ranges by an approximate sketch; only the ranges that hold a wanted rank are ordered,
-    each in its own task. ``linear`` interpolates between neighbours, ``lower`` takes the
-    value at floor(q*(n-1)).
+    A mergeable sketch first brackets every wanted rank between two data values; its rank
+    error is bounded, and the brackets are twice that wide. Rows outside all brackets are
+    then only counted, one number per stretch, and only the rows inside, a few in ten
+    thousand, are ordered, bracket by bracket. No group is ever sorted or held as a whole.
+    ``linear`` interpolates between neighbours, ``lower`` takes the value at floor(q*(n-1)).
     """
     keys = list(keys)
-    probe = df.select(*keys, value.cast("double").alias("_v"),
-                      (F.lit(1) if weight is None else weight).cast("bigint").alias("_w"))
-    counts = probe.where(finite(F.col("_v"))).groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"))
-    cuts = [i / splits for i in range(1, splits)]
-    head = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("count"),
-        F.percentile_approx("_v", cuts, 1000).alias("_cuts"),
-        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
+    rows = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
+    margin = 2.0 / accuracy
+    edge = lambda side: [min(max(q + side * margin, 0.0), 1.0) for q in points.values()]
+    sketch = lambda side: F.percentile_approx("_v", edge(side), accuracy)
+    head = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.avg("_v").alias("mean"),
+                                   sketch(-1).alias("_low"), sketch(1).alias("_high"))
+    # In a group of up to ``accuracy`` rows a bracket may be narrower than one rank: order it whole.
+    whole = lambda x: F.array_repeat(F.lit(x), len(points))
+    few = F.col("count") <= accuracy
+    head = (head.withColumn("_low", F.when(few, whole(float("-inf"))).otherwise(F.col("_low")))
+            .withColumn("_high", F.when(few, whole(float("inf"))).otherwise(F.col("_high"))))
     wanted = []
     for q in points.values():
         at = (F.col("count") - 1) * F.lit(float(q))
@@ -135,31 +138,34 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
     def with_head(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(right, keys) if keys else left.crossJoin(right)
 
-    cut = with_head(counts, head.select(*keys, "_cuts", "_ranks"))
-    cut = cut.withColumn(_BUCKET, F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    sums = (cut.groupBy(*keys, _BUCKET)
-            .agg(F.sum("_n").alias("_total"), F.any_value("_ranks").alias("_need"))
-            .withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-            .where(F.exists("_need", lambda r: (r >= F.col("_start"))
-                            & (r < F.col("_start") + F.col("_total"))))
-            .select(*keys, _BUCKET, "_start"))
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (cut.join(sums, [*keys, _BUCKET])
-              .withColumn("_stop", F.col("_start") + F.sum("_n").over(inside))
-              .withColumn("_from", F.col("_stop") - F.col("_n"))
-              .withColumn("_rank", F.explode(F.filter(
-                  "_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_stop")))))
-              .groupBy(*keys)
-              .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")))
-    full = with_head(head, ranked)
+    v = F.col("_v")
+    # Array functions keep this a small generated method, which the JVM can compile.
+    placed = (with_head(rows, head.select(*keys, "_low", "_high"))
+              .withColumn("_begun", F.size(F.filter("_low", lambda e: v >= e)))
+              .withColumn("_done", F.size(F.filter("_high", lambda e: v > e)))
+              .select(*keys, (F.col("_begun") + F.col("_done")).alias("_s"),
+                      F.when(F.col("_begun") > F.col("_done"), v).alias("_v")))
+    counts = placed.groupBy(*keys, "_s", "_v").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (counts.groupBy(*keys, "_s").agg(F.sum("_n").alias("_total"))
+              .withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).select(*keys, "_s", "_start"))
+    local = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counts.where(v.isNotNull()).join(starts, [*keys, "_s"])
+              .withColumn("_stop", F.col("_start") + F.sum("_n").over(local))
+              .withColumn("_from", F.col("_stop") - F.col("_n")))
+    # Few rows are left; each finds the ranks it covers.
+    found = (with_head(ranked.select(*keys, "_v", "_from", "_stop"), head.select(*keys, "_ranks"))
+             .withColumn("_rank", F.explode(F.filter(
+                 "_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_stop")))))
+             .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")))
+    full = with_head(head, found)
     cols = []
     for name, q in points.items():
         at = (F.col("count") - 1) * F.lit(float(q))
-        low = F.col("_at")[F.floor(at)]
+        result = F.col("_at")[F.floor(at)]
         if method == "linear":
-            high, t = F.col("_at")[F.ceil(at)], at - F.floor(at)
-            step = high - low
-            low = F.when(t >= 0.5, high - step * (1 - t)).otherwise(low + step * t)
-        cols.append(low.alias(name))
+            upper, t = F.col("_at")[F.ceil(at)], at - F.floor(at)
+            step = upper - result
+            result = F.when(t >= 0.5, upper - step * (1 - t)).otherwise(result + step * t)
+        cols.append(result.alias(name))
     return full.select(*keys, "count", "mean", *cols)

@@ -449,13 +449,13 @@ _COMP = """count(*) AS instances, count(dig_min) AS dig_min_present, count(dig_m
 
 @query("A29_calibration_completeness", CTE + f"SELECT 'all' AS scope, {_COMP} FROM ch WHERE source = 'h5' UNION ALL SELECT 'selected', {_COMP} FROM sel WHERE source = 'h5' UNION ALL SELECT 'channel:' || channel, {_COMP} FROM sel WHERE source = 'h5' GROUP BY channel")
 def a29(t):
-    return inv.calibration_completeness(channels(t))
+    return inv.calibration_completeness(raw_channels(t), chosen(t))
 
 
 @query("A30_missing_combinations", CTE + """SELECT concat_ws('+', CASE WHEN dig_min IS NULL THEN 'dig_min' END, CASE WHEN dig_max IS NULL THEN 'dig_max' END, CASE WHEN phys_min IS NULL THEN 'phys_min' END,
   CASE WHEN phys_max IS NULL THEN 'phys_max' END) AS missing_fields, count(*) AS instances FROM ch WHERE source = 'h5' AND dig_min + dig_max + phys_min + phys_max IS NULL GROUP BY 1""")
 def a30(t):
-    return inv.missing_combinations(channels(t))
+    return inv.missing_combinations(raw_channels(t))
 
 
 @query("A31_h5_edf_by_channel", CTE + _MASK + f", i AS ({_HE}) SELECT cov.channel, any_value(paired) AS paired, count(code) AS findings, count(DISTINCT session_key) AS sessions, 100 * count(DISTINCT session_key) / nullif(any_value(paired), 0)::DOUBLE AS percent_of_paired FROM cov LEFT JOIN i ON i.channel = cov.channel AND code = 'H5_EDF_METADATA_MISMATCH' GROUP BY 1")
@@ -504,12 +504,12 @@ _STRICT = ", sx AS (SELECT * FROM ch WHERE source = 'h5' AND lower(trim(raw_chan
 @query("A35_strict_airflow_presence", CTE + _STRICT + """, n AS (SELECT (SELECT count(DISTINCT session_key) FROM sx) AS p, (SELECT count(DISTINCT session_key) FROM sel WHERE source = 'h5' AND channel = 'airflow' AND session_key NOT IN (SELECT session_key FROM sx)) AS f, total FROM tot)
   SELECT 'present' AS item, p AS nights, 100 * p / total::DOUBLE AS percent FROM n UNION ALL SELECT 'missing', total - p, 100 * (total - p) / total::DOUBLE FROM n UNION ALL SELECT 'fallback', f, 100 * f / total::DOUBLE FROM n""")
 def a35(t):
-    return inv.strict_presence(sessions(t), channels(t))
+    return inv.strict_presence(sessions(t), raw_channels(t), chosen(t))
 
 
 @query("A35_strict_airflow_filters", CTE + _STRICT + _dist_sql("sx", [], ["fs_hz", "hp_hz", "lp_hz", "notch_hz"]))
 def a35b(t):
-    return inv.strict_profiles(channels(t), ["fs_hz", "hp_hz", "lp_hz", "notch_hz"])
+    return inv.strict_profiles(raw_channels(t), ["fs_hz", "hp_hz", "lp_hz", "notch_hz"])
 
 
 @query("A36_range_unit_audit", CTE + """, r AS (SELECT *, coalesce(nullif(trim(unit), ''), '(blank)') AS u FROM sel WHERE source = 'h5' AND (channel <> 'airflow' OR lower(trim(raw_channel)) = 'airflow'))

@@ -54,18 +54,19 @@ def test_islands_cross_buckets(spark, width):
     assert {(r["k"], r["first"], r["last"]) for r in islands(df, ["k"], "p", width).collect()} == want
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
+def test_exact_quantiles(spark, accuracy):
     rng = np.random.default_rng(2)
-    data = {"hot": rng.lognormal(size=700), "few": rng.normal(size=3), "same": np.full(50, 2.5)}
+    data = {"hot": rng.lognormal(size=7000), "few": rng.normal(size=3), "same": np.full(50, 2.5)}
     rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("hot", float("nan")), ("hot", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     points = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.95, "e": 1.0}
-    for r in exact_quantiles(df, ["k"], F.col("v"), points, splits=8).collect():
+    for r in exact_quantiles(df, ["k"], F.col("v"), points, accuracy=accuracy).collect():
         assert r["count"] == len(data[r["k"]])
         assert np.allclose([r[p] for p in points], np.quantile(data[r["k"]], list(points.values())), rtol=1e-12)
-    low = exact_quantiles(df, ["k"], F.col("v"), points, method="lower", splits=8).where("k = 'hot'").first()
+    low = exact_quantiles(df, ["k"], F.col("v"), points, method="lower", accuracy=accuracy).where("k = 'hot'").first()
     ranked = np.sort(data["hot"])
-    assert [low[p] for p in points] == [ranked[int(q * 699)] for q in points.values()]
+    assert [low[p] for p in points] == [ranked[int(q * 6999)] for q in points.values()]
 
 
 def greedy(sizes, limit, target):
