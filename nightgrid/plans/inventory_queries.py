@@ -210,7 +210,7 @@ def _mismatch(fields, left, right, code, unknown=None):
 _HE = (f"SELECT * FROM ({_mismatch(inv.H5_EDF_FIELDS, 'h5', 'edf', 'H5_EDF_METADATA_MISMATCH', 'H5_EDF_METADATA_UNKNOWN')}) WHERE code IS NOT NULL UNION ALL "
        "SELECT l.session_key, 'H5_EDF_UNIT_MISMATCH', l.channel, 'unit' FROM sel l JOIN sel r ON l.source = 'h5' AND r.source = 'edf' AND l.session_key = r.session_key AND l.channel = r.channel AND lower(l.unit) <> lower(r.unit)")
 _HT = f"SELECT * FROM ({_mismatch(inv.H5_TSV_FIELDS, 'h5', 'tsv', 'H5_TSV_METADATA_MISMATCH')}) WHERE code IS NOT NULL"
-_J5 = ("SELECT session_key, upper(s.source) || '_SELECTED_CHANNEL_MISSING' AS code, names.channel, NULL AS field FROM ses CROSS JOIN names CROSS JOIN (VALUES ('h5'),('edf'),('tsv')) s(source) "
+_J5 = ("SELECT session_key, upper(s.source) || '_SELECTED_CHANNEL_MISSING' AS code, names.channel, NULL::VARCHAR AS field FROM ses CROSS JOIN names CROSS JOIN (VALUES ('h5'),('edf'),('tsv')) s(source) "
        "WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.session_key = ses.session_key AND sel.source = s.source AND sel.channel = names.channel)")
 _ISS = ["session_key", "code", "channel", "field"]
 
