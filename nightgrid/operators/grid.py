@@ -168,11 +168,16 @@ def locate(ends: DataFrame, indices: DataFrame, stride: int, context: int, total
 
 
 def order_violations(rows: DataFrame, keys: Sequence[str], start: str, length: int,
-                     real: Column | None = None, order: str | None = None) -> DataFrame:
-    """Real rows that begin before an earlier real row of the same key has ended."""
+                     real: Column | None = None, order: str | None = None,
+                     width: int = 4096 * m.EPOCH_NS) -> DataFrame:
+    """Real rows that begin before an earlier real row of the same key has ended.
+
+    ``width`` is the span of one scan bucket in units of the order column: wide enough to
+    hold many rows, narrow enough for one task.
+    """
     real = F.lit(True) if real is None else real
     order = order or start
-    out = running(rows, keys, [order], number_bucket(F.col(order), 65_536),
+    out = running(rows, keys, [order], number_bucket(F.col(order), width),
                   {"previous_start": ("max", F.when(real, F.col(start)))})
     return out.where(real & (F.col("previous_start") >= 0)
                      & (F.col(start) - F.col("previous_start") < length))

@@ -49,7 +49,7 @@ def select_preferred(channels: DataFrame, order: str = "channel_no",
                      key: str = "session_key") -> DataFrame:
     """Flag one row per (session, source, canonical): lowest alias rank, then name, then order.
 
-    A minimum per key with map-side combine instead of a window over all rows of a key.
+    ``order`` is the row's position in its source and must be unique there. A minimum per key with map-side combine instead of a window over all rows of a key.
     """
     keys = [key, "source", "canonical_channel"]
     place = F.struct(h.alias_rank(F.col("normalised_channel")).alias("rank"), "normalised_channel", order)

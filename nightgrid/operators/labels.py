@@ -276,7 +276,7 @@ def token_ranking(fields: DataFrame, keys: Sequence[str], top: int = 8) -> DataF
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def as_of_stage(events: DataFrame, centres: DataFrame, bucket_seconds: float = 86_400.0,
+def as_of_stage(events: DataFrame, centres: DataFrame, bucket_seconds: float = 900.0,
                 default_duration: float = 30.0) -> DataFrame:
     """Last event at or before each epoch centre, if it still lasts; stage -1 otherwise.
 

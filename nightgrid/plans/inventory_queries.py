@@ -34,7 +34,8 @@ _SESSION = [
 ]
 _CHANNEL = [
     "l_orderkey AS session_key", "CASE l_returnflag WHEN 'R' THEN 'h5' WHEN 'A' THEN 'edf' ELSE 'tsv' END AS source",
-    "l_partkey * 100000 + l_suppkey AS channel_no",
+    # Orders repeat line numbers, so the position inside the file has to tell all rows apart.
+    "CAST(floor(l_extendedprice * 100 + 5e-1) AS BIGINT) * 1000000000 + (l_partkey * 1000 + l_suppkey) % 1000000000 AS channel_no",
     "CASE l_linenumber WHEN 1 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'F3_M2' ELSE ' f3–m2 ' END WHEN 2 THEN 'E1' WHEN 3 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'ECG' ELSE 'EKG' END"
     " WHEN 4 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'chin' ELSE 'Chin1 - Chin2' END WHEN 5 THEN CASE l_suppkey % 3 WHEN 0 THEN 'Airflow' WHEN 1 THEN 'PTAF' ELSE 'npt' END"
     " WHEN 6 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'SpO2' ELSE 'SaO2' END ELSE 'Position' END AS raw_channel",
@@ -79,7 +80,7 @@ c1 AS (SELECT *, {_NORM} AS normalised_channel FROM c0),
 c2 AS (SELECT *, CASE normalised_channel WHEN 'f3-m2' THEN 'f3-m2' WHEN 'e1' THEN 'e1' WHEN 'ecg' THEN 'ecg' WHEN 'ekg' THEN 'ecg' WHEN 'chin' THEN 'chin1-chin2'
   WHEN 'chin1-chin2' THEN 'chin1-chin2' WHEN 'airflow' THEN 'airflow' WHEN 'npt' THEN 'airflow' WHEN 'ptaf' THEN 'airflow' WHEN 'spo2' THEN 'spo2' WHEN 'sao2' THEN 'spo2' ELSE '' END AS canonical_channel,
   CASE normalised_channel WHEN 'ekg' THEN 1 WHEN 'chin' THEN 1 WHEN 'npt' THEN 1 WHEN 'ptaf' THEN 2 WHEN 'sao2' THEN 1 ELSE 0 END AS alias_rank FROM c1),
-ch AS (SELECT *, canonical_channel <> '' AND rank() OVER (PARTITION BY session_key, source, canonical_channel ORDER BY alias_rank, normalised_channel, channel_no) = 1 AS selected_for_model FROM c2),
+ch AS (SELECT *, canonical_channel <> '' AND row_number() OVER (PARTITION BY session_key, source, canonical_channel ORDER BY alias_rank, normalised_channel, channel_no) = 1 AS selected_for_model FROM c2),
 sel AS (SELECT *, canonical_channel AS channel FROM ch WHERE selected_for_model),
 he AS (SELECT * FROM sel WHERE source IN ('h5', 'edf')),
 tot AS (SELECT count(*) AS total FROM orders),

@@ -299,11 +299,11 @@ def f13(t):
     return t.pages.select("page_id", key.alias("key"), path_is_safe(key).alias("safe"))
 
 
-@query("F14_index_digest", """WITH h AS (SELECT conv_id % 8 AS shard_id, conv_id, turn, sha256(conv_id || ':' || turn || ':' || turn * 30000000000) AS h FROM conversations),
+@query("F14_index_digest", """WITH h AS (SELECT conv_id // 16 AS shard_id, conv_id, turn, sha256(conv_id || ':' || turn || ':' || turn * 30000000000) AS h FROM conversations),
   b AS (SELECT shard_id, conv_id, turn // 3 AS b, sha256(string_agg(h, ',' ORDER BY turn)) AS h FROM h GROUP BY 1, 2, 3), r AS (SELECT shard_id, conv_id, sha256(string_agg(h, ',' ORDER BY b)) AS h FROM b GROUP BY 1, 2)
   SELECT shard_id, sha256(string_agg(h, ',' ORDER BY conv_id)) AS index_digest FROM r GROUP BY 1""")
 def f14(t):
-    rows = t.conversations.select((F.col("conv_id") % 8).alias("shard_id"), F.col("conv_id").alias("recording_id"),
+    rows = t.conversations.select(F.floor(F.col("conv_id") / 16).alias("shard_id"), F.col("conv_id").alias("recording_id"),
                                   F.col("turn").alias("epoch_in_record"), (F.col("turn") * 30_000_000_000).alias("epoch_start_offset_ns"))
     return release.index_digest(rows, block=3)
 

@@ -68,7 +68,7 @@ def w5(t):
 def w10(t):
     rows = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start_us"),
                            (F.col("value") < 400).alias("real"))
-    out = grid.order_violations(rows, ["user_id"], "start_us", 3_600_000_000, F.col("real"))
+    out = grid.order_violations(rows, ["user_id"], "start_us", 3_600_000_000, F.col("real"), width=900_000_000)
     return out.select("user_id", "event_id", "start_us", "previous_start")
 
 
