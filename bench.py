@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from nightgrid.plans.catalog import QUERIES  # noqa: E402
-from nightgrid.session import build_session  # noqa: E402
+from nightgrid.session import build_session, scratch_path  # noqa: E402
 
 HEADLINE = (
     "A2_night_grade", "A3_rule_summary", "A5_hard_events", "Q6_line_power_fraction", "Q14_placeholder_rows", "U4_channel_night_kernel",
@@ -25,6 +25,31 @@ HEADLINE = (
     "A38_histogram_quantiles", "A43_masked_mean_pooling", "X3_rational_resample", "D2_class_metrics", "D3_regression_metrics")
 
 
+def contiguous_read(spark, folder: str, repeats: int = 7) -> float:
+    """Median seconds to read 32 consecutive 15-channel epochs of one stored recording (11.5 MB).
+
+    Vectors are repeated to 6000 samples and stored the way signals are: one recording's
+    epochs side by side, so that statistics skip everything else.
+    """
+    from pyspark.sql import functions as F
+
+    tiled = F.slice(F.flatten(F.array_repeat("embedding", 94)), 1, 6000)
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select(
+        F.floor(F.col("vec_id") / 480).alias("recording_id"), F.floor(F.col("vec_id") % 480 / 15).cast("int").alias("epoch_in_record"),
+        (F.col("vec_id") % 15).alias("channel_idx"), tiled.alias("samples"))
+    path = scratch_path(spark, "bench-signals")
+    (rows.repartitionByRange("recording_id").sortWithinPartitions("recording_id", "epoch_in_record", "channel_idx")
+     .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path))
+    stored = spark.read.schema(rows.schema).parquet(path)
+    times = []
+    for i in range(repeats):
+        start = time.perf_counter()
+        one = stored.where((F.col("recording_id") == i % 2) & F.col("epoch_in_record").between(0, 31))
+        one.write.format("noop").mode("overwrite").save()
+        times.append(time.perf_counter() - start)
+    return round(sorted(times)[repeats // 2], 3)
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -41,6 +66,8 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    if "BENCH_QUERIES" not in os.environ:
+        seconds["read_32_epochs"] = contiguous_read(spark, folder)
     spark.stop()
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))

@@ -108,8 +108,8 @@ def session_issues(sessions: DataFrame, tolerance: float = 30.0) -> DataFrame:
     """
     missing = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     wrong_id = (F.col("h5_exists") & F.col("h5_error").isNull()
-                & ((F.col("h5_subject_id") != F.col("subject_id").cast("string"))
-                   | (F.col("h5_session_id") != F.col("session_id").cast("string"))))
+                & ((F.coalesce("h5_subject_id", F.lit("")) != F.col("subject_id").cast("string"))
+                   | (F.coalesce("h5_session_id", F.lit("")) != F.col("session_id").cast("string"))))
     none = F.lit(None).cast("string")
 
     def entry(cond, code, field=None, left=None, right=None):
