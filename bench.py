@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from nightgrid.plans.catalog import QUERIES  # noqa: E402
-from nightgrid.session import build_session, scratch_path  # noqa: E402
+from nightgrid.session import WAVEFORM_OPTIONS, build_session, scratch_path  # noqa: E402
 
 HEADLINE = (
     "A2_night_grade", "A3_rule_summary", "A5_hard_events", "Q6_line_power_fraction", "Q14_placeholder_rows", "U4_channel_night_kernel",
@@ -39,7 +39,7 @@ def contiguous_read(spark, folder: str, repeats: int = 7) -> float:
         (F.col("vec_id") % 15).alias("channel_idx"), tiled.alias("samples"))
     path = scratch_path(spark, "bench-signals")
     (rows.repartitionByRange("recording_id").sortWithinPartitions("recording_id", "epoch_in_record", "channel_idx")
-     .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path))
+     .write.options(**WAVEFORM_OPTIONS).parquet(path))
     stored = spark.read.schema(rows.schema).parquet(path)
     times = []
     for i in range(repeats):

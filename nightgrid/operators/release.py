@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nightgrid import model as m
 from nightgrid.functions.headers import path_is_safe, path_key
 from nightgrid.operators.audits import duplicates, problems
+from nightgrid.session import table_options
 
 COMMIT_SCHEMA = ("shard_id string, run_id string, artifact string, epochs bigint, digest string, status string")
 
@@ -54,7 +55,7 @@ def write_table(df: DataFrame, path: str, shard: str = "shard_id", order: Sequen
     small ones, whatever share of the rows one shard or recording has.
     """
     (df.hint("rebalance", shard).sortWithinPartitions(shard, *order)
-     .write.mode("append").option("compression", "zstd").partitionBy(shard).parquet(path))
+     .write.mode("append").options(**table_options(df)).partitionBy(shard).parquet(path))
 
 
 def write_signals(df: DataFrame, path: str) -> None:

@@ -50,8 +50,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/nightgrid/{name}-{uuid.uuid4().hex}"
 
 
+# Waveforms hardly repeat and hardly compress: no dictionary, the fastest codec, and row groups
+# of about twenty epochs, so that a window read opens one or two of them.
+WAVEFORM_OPTIONS = {"compression": "lz4_raw", "parquet.block.size": str(8 << 20),
+                    "parquet.enable.dictionary#samples.list.element": "false"}
+
+
+def table_options(df: DataFrame) -> dict[str, str]:
+    return WAVEFORM_OPTIONS if "samples" in df.columns else {"compression": "zstd"}
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and continue from the written table."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**table_options(df)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
