@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import types
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -49,11 +50,11 @@ class TextEncoder:
 
     For a tokenizer that never joins text across white space, each distinct piece between ASCII
     white space is encoded once per worker and looked up afterwards; of a piece made of ASCII
-    letters with closing punctuation, the lower-cased letters are looked up by themselves. Any
+    or Latin letters with closing punctuation, the lower-cased letters are looked up by themselves. Any
     other tokenizer encodes each text as it is. Both give what ``encode`` gives for the text.
     """
 
-    def __init__(self, name: str, chunk_limit: int = 300_000, core_limit: int = 1_000_000):
+    def __init__(self, name: str, chunk_limit: int = 800_000, core_limit: int = 800_000):
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
@@ -69,6 +70,11 @@ class TextEncoder:
         self.cores: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
         self.chunk_limit, self.core_limit = chunk_limit, core_limit
+        self.kind = "H" if self.width == 2 else "I"
+        # Byte-level models spell a text's bytes in printable characters: those that print stand for themselves.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.spelled = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     @classmethod
     def shared(cls, name: str) -> TextEncoder:
@@ -79,9 +85,10 @@ class TextEncoder:
         return held[name]
 
     def pack(self, ids: Iterable[int]) -> bytes:
-        import numpy as np
-
-        return np.fromiter(ids, dtype=f"<u{self.width}").tobytes()
+        packed = array(self.kind, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         """The library's own encoding of each text."""
@@ -92,13 +99,23 @@ class TextEncoder:
         rest = []
         for piece in pieces:
             letters = piece.rstrip(_ENDS)
-            if len(piece) > 64 or not letters.isalpha():  # bytes.isalpha: ASCII letters only
+            if len(piece) > 64 or not letters:
                 rest.append(piece)
                 continue
-            core, tail = letters.lower(), piece[len(letters):]
+            if letters.isalpha():  # of bytes: ASCII letters only
+                core = letters.lower()
+            else:
+                word = letters.decode("utf-8", "replace")
+                # Up to U+017F but for U+0130, letters are composed already and have one lower-case letter each.
+                if not word.isalpha() or max(word) > "\u017f" or "\u0130" in word:
+                    rest.append(piece)
+                    continue
+                core = word.lower().encode()
+            tail = piece[len(letters):]
             ids = self.cores.get(core)
             if ids is None:
-                ids = self.cores[core] = self.pack([t.id for t in self.model.tokenize(core.decode())])
+                text = core.decode() if core.isascii() else "".join([self.spelled[b] for b in core])
+                ids = self.cores[core] = self.pack([t.id for t in self.model.tokenize(text)])
             if tail not in self.tails:
                 self.tails[tail] = self._library([tail])[0]
             self.chunks[piece] = ids + self.tails[tail]
@@ -113,14 +130,16 @@ class TextEncoder:
             self.chunks.clear()
         if len(self.cores) > self.core_limit:
             self.cores.clear()
-        known, out, long = self.chunks, [], []
+        known, out, long = self.chunks, [], set()
         for text in texts:
             pieces = text.split()
-            new = {p for p in pieces if p not in known}
-            if new:
+            found = list(map(known.get, pieces))
+            if None in found:
+                new = set(pieces).difference(known)
                 self._learn(new)
-                long += [p for p in new if len(p) > 64]
-            out.append(b"".join([known[p] for p in pieces]))
+                long.update(p for p in new if len(p) > 64)
+                found = map(known.get, pieces)
+            out.append(b"".join(found))
         for piece in long:
             known.pop(piece, None)
         return out
