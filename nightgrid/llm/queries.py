@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from nightgrid.llm import packing, tokenfiles
+from pyspark.sql import functions as F
+
+from nightgrid.llm import decontaminate, languages, packing, pages, sharding, simhash, tokenfiles, topk
+from nightgrid.llm.common import only
 from nightgrid.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -17,3 +20,55 @@ def op4(spark, folder):
 def op8(spark, folder):
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op7_byte_shards")
+def op7(spark, folder):
+    """All documents in 40 contiguous shards of near-equal bytes."""
+    placed = sharding.shard_documents(only(table(spark, folder, "documents"), "doc_id", "text"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_covering_simhash")
+def op5(spark, folder):
+    """Fingerprint and component of every document."""
+    return simhash.near_copies(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op10_edit_decontamination")
+def op10(spark, folder):
+    """Every benchmark item in every document, within its edit budget."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_language_id")
+def op3(spark, folder):
+    """Language of every document, learned from the labelled ones outside the held-out fold."""
+    docs = only(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    model = languages.learn(docs)
+    held_out = F.coalesce(languages.fold(F.col("doc_id")) == 2, F.lit(False))
+    return (languages.identify(docs, model)
+            .select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.accepted"))
+
+
+@query("op9_host_text")
+def op9(spark, folder):
+    """Main text of every page."""
+    return pages.main_text(table(spark, folder, "pages"))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS codes FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.codes AS DOUBLE[]), CAST(c.codes AS DOUBLE[])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.codes) = len(c.codes) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op1_impact_top_k", TOP_K_SQL)
+def op1(spark, folder):
+    """The five best inner products for every fiftieth vector, against all."""
+    return topk.search_every(table(spark, folder, "embeddings"))
