@@ -182,12 +182,12 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -
     return LanguageModel.fit([r.text for r in sample], [r.lang for r in sample])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Add ``language``: a struct of lang_pred, score and accepted, read off the whole text alone.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
+    """Add column ``into``: a struct of lang_pred, score and accepted, read off the whole text alone.
 
     lang_pred is a learned language, or ``und`` with score 0 if the text is null or has no letter.
     accepted is false for those and for scores below the calibrated threshold. Every row stays,
-    repeated ones too; an empty table gives no rows; a column named language is replaced.
+    repeated ones too; an empty table gives no rows; a column of that name is replaced.
     """
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
@@ -195,4 +195,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in batches:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang_pred", "score", "accepted"]).astype({"score": float, "accepted": bool})
 
-    return docs.withColumn("language", predict(F.col(text)))
+    return docs.withColumn(into, predict(F.col(text)))

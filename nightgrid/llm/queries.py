@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightgrid.llm import decontaminate, languages, packing, pages, sharding, simhash, tokenfiles, topk
+from nightgrid.llm import chat, counts, decontaminate, languages, packing, pages, sharding, simhash, tokenfiles, topk
 from nightgrid.llm.common import only
 from nightgrid.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -72,3 +72,33 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 def op1(spark, folder):
     """The five best inner products for every fiftieth vector, against all."""
     return topk.search_every(table(spark, folder, "embeddings"))
+
+
+CONTROLS = r"(<\\*\|turn\|>|<\\*\|says\|>|<\\*\|done\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*\|endoftext\|>)"
+CHAT_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     c AS (SELECT conv_id, count(*) AS n_turns,
+                  coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text), '') AS said,
+                  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+                  sum(24 + length(role) + length(text) + len(regexp_extract_all(role, '{CONTROLS}')) + len(regexp_extract_all(text, '{CONTROLS}'))) AS formatted_chars
+           FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM c
+"""
+
+
+@query("op2_chat_masks", CHAT_SQL)
+def op2(spark, folder):
+    """All conversations and one made of control strings, formatted, masked and read back."""
+    turns = only(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    hostile = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(turns.unionByName(hostile))
+    return chat.digests(formatted).drop("n_tokens", "loss_tokens")
+
+
+@query("op6_unigram_counts")
+def op6(spark, folder):
+    """Tokens of every document under the unigram vocabulary."""
+    return counts.token_counts(table(spark, folder, "documents"))

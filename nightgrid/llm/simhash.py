@@ -34,8 +34,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of each row of (doc_id, text); fp is the fingerprint as a signed 64-bit integer.
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns and fp of each row; fp is the fingerprint of ``text`` as a signed 64-bit integer.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles are ``shingle`` words
     joined by a space, repeats included; a text of fewer words is one shingle, a text of none (or
@@ -63,9 +63,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
         for batch in slices(batches):
             found = pa.array([fingerprint(t) for t in binary_column(batch, "text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), found], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], found], [*keys, "fp"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    given = only(docs, *keys, "text")
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "fp long"]))
 
 
 def close_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -96,7 +98,7 @@ def close_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Dat
                 queue, unseen[0] = [(0, unseen[0][0])], unseen[0][1:]
                 for mine, a in queue:  # grows while it is read
                     across = mine if same else 1 - mine
-                    near = np.bitwise_count(unseen[across] ^ a) <= radius
+                    near = np.bitwise_count((unseen[across] ^ a).view(np.uint64)) <= radius  # of signed numbers it counts the magnitude
                     if near.any():
                         reached, unseen[across] = unseen[across][near], unseen[across][~near]
                         for b in reached:
@@ -144,8 +146,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_copies(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seed: int = 42) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, fp, fingerprint (16 hex digits) and component_id.
+def near_copies(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seed: int = 42, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of (doc_id, text): the key columns, fingerprint (16 hex digits), component (a fingerprint) and component_id.
 
     Documents are linked where their fingerprints differ in at most ``radius`` bits, empty ones
     (fingerprint zero) like any other; component_id is the smallest doc_id reachable over links, itself
@@ -153,10 +155,24 @@ def near_copies(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seed: i
 
     Equal fingerprints are merged before anything is compared, so copies cost nothing further.
     """
-    marked = write_once(fingerprints(docs, shingle, seed), "fingerprints")
+    marked = write_once(fingerprints(docs, shingle, seed, keys), "fingerprints")
     groups = write_once(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "fingerprint-groups")
     joined = components(close_links(groups.select("fp"), radius))
     part = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = part.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    part = part.join(roots, "component").select("fp", "component_id")
-    return marked.join(part, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    part = part.join(roots, "component").select("fp", "component", "component_id")
+    return marked.join(part, "fp").select(*keys, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-copies: one row of each component stays.
+
+    It is the one with the smallest doc_id (rows without one come last; then by a hash of the text); of rows equal in
+    doc_id and text one stays. Column _key is reserved. Only keys are compared and counted; texts
+    move once, to meet the keys that stay.
+    """
+    keyed = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string")))
+    marked = near_copies(keyed, shingle, radius, keys=("doc_id", "_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
+    stay = marked.groupBy("component").agg(first).select("first._key")
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
