@@ -14,6 +14,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 800
 ORDERS, BUCKETS, WIDTH = 4, 1 << 16, 16
 #: Share of right predictions that calibration lets go below the rejection threshold.
 REJECT_SHARE = 0.0005
+#: No probability above this is rejected: a text in two languages has about one half for each.
+REJECT_BELOW = 0.45
 UNKNOWN = "und"
 
 
@@ -98,7 +100,7 @@ class LanguageModel:
         return self.langs[best], min(max(score, 0.0), 1.0), score >= self.threshold
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.4, batch: int = 32) -> LanguageModel:
+    def fit(cls, texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.4, batch: int = 32, least_steps: int = 600) -> LanguageModel:
         """Stochastic gradient descent on four fifths of the examples; the rest calibrates.
 
         The temperature is the one of a grid with the smallest loss on the calibration part; the
@@ -118,7 +120,9 @@ class LanguageModel:
         train, held = order[len(order) // 5:], order[:len(order) // 5]
         embed = (rng.standard_normal((BUCKETS, WIDTH)) / WIDTH).astype(np.float32)
         weight, bias = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-        steps, step = max(1, epochs * -(-len(train) // batch)), 0
+        batches = max(1, -(-len(train) // batch))
+        epochs = max(epochs, -(-least_steps // batches))  # small samples are gone through more often
+        steps, step = epochs * batches, 0
         for _ in range(epochs):
             rng.shuffle(train)
             for at in range(0, len(train), batch):
@@ -148,11 +152,11 @@ class LanguageModel:
                 return e / e.sum(axis=1, keepdims=True)
 
             loss = lambda t: -np.log(probabilities(t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-            model.temperature = float(min(np.geomspace(0.05, 8, 60), key=loss))
+            model.temperature = float(min(np.geomspace(0.5, 8, 60), key=loss))
             p = probabilities(model.temperature)
             right = p.argmax(axis=1) == y[held]
             if right.any():
-                model.threshold = float(np.quantile(p.max(axis=1)[right], REJECT_SHARE)) * 0.75
+                model.threshold = min(0.75 * float(np.quantile(p.max(axis=1)[right], REJECT_SHARE)), REJECT_BELOW)
         return model
 
 
