@@ -164,14 +164,14 @@ def x2(t):
 @query("X1_finite_runs", """WITH s AS (SELECT vec_id, i - 1 AS i, abs(embedding[i]::DOUBLE) <= 0.2 AS ok FROM embeddings, range(1, 65) g(i)), g AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS grp FROM s WHERE ok)
   SELECT vec_id, min(i) AS first, max(i) AS last FROM g GROUP BY vec_id, grp""")
 def x1(t):
-    s = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return scan.islands(s.where(F.abs(F.col("v").cast("double")) <= 0.2), ["vec_id"], "i")
+    kept = F.transform("embedding", lambda v: F.when(F.abs(v.cast("double")) <= 0.2, v.cast("double")).otherwise(float("nan")))
+    runs = t.embeddings.select("vec_id", F.inline(kernels.finite_run_column(kept)))
+    return runs.select("vec_id", "first", (F.col("stop") - 1).alias("last"))
 
 
 @query("X4_previous_sample_hold", """SELECT vec_id, o::INT AS place, embedding[floor(o * 25 / 200::DOUBLE + 1e-10)::INT + 1]::DOUBLE AS value FROM embeddings, range(512) g(o)""")
 def x4(t):
-    at = lambda o: F.floor(o * 25 / F.lit(200.0) + 1e-10).cast("int")
-    y = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda o: F.get("embedding", at(o)).cast("double"))
+    y = kernels.hold_column(F.col("embedding"), 25.0)
     return t.embeddings.select("vec_id", F.posexplode(y).alias("place", "value"))
 
 
@@ -345,7 +345,7 @@ _EDF = ("concat(rpad('0', 8, ' '), rpad('X', 80, ' '), rpad('R', 80, ' '), '01.0
 
 
 @query("S2_edf_header_scan", """WITH p AS (SELECT p_partkey, p_size, p_size % 3 + 1 AS ns, p_size * 10 AS records FROM part)
-  SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'ValueError: invalid EDF channel count or header size' WHEN p_size % 9 = 1 THEN 'ValueError: EDF variable header is truncated' END AS error, CASE WHEN ok THEN i - 1 END::INT AS channel_no, CASE WHEN ok THEN 'CH' || i END AS raw_channel,
+  SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'bad_layout: 0 signals in ' || 256 * (ns + 1) || ' header bytes' WHEN p_size % 9 = 1 THEN 'short_header: 300 of ' || 256 * (ns + 1) || ' bytes' END AS error, CASE WHEN ok THEN i - 1 END::INT AS channel_no, CASE WHEN ok THEN 'CH' || i END AS raw_channel,
    CASE WHEN ok THEN 50.0::DOUBLE * i END AS fs_hz, CASE WHEN ok THEN 100 * i * records END AS sample_count, CASE WHEN ok THEN records * 2::DOUBLE END AS duration_seconds, CASE WHEN ok THEN -100::DOUBLE * i END AS phys_min, CASE WHEN ok AND i <> 2 THEN 100::DOUBLE * i END AS phys_max
   FROM (SELECT *, p_size % 9 > 1 AS ok FROM p), range(1, CASE WHEN ok THEN ns + 1 ELSE 2 END) g(i)""")
 def s2(t):

@@ -33,12 +33,31 @@ def test_edf_sources(spark, tmp_path):
     heads = spark.read.format("edf_header").load(str(tmp_path)).orderBy("path", "channel_no").collect()
     assert [(os.path.basename(r["path"]), r["raw_channel"], r["fs_hz"], r["sample_count"]) for r in heads] == [
         ("a.edf", "F3-M2", 4.0, 40), ("a.edf", "SpO2", 1.0, 10), ("b.edf", None, None, None)]
-    assert "truncated" in heads[2]["error"]
+    assert heads[2]["error"].startswith("short_header")
     got = (spark.read.format("edf_samples").option("channel", "f3-m2").option("firstRecord", 2).option("stopRecord", 7)
-           .option("recordsPerPartition", 2).load(str(tmp_path / "a.edf")).orderBy("sample_idx").collect())
+           .option("bytesPerPartition", 25).load(str(tmp_path / "a.edf")).orderBy("sample_idx").collect())
     assert [r["code"] for r in got] == data["F3-M2"][8:28].tolist() and got[0]["sample_idx"] == 8
 
 
+@pytest.mark.parametrize("records, cut, error", [(10, None, None), (-1, None, None), (12, None, "missing_records"), (10, 7, "cut_record")])
+def test_edf_tails(spark, tmp_path, records, cut, error):
+    """What is there is read whatever the header states, and what is not is said."""
+    path = tmp_path / "a.edf"
+    data = write_edf(path, ["F3-M2", "SpO2"], [4, 1], 10)
+    blob = bytearray(path.read_bytes())
+    blob[236:244] = str(records).ljust(8).encode()
+    path.write_bytes(bytes(blob[: len(blob) - cut] if cut else blob))
+    edf.register(spark)
+    for size in (25, 1 << 20):
+        rows = spark.read.format("edf_samples").option("channel", "F3-M2").option("bytesPerPartition", size).load(f"file://{path}").collect()
+        codes = [r["code"] for r in sorted((r for r in rows if r["error"] is None), key=lambda r: r["sample_idx"])]
+        assert codes == data["F3-M2"][: 36 if cut else 40].tolist()
+        errors = [r["error"].split(":")[0] for r in rows if r["error"]]
+        assert errors == ([error, "missing_records"] if cut else [error] if error else [])
+    missing = spark.read.format("edf_samples").option("channel", "none").load(str(path)).collect()
+    assert [r["error"] for r in missing] == ["no_signal: none"]
+
+
 def test_metadata_and_labels(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿BIDSFolder,SessionID,BDSPPatientID,RecordingDuration,StartDateTime,EndDateTime\nsub-b,2,p2,nan,2001,\nsub-a,ses-1,p1, 60 ,1999,\n", encoding="utf-8")
     df = files.read_metadata(spark, str(tmp_path / "m.csv"), limit=1)
