@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from nightgrid import model as m
+from nightgrid.functions.columns import finite
 from nightgrid.functions.headers import path_is_safe, path_key
 from nightgrid.operators.audits import duplicates, problems
 from nightgrid.session import table_options
@@ -39,7 +42,10 @@ def index_digest(epochs: DataFrame, shard: str = "shard_id", block: int = 1024)
 
     blocks = fold(rows, [shard, "recording_id", "_b"], ["_e"])
     records = fold(blocks, [shard, "recording_id"], ["_b"])
-    return fold(records, [shard], ["recording_id"]).withColumnRenamed("_h", "index_digest")
+    # A shard may hold any number of records: their hashes are folded by leading digits first.
+    leading = records.withColumn("_g", F.substring(F.sha2(F.col("recording_id").cast("string"), 256), 1, 3))
+    groups = fold(leading, [shard, "_g"], ["recording_id"])
+    return fold(groups, [shard], ["_g"]).withColumnRenamed("_h", "index_digest")
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -63,49 +69,108 @@ def write_signals(df: DataFrame, path: str) -> None:
 
 
 def read_commits(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(COMMIT_SCHEMA).parquet(f"{root}/commits")
+    """Commit rows of all runs; none before the first run."""
+    try:
+        return spark.read.schema(COMMIT_SCHEMA).parquet(f"{root}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
 
 
-def publish(root: str, tables: dict[str, DataFrame], digest_columns: dict[str, Sequence[str]]) -> str:
-    """Write every uncommitted shard, then append the commit rows that make it visible.
+def default_gates() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """What a stored artifact must pass: each audit returns rows with the recording_id of what is wrong."""
+    from nightgrid.operators import audits
 
-    A run writes below its own run id; until its commit rows exist readers see nothing of it,
-    so a lost job leaves no half-published shard and a re-run starts from the same state.
+    def signals(df: DataFrame) -> DataFrame:
+        finite_samples = problems(df, ["recording_id"], {"finite": F.forall("samples", lambda x: finite(x.cast("double")))})
+        index = audits.index_violations(df, ["recording_id", "channel"])
+        return finite_samples.select("recording_id").unionByName(index.select("recording_id"))
+
+    def qc(df: DataFrame) -> DataFrame:
+        found = [audit(df).select("recording_id") for audit in (audits.flag_violations, audits.code_violations, audits.mask_violations)]
+        return found[0].unionByName(found[1]).unionByName(found[2])
+
+    return {"signal_epochs": signals, "qc_epochs": qc, "task_epochs": audits.task_code_violations, "records": whole_records}
+
+
+def whole_records(records: DataFrame) -> DataFrame:
+    """Records listed twice, without epochs, or with a grade outside 1-5."""
+    checks = {"n_epochs": F.col("n_epochs") > 0}
+    if "night_grade" in records.columns:
+        checks["night_grade"] = F.col("night_grade").between(1, 5)
+    return problems(records, ["recording_id"], checks).select("recording_id").unionByName(
+        duplicates(records, ["recording_id"]).select("recording_id"))
+
+
+def publish(root: str, tables: dict[str, DataFrame], digest_columns: dict[str, Sequence[str]] | None = None,
+            gates: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> str:
+    """Write every uncommitted shard of every artifact, audit it, then commit it.
+
+    A run writes below its own run id and commits with one file, which appears whole or not at
+    all; until then readers see nothing of it, so a lost job leaves no half-published shard and a
+    re-run starts from the same state. A shard is done per artifact, so an artifact added later is written for old
+    shards too. Digests cover every stored column unless columns are named. What was stored must pass its gate; a
+    shard with a violation is committed as QC_FAILED, stays invisible, and is written again by the next run.
     """
     spark = next(iter(tables.values())).sparkSession
-    run_id = uuid.uuid4().hex
-    if path_exists(spark, f"{root}/commits"):
-        done = read_commits(spark, root).where("status = 'QC_PASSED'").select("shard_id").distinct()
-    else:
-        done = spark.createDataFrame([], "shard_id string")
+    run_id, gates = uuid.uuid4().hex, default_gates() if gates is None else gates
+    done = read_commits(spark, root).where("status = 'QC_PASSED'").select("artifact", "shard_id").distinct()
     commits = None
     for name, df in tables.items():
-        pending = df.withColumn("shard_id", F.col("shard_id").cast("string")).join(done, "shard_id", "left_anti")
+        committed = done.where(F.col("artifact") == name).select("shard_id")
+        pending = df.withColumn("shard_id", F.col("shard_id").cast("string")).join(committed, "shard_id", "left_anti")
         path = f"{root}/{name}/run_id={run_id}"
         order = [c for c in ("recording_id", "epoch_in_record", "channel", "task") if c in df.columns]
         write_table(pending, path, order=order)
-        # Digests come from what was stored, not from the plan that produced it.
+        # Digests and audits look at what was stored, not at the plan that produced it.
         stored = spark.read.schema(pending.schema).parquet(path)
-        rows = row_digest(stored, "shard_id", list(digest_columns[name])).select(
-            F.col("shard_id").cast("string"), F.lit(run_id).alias("run_id"), F.lit(name).alias("artifact"),
-            "epochs", "digest", F.lit("QC_PASSED").alias("status"))
+        columns = (digest_columns or {}).get(name) or sorted(stored.columns)
+        rows = row_digest(stored, "shard_id", list(columns))
+        if name in gates:
+            wrong = gates[name](stored).select("recording_id").distinct()
+            failed = stored.select("shard_id", "recording_id").join(wrong, "recording_id", "left_semi").select("shard_id").distinct()
+            rows = rows.join(failed.withColumn("_failed", F.lit(True)), "shard_id", "left")
+        else:
+            rows = rows.withColumn("_failed", F.lit(None).cast("boolean"))
+        status = F.when(F.col("_failed"), "QC_FAILED").otherwise("QC_PASSED")
+        rows = rows.select("shard_id", F.lit(run_id).alias("run_id"), F.lit(name).alias("artifact"), "epochs", "digest", status.alias("status"))
         commits = rows if commits is None else commits.unionByName(rows)
-    commits.write.mode("append").parquet(f"{root}/commits")
+    commits.coalesce(1).write.mode("append").parquet(f"{root}/commits")  # one row a shard and artifact
     return run_id
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def visible(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The commit that readers follow for each shard of an artifact: of several runs, one."""
+    passed = read_commits(spark, root).where((F.col("artifact") == name) & (F.col("status") == "QC_PASSED"))
+    return passed.groupBy("shard_id").agg(F.min_by(F.struct("run_id", "epochs", "digest"), "run_id").alias("_c")).select("shard_id", "_c.*")
+
+
+def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All rows of an artifact with run_id and shard_id as the text they are, leading zeros and all."""
+    files = spark.read.option("basePath", f"{root}/{name}")
+    found = files.parquet(f"{root}/{name}").schema
+    keys = ("run_id", "shard_id")
+    schema = StructType([StructField(f.name, StringType()) if f.name in keys else f for f in found])
+    return files.schema(schema).parquet(f"{root}/{name}")
 
 
-def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of committed (run, shard) pairs only."""
-    keys = (read_commits(spark, root).where((F.col("artifact") == name) & (F.col("status") == "QC_PASSED"))
-            .select("run_id", "shard_id").distinct())
-    data = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return (data.withColumn("shard_id", F.col("shard_id").cast("string"))
-            .join(keys, ["run_id", "shard_id"], "left_semi").drop("run_id"))
+def damaged_shards(spark: SparkSession, root: str, name: str, digest_columns: Sequence[str] | None = None) -> DataFrame:
+    """Visible shards whose stored rows no longer give the committed digest: shard_id, run_id."""
+    keys = visible(spark, root, name)
+    data = _stored(spark, root, name).join(keys.select("run_id", "shard_id"), ["run_id", "shard_id"], "left_semi")
+    columns = digest_columns or sorted(c for c in data.columns if c != "run_id")
+    now = row_digest(data, "shard_id", list(columns)).select("shard_id", F.col("digest").alias("_now"))
+    return keys.join(now, "shard_id", "left").where(~F.col("digest").eqNullSafe(F.col("_now"))).select("shard_id", "run_id")
+
+
+def read_published(spark: SparkSession, root: str, name: str, verify: bool = False,
+                   digest_columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of committed shards, each from one run; ``verify`` reads them twice and leaves out damaged shards."""
+    keys = visible(spark, root, name).select("run_id", "shard_id")
+    if verify:
+        keys = keys.join(damaged_shards(spark, root, name, digest_columns), ["run_id", "shard_id"], "left_anti")
+    return _stored(spark, root, name).join(keys, ["run_id", "shard_id"], "left_semi").drop("run_id")
 
 
 def check_release(version: str, status: str, tasks: Sequence[str] = (), schema: str | None = None) -> None:
@@ -226,8 +291,6 @@ def window_violations(windows: DataFrame, records: DataFrame) -> DataFrame:
 
 def batch_contract_violations(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Row-level contract of an adapted batch in long form."""
-    from nightgrid.functions.columns import finite
-
     expected = F.col("channel_available") & F.col("coverage_valid") & F.col("processing_valid") & F.col("artifact_valid")
     live = F.col("data_valid") & F.col("channel_mask")
     return problems(rows, keys, {

@@ -164,12 +164,12 @@ def l5(t):
 @query("L6_event_resolution", """SELECT user_id AS recording_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS epoch_in_record,
   arg_max(event_type, event_id) AS event_code, count(DISTINCT event_type) > 1 AS event_conflict FROM events GROUP BY 1, 2""")
 def l6(t):
+    """Each event stands on its own hour, written as one epoch of the grid."""
     slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
-    rows = t.events.select(F.col("user_id").alias("recording_id"), F.lit(0.0).alias("start_s"), F.lit(30.0).alias("end_s"),
-                           F.col("event_type").alias("code"), F.col("event_id").alias("event_idx"), slot.alias("s"))
-    return (rows.groupBy("recording_id", F.col("s").alias("epoch_in_record"))
-            .agg(F.max_by("code", "event_idx").alias("event_code"),
-                 (F.min("code") != F.max("code")).alias("event_conflict")))
+    rows = t.events.select(F.col("user_id").alias("recording_id"), (slot * 30.0).alias("start_s"), ((slot + 1) * 30.0).alias("end_s"),
+                           F.col("event_type").alias("code"), F.col("event_id").alias("event_idx"))
+    lengths = rows.groupBy("recording_id").agg((F.max("end_s") / 30).cast("bigint").alias("n_epochs"))
+    return labels.event_epochs(rows, lengths)
 
 
 _MAP = ("concat('{\"0\":\"Unknown\",\"1\":\"N3\",\"2\":\"n2\",\"3\":\"N1\",\"4\":\"REM\",\"5\":\"', "
@@ -266,7 +266,7 @@ def w6b(t):
 
 
 @query("J8_point_in_interval", """WITH e AS (SELECT user_id AS recording_id, event_id, epoch_us(ts) / 1e6 - 1704067200 AS s, value * 100 AS d, event_type AS code FROM events),
-  c AS (SELECT recording_id, g.k AS epoch_in_record, (g.k + 5e-1) * 21600 AS centre FROM (SELECT DISTINCT recording_id FROM e), range(120) g(k)),
+  c AS (SELECT recording_id, g.k AS epoch_in_record, (g.k + 5e-1) * 21600 AS centre FROM (SELECT recording_id, greatest(0, ceil(max(s) / 21600))::BIGINT + 1 AS n FROM e GROUP BY 1), range(n) g(k)),
   a AS (SELECT c.recording_id, c.epoch_in_record, c.centre, arg_max(e.s, (e.s, e.event_id)) AS s, arg_max(e.d, (e.s, e.event_id)) AS d, arg_max(e.code, (e.s, e.event_id)) AS code
    FROM c LEFT JOIN e ON e.recording_id = c.recording_id AND e.s <= c.centre GROUP BY 1, 2, 3)
   SELECT recording_id, epoch_in_record, CASE WHEN centre < s + d + 1e-6 THEN code ELSE '-1' END AS stage, coalesce(centre < s + d + 1e-6, false) AS stage_mask FROM a""")
@@ -274,8 +274,10 @@ def j8(t):
     sec = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - 1704067200
     e = t.events.select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("event_idx"), sec.alias("start_s"),
                         (F.col("value") * 100).alias("duration_s"), F.col("event_type").alias("code"))
-    centres = (e.select("recording_id").distinct()
-               .withColumn("epoch_in_record", F.explode(F.sequence(F.lit(0), F.lit(119))))
+    # As many slots as the recording's own events reach, and one after them.
+    reach = F.greatest(F.lit(0), F.ceil(F.max("start_s") / 21600)).cast("int")
+    centres = (e.groupBy("recording_id").agg(reach.alias("last"))
+               .select("recording_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("epoch_in_record"))
                .withColumn("centre_s", (F.col("epoch_in_record") + F.lit(0.5)) * 21600))
     return labels.as_of_stage(e, centres)
 

@@ -23,13 +23,13 @@ def stored_signals(t: Tables) -> DataFrame:
     return sq.live_epochs(t).select(
         "recording_id", "channel", "epoch_in_record",
         (F.col("epoch_in_record").cast("bigint") * 30_000_000_000).alias("epoch_start_offset_ns"), x.alias("samples"),
-        F.floor(F.col("recording_id") / 2).cast("string").alias("shard_id"))
+        F.lpad(F.floor(F.col("recording_id") / 2).cast("string"), 5, "0").alias("shard_id"))
 
 
 _TOTAL = "round(list_sum(list_transform(x, lambda v: CASE WHEN isfinite(v) THEN v::DOUBLE ELSE 0 END)), 3)"
 
 
-@query("K1_signal_sink", CTE + f"SELECT {_ID}, (recording_id // 2)::VARCHAR AS shard_id, epoch_in_record::BIGINT * 30000000000 AS epoch_start_offset_ns, {_TOTAL} AS total FROM live")
+@query("K1_signal_sink", CTE + f"SELECT {_ID}, lpad((recording_id // 2)::VARCHAR, 5, '0') AS shard_id, epoch_in_record::BIGINT * 30000000000 AS epoch_start_offset_ns, {_TOTAL} AS total FROM live")
 def k1(t):
     path = scratch_path(t.spark, "signals")
     rows = stored_signals(t)
@@ -87,14 +87,12 @@ def publish_all(t: Tables, root: str) -> None:
     recs = (rows.groupBy("recording_id", "shard_id").agg(
         F.count_distinct("epoch_in_record").alias("n_epochs"))
         .withColumn("subject_id", F.col("recording_id")).withColumn("night_grade", F.lit(5)))
-    digest = {"signal_epochs": ["recording_id", "channel", "epoch_in_record", "epoch_start_offset_ns"],
-              "records": ["recording_id", "n_epochs"]}
     even = F.col("shard_id").cast("int") % 2 == 0
-    release.publish(root, {"signal_epochs": rows.where(even), "records": recs.where(even)}, digest)
-    release.publish(root, {"signal_epochs": rows, "records": recs}, digest)
+    release.publish(root, {"signal_epochs": rows.where(even), "records": recs.where(even)})
+    release.publish(root, {"signal_epochs": rows, "records": recs})
 
 
-@query("K8_idempotent_publish", CTE + "SELECT (recording_id // 2)::VARCHAR AS shard_id, 'signal_epochs' AS artifact, count(*) AS epochs, count(*) AS visible_rows FROM live GROUP BY 1")
+@query("K8_idempotent_publish", CTE + "SELECT lpad((recording_id // 2)::VARCHAR, 5, '0') AS shard_id, 'signal_epochs' AS artifact, count(*) AS epochs, count(*) AS visible_rows FROM live GROUP BY 1")
 def k8(t):
     root = scratch_path(t.spark, "release")
     publish_all(t, root)
@@ -300,19 +298,25 @@ def f13(t):
 
 
 @query("F14_index_digest", """WITH h AS (SELECT conv_id // 16 AS shard_id, conv_id, turn, sha256(conv_id || ':' || turn || ':' || turn * 30000000000) AS h FROM conversations),
-  b AS (SELECT shard_id, conv_id, turn // 3 AS b, sha256(string_agg(h, ',' ORDER BY turn)) AS h FROM h GROUP BY 1, 2, 3), r AS (SELECT shard_id, conv_id, sha256(string_agg(h, ',' ORDER BY b)) AS h FROM b GROUP BY 1, 2)
-  SELECT shard_id, sha256(string_agg(h, ',' ORDER BY conv_id)) AS index_digest FROM r GROUP BY 1""")
+  b AS (SELECT shard_id, conv_id, turn // 3 AS b, sha256(string_agg(h, ',' ORDER BY turn)) AS h FROM h GROUP BY 1, 2, 3), r AS (SELECT shard_id, conv_id, sha256(string_agg(h, ',' ORDER BY b)) AS h FROM b GROUP BY 1, 2),
+  g AS (SELECT shard_id, substr(sha256(conv_id::VARCHAR), 1, 3) AS g, sha256(string_agg(h, ',' ORDER BY conv_id)) AS h FROM r GROUP BY 1, 2)
+  SELECT shard_id, sha256(string_agg(h, ',' ORDER BY g)) AS index_digest FROM g GROUP BY 1""")
 def f14(t):
     rows = t.conversations.select(F.floor(F.col("conv_id") / 16).alias("shard_id"), F.col("conv_id").alias("recording_id"),
                                   F.col("turn").alias("epoch_in_record"), (F.col("turn") * 30_000_000_000).alias("epoch_start_offset_ns"))
     return release.index_digest(rows, block=3)
 
 
-@query("F14_file_checksums")
+@query("F14_file_checksums", """SELECT s_nationkey, octet_length(encode(string_agg(line, '' ORDER BY s_suppkey)))::BIGINT AS bytes, sha256(string_agg(line, '' ORDER BY s_suppkey)) AS sha256
+  FROM (SELECT *, s_suppkey || '|' || s_name || chr(10) AS line FROM supplier) GROUP BY 1""")
 def f14b(t):
+    """One text file a nation, its lines in key order, hashed as files."""
     path = scratch_path(t.spark, "files")
-    t.supplier.repartitionByRange(4, "s_suppkey").write.option("header", True).csv(path)
-    return release.file_digests(t.spark, path, "*.csv").select("bytes", "sha256")
+    lines = t.supplier.select("s_nationkey", "s_suppkey", F.concat_ws("|", "s_suppkey", "s_name").alias("value"))
+    (lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey")
+     .write.partitionBy("s_nationkey").text(path))
+    found = release.file_digests(t.spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", r"s_nationkey=(\d+)/", 1).cast("int").alias("s_nationkey"), "bytes", "sha256")
 
 
 @query("J10_signal_task_binding", lq.CTE + """, s AS (SELECT recording_id, epoch_in_record, epoch_in_record * 30000000000 + (recording_id % 20 = 3)::INT AS ns FROM slot),

@@ -14,6 +14,7 @@ from nightgrid import model as m
 from nightgrid.functions import columns as c
 from nightgrid.functions import headers as h
 from nightgrid.operators import calibrate, grid, kernels, rules
+from nightgrid.plans import preprocess
 from nightgrid.plans.registry import Tables, query
 from nightgrid.sources import synthetic
 
@@ -49,7 +50,10 @@ _HEADER = [
 
 
 def headers(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id % 120 < 15").selectExpr(*_KEYS[:2], _CHANNEL, *_HEADER)
+    """The header of each recording and channel is that of its first stored epoch, whichever it is."""
+    first = (t.embeddings.selectExpr(*_KEYS[:2], _CHANNEL, "vec_id", "label").groupBy("recording_id", "channel")
+             .agg(F.min("vec_id").alias("vec_id"), F.min_by("label", "vec_id").alias("label")))
+    return first.selectExpr("recording_id", "channel", *_HEADER)
 
 
 def epochs(t: Tables) -> DataFrame:
@@ -416,15 +420,17 @@ def a5(t):
 
 @query("S9_gate_before_waveform", CTE + "SELECT recording_id, channel, count(*) AS epochs FROM live GROUP BY 1, 2")
 def s9(t):
-    gate = processed(t).where("channel_available").select("recording_id", "channel")
-    return (epochs(t).select("recording_id", "channel").join(gate, ["recording_id", "channel"], "left_semi")
-            .groupBy("recording_id", "channel").agg(F.count("*").alias("epochs")))
+    """Each stored epoch is one chunk; the pipeline's own gate lets it through or not."""
+    rows = epochs(t).withColumn("chunk_no", F.col("epoch_in_record"))
+    lengths = rows.groupBy("recording_id").agg(F.lit(240.0).alias("duration_sec"), F.lit(8).alias("epoch_count"))
+    passed = preprocess.accepted_chunks(processed(t), rows, lengths)
+    return passed.groupBy("recording_id", "channel").agg(F.count("*").alias("epochs"))
 
 
 @query("X6_cut_into_epochs", """SELECT vec_id, (k - 1)::INT AS epoch_in_record, round(list_sum(list_transform(embedding[(k-1)*16+1:k*16], lambda v: v::DOUBLE)), 6) AS total
   FROM embeddings, range(1, 5) t(k)""")
 def x6(t):
-    cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, 16)))
+    cut = F.posexplode(kernels.epochs_column(F.col("embedding"), 16, F.lit(4)))
     rows = t.embeddings.select("vec_id", cut.alias("epoch_in_record", "part"))
     return rows.select("vec_id", "epoch_in_record", F.round(
         F.aggregate("part", F.lit(0.0), lambda a, v: a + v.cast("double")), 6).alias("total"))
@@ -433,7 +439,7 @@ def x6(t):
 @query("W15_spectral_segments", """SELECT vec_id, s::INT AS segment_no, (s * 8)::INT AS first_sample,
   round(list_avg(list_transform(embedding[s*8+1:s*8+16], lambda v: v::DOUBLE)), 6) AS level FROM embeddings, range(7) t(s)""")
 def w15(t):
-    cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(48), F.lit(8)), lambda k: F.slice("embedding", k + 1, 16)))
+    cut = F.posexplode(kernels.segments_column(F.col("embedding"), 16, 8))
     rows = t.embeddings.select("vec_id", cut.alias("segment_no", "part"))
     return rows.select("vec_id", "segment_no", (F.col("segment_no") * 8).alias("first_sample"), F.round(
         F.aggregate("part", F.lit(0.0), lambda a, v: a + v.cast("double")) / 16, 6).alias("level"))

@@ -17,7 +17,7 @@ from nightgrid.operators import release
 
 def publish_arrivals(spark: SparkSession, ledger_path: str, ledger_schema: str, root: str, checkpoint: str,
                      build: Callable[[DataFrame], dict[str, DataFrame]],
-                     digest_columns: dict[str, Sequence[str]]) -> StreamingQuery:
+                     digest_columns: dict[str, Sequence[str]] | None = None) -> StreamingQuery:
     """Publish every shard named by newly arrived ledger files, then stop.
 
     A ledger file lists whole shards (one row per recording with its shard_id); ``build``

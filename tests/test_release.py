@@ -12,7 +12,7 @@ DIGEST = {"signal_epochs": ["recording_id", "epoch_in_record"], "records": ["rec
 
 
 def tables(spark, shards):
-    lengths = {"a1": ("0", 3, 5), "b1": ("0", 2, 1), "a2": ("1", 2, 5)}
+    lengths = {"a1": ("00000", 3, 5), "b1": ("00000", 2, 1), "a2": ("00001", 2, 5)}
     recs = [(r, r[0], r[1], s, n, g) for r, (s, n, g) in lengths.items() if s in shards]
     records = spark.createDataFrame(recs, "recording_id string, subject_id string, session_id string, shard_id string, n_epochs bigint, night_grade int")
     rows = [(r[0], "e1", e, e * m.EPOCH_NS, [float(e + 1)] * 4, r[3]) for r in recs for e in range(r[4])]
@@ -22,13 +22,13 @@ def tables(spark, shards):
 
 def test_publish_resume_and_windows(spark, tmp_path):
     root = str(tmp_path / "release")
-    first = release.publish(root, tables(spark, {"0"}), DIGEST)
-    second = release.publish(root, tables(spark, {"0", "1"}), DIGEST)
+    first = release.publish(root, tables(spark, {"00000"}), DIGEST)
+    second = release.publish(root, tables(spark, {"00000", "00001"}), DIGEST)
     commits = release.read_commits(spark, root)
-    assert {(r["shard_id"], r["run_id"]) for r in commits.where("artifact = 'records'").collect()} == {("0", first), ("1", second)}
+    assert {(r["shard_id"], r["run_id"]) for r in commits.where("artifact = 'records'").collect()} == {("00000", first), ("00001", second)}
     assert release.read_published(spark, root, "signal_epochs").count() == 7
     # A run that wrote data but never committed stays invisible.
-    stray = tables(spark, {"1"})["signal_epochs"].withColumn("epoch_in_record", F.col("epoch_in_record") + 50)
+    stray = tables(spark, {"00001"})["signal_epochs"].withColumn("epoch_in_record", F.col("epoch_in_record") + 50)
     release.write_table(stray, f"{root}/signal_epochs/run_id=dead")
     assert release.read_published(spark, root, "signal_epochs").where("epoch_in_record >= 50").count() == 0
     source = published.read_release(spark, root)
@@ -39,19 +39,52 @@ def test_publish_resume_and_windows(spark, tmp_path):
     assert [(r["epoch_in_record"], r["start_sec"], r["epoch_start_offset_ns"]) for r in tail] == [(2, 60.0, 60 * 10**9)]
 
 
+def test_damage_later_artifacts_and_two_runs(spark, tmp_path):
+    root, both = str(tmp_path / "release"), {"00000", "00001"}
+    release.publish(root, {"records": tables(spark, both)["records"]})
+    # An artifact that comes later is written for shards that others have already.
+    run = release.publish(root, tables(spark, both))
+    read = lambda **kw: release.read_published(spark, root, "signal_epochs", **kw)
+    assert read().count() == 7 and read(verify=True).count() == 7 and {r.shard_id for r in read().collect()} == both
+    # A second run that did not see the first one's commits: each shard is read once.
+    release.write_table(tables(spark, both)["signal_epochs"], f"{root}/signal_epochs/run_id=other")
+    again = release.read_commits(spark, root).where("artifact = 'signal_epochs'").withColumn("run_id", F.lit("other"))
+    spark.createDataFrame(again.collect(), again.schema).write.mode("append").parquet(f"{root}/commits")
+    assert read().count() == 7
+    # Changed samples: the digest covers every column.
+    chosen = {r.shard_id: r.run_id for r in release.visible(spark, root, "signal_epochs").collect()}
+    path = f"{root}/signal_epochs/run_id={chosen['00001']}/shard_id=00001"
+    changed = spark.read.parquet(path).withColumn("samples", F.transform("samples", lambda x: x + 1)).collect()
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame(changed, schema).write.mode("overwrite").parquet(path)
+    assert [r.shard_id for r in release.damaged_shards(spark, root, "signal_epochs").collect()] == ["00001"]
+    assert {r.shard_id for r in read(verify=True).collect()} == {"00000"}
+    assert run
+
+
+def test_gate_keeps_bad_shards_back(spark, tmp_path):
+    root, rows = str(tmp_path / "release"), tables(spark, {"00000", "00001"})
+    broken = rows["signal_epochs"].where("recording_id <> 'a1' OR epoch_in_record <> 1")  # a gap in one night
+    release.publish(root, {"signal_epochs": broken})
+    assert {r.shard_id for r in release.read_published(spark, root, "signal_epochs").collect()} == {"00001"}
+    assert {(r.shard_id, r.status) for r in release.read_commits(spark, root).collect()} == {("00000", "QC_FAILED"), ("00001", "QC_PASSED")}
+    release.publish(root, {"signal_epochs": rows["signal_epochs"]})
+    assert release.read_published(spark, root, "signal_epochs").count() == 7
+
+
 def test_incremental_publish(spark, tmp_path):
     root, ledger = str(tmp_path / "release"), str(tmp_path / "ledger")
     schema = "recording_id string, shard_id string"
 
     def arrive(*shards):
         tables(spark, set(shards))["records"].select("recording_id", "shard_id").write.mode("append").parquet(ledger)
-        build = lambda batch: {k: v.join(batch.select("recording_id"), "recording_id", "left_semi") for k, v in tables(batch.sparkSession, {"0", "1"}).items()}
+        build = lambda batch: {k: v.join(batch.select("recording_id"), "recording_id", "left_semi") for k, v in tables(batch.sparkSession, {"00000", "00001"}).items()}
         publish_arrivals(spark, ledger, schema, root, str(tmp_path / "cp"), build, DIGEST).awaitTermination()
         return release.read_published(spark, root, "signal_epochs").count()
 
-    assert arrive("0") == 5
-    assert arrive("1") == 7
-    assert arrive("1") == 7
+    assert arrive("00000") == 5
+    assert arrive("00001") == 7
+    assert arrive("00001") == 7
 
 
 def test_reader_registration():
