@@ -111,9 +111,12 @@ def events_from_arrays(df: DataFrame, default_duration: float = 30.0) -> DataFra
 
 
 def event_epochs(events: DataFrame, records: DataFrame, epoch_seconds: float = 30.0) -> DataFrame:
-    """Explicit stage of each grid epoch: last event wins, differing codes are a conflict."""
+    """Explicit stage of each grid epoch: last event wins, differing codes are a conflict.
+
+    Events without finite times mark nothing (``event_time_errors`` rejects their recordings).
+    """
     k = F.col("start_s") / F.lit(epoch_seconds)
-    on_grid = (F.col("start_s") >= 0) & isclose(k, F.rint(k), tol=1e-6)
+    on_grid = finite(F.col("start_s")) & finite(F.col("end_s")) & (F.col("start_s") >= 0) & isclose(k, F.rint(k), tol=1e-6)
     rows = (events.where(on_grid & (F.col("end_s") > F.col("start_s")))
             .join(records.select("recording_id", "n_epochs"), "recording_id")
             .withColumn("_first", F.rint(k).cast("bigint"))
@@ -129,7 +132,7 @@ def event_epochs(events: DataFrame, records: DataFrame, epoch_seconds: float = 3
 def event_defects(events: DataFrame, epoch_seconds: float = 30.0) -> DataFrame:
     """Per recording: off-grid, non-positive and non-finite event counts."""
     k = F.col("start_s") / F.lit(epoch_seconds)
-    real = finite(F.col("start_s")) & finite(F.col("end_s"))
+    real = F.coalesce(finite(F.col("start_s")) & finite(F.col("end_s")), F.lit(False))
     off = real & ~((F.col("start_s") >= 0) & isclose(k, F.rint(k), tol=1e-6))
     return events.groupBy("recording_id").agg(
         F.count_if(off).alias("off_grid_events"),
@@ -137,15 +140,28 @@ def event_defects(events: DataFrame, epoch_seconds: float = 30.0) -> DataFrame:
         F.count_if(~real).alias("nonfinite_events"))
 
 
+def _rejected(recordings: DataFrame, detail: str) -> DataFrame:
+    return recordings.select("recording_id", F.lit("labels").alias("stage"), F.lit("TASK_EPOCH_KEY_MISMATCH").alias("code"),
+                             F.lit(detail).alias("detail"))
+
+
+def event_time_errors(events: DataFrame) -> DataFrame:
+    """Recordings with an event whose start or end is no finite number."""
+    return _rejected(events.where(~(finite(F.col("start_s")) & finite(F.col("end_s")))).select("recording_id").distinct(), "nonfinite event time")
+
+
+def missing_source_errors(records: DataFrame, rows: DataFrame, detail: str) -> DataFrame:
+    """Recordings of which a source says nothing at all."""
+    return _rejected(records.join(rows.select("recording_id"), "recording_id", "left_anti"), detail)
+
+
 def event_map_errors(maps: DataFrame, column: str = "event_map") -> DataFrame:
     """Recordings whose stage map is missing or does not name the five stages at keys 1-5."""
     parsed = F.from_json(F.col(column), "map<string,string>")
     ok = F.lit(True)
     for i, name in enumerate(m.EVENT_STAGES, 1):
         ok = ok & (F.upper(F.try_element_at(parsed, F.lit(str(i)))) == name)
-    return maps.where(~F.coalesce(ok, F.lit(False))).select(
-        "recording_id", F.lit("labels").alias("stage"), F.lit("TASK_EPOCH_KEY_MISMATCH").alias("code"),
-        F.lit("stage map").alias("detail"))
+    return _rejected(maps.where(~F.coalesce(ok, F.lit(False))), "stage map")
 
 
 def overlay_events(labels: DataFrame, events: DataFrame) -> DataFrame:

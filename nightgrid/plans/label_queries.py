@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nightgrid import model as m
 from nightgrid.operators import audits, grid, labels
 from nightgrid.operators.scan import islands
+from nightgrid.plans import preprocess
 from nightgrid.plans.registry import Tables, query
 
 # One label row per turn; the role is the stage token and the text length drives the numbers.
@@ -22,8 +23,8 @@ _LABEL = [
 ]
 _EVENT = [
     "conv_id AS recording_id", "CAST(turn AS INT) AS event_idx",
-    "CAST(turn * 30 + CASE WHEN (conv_id + turn) % 9 = 0 THEN 10 WHEN turn % 5 = 4 THEN -30 ELSE 0 END AS DOUBLE) AS start_s",
-    "CAST(turn * 30 + CASE WHEN (conv_id + turn) % 11 = 0 THEN -60 WHEN turn % 3 = 0 THEN 60 ELSE 30 END AS DOUBLE) AS end_s",
+    "CASE WHEN (conv_id + turn) % 31 = 3 THEN CAST('NaN' AS DOUBLE) ELSE CAST(turn * 30 + CASE WHEN (conv_id + turn) % 9 = 0 THEN 10 WHEN turn % 5 = 4 THEN -30 ELSE 0 END AS DOUBLE) END AS start_s",
+    "CASE WHEN (conv_id + turn) % 29 = 5 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(turn * 30 + CASE WHEN (conv_id + turn) % 11 = 0 THEN -60 WHEN turn % 3 = 0 THEN 60 ELSE 30 END AS DOUBLE) END AS end_s",
     "CASE role WHEN 'user' THEN 5 WHEN 'assistant' THEN 2 ELSE 1 END AS code",
 ]
 
@@ -79,8 +80,8 @@ o AS (SELECT *, r_max_bpm + r_min_bpm + r_mean_bpm = 0 AND NOT (min_bpm <= mean_
   r_max_percent + r_min_percent = 0 AND NOT (min_percent <= max_percent) AS sa_swap FROM k),
 base AS (SELECT *, {', '.join(f'CASE WHEN hr_swap THEN 4 ELSE r_{f} END AS c_{f}' for f in _HR)},
   {', '.join(f'CASE WHEN sa_swap THEN 4 ELSE r_{f} END AS c_{f}' for f in _SA)} FROM o),
-ok AS (SELECT evt.*, round_even(start_s / 30, 0)::BIGINT AS first, least(n_epochs, floor((end_s + 1e-6) / 30))::BIGINT AS stop
-  FROM evt JOIN rec USING (recording_id) WHERE start_s >= 0 AND start_s % 30 = 0 AND end_s > start_s),
+ok AS (SELECT evt.*, TRY_CAST(round_even(start_s / 30, 0) AS BIGINT) AS first, TRY_CAST(least(n_epochs, floor((end_s + 1e-6) / 30)) AS BIGINT) AS stop
+  FROM evt JOIN rec USING (recording_id) WHERE isfinite(start_s) AND isfinite(end_s) AND start_s >= 0 AND start_s % 30 = 0 AND end_s > start_s),
 ev AS (SELECT recording_id, e AS epoch_in_record, arg_max(code, event_idx) AS event_code, count(DISTINCT code) > 1 AS event_conflict
   FROM ok, range(first, stop) g(e) WHERE first < stop GROUP BY 1, 2),
 ov AS (SELECT base.*, event_code, coalesce(event_conflict, false) AS event_conflict, present AND event_code IS NULL AS time_unverified,
@@ -111,6 +112,24 @@ def s7(t):
     return labels.label_key_errors(t.conversations.selectExpr("conv_id AS recording_id", text))
 
 
+@query("S7_rejected_recordings", CTE + """, src AS (SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN CAST(turn // 2 + 1 AS VARCHAR) ELSE CAST(turn + 1 AS VARCHAR) END AS ep FROM conversations WHERE conv_id % 17 <> 2),
+ ec AS (SELECT * FROM evt WHERE recording_id % 13 <> 5),
+ er AS (SELECT DISTINCT conv_id AS recording_id, 'duplicate source epoch' AS detail FROM (SELECT conv_id, ep FROM src GROUP BY 1, 2 HAVING count(*) > 1)
+   UNION ALL SELECT recording_id, 'no label rows' FROM rec WHERE recording_id % 17 = 2 UNION ALL SELECT recording_id, 'no stage grid' FROM rec WHERE recording_id % 13 = 5
+   UNION ALL SELECT DISTINCT recording_id, 'nonfinite event time' FROM ec WHERE NOT isfinite(start_s) OR NOT isfinite(end_s)
+   UNION ALL SELECT recording_id, 'stage map' FROM rec WHERE recording_id % 19 = 4)
+ SELECT recording_id, detail, 0::BIGINT AS task_rows FROM er UNION ALL SELECT recording_id, NULL, 3 * n_epochs FROM rec WHERE n_epochs > 0 AND recording_id NOT IN (SELECT recording_id FROM er)""")
+def s7b(t):
+    """The whole label path: every kind of failure, and no task row of a recording that has one."""
+    epoch = "CASE WHEN conv_id % 7 = 0 THEN CAST(floor(turn / 2) + 1 AS STRING) ELSE CAST(turn + 1 AS STRING) END AS Epoch"
+    rows = t.conversations.where("conv_id % 17 <> 2").selectExpr(*[epoch if "AS Epoch" in e else e for e in _LABEL])
+    names = "CASE WHEN recording_id % 19 = 4 THEN 'N4' ELSE 'N3' END"
+    maps = records(t).select("recording_id", F.expr(f"""concat('{{"1":"', {names}, '","2":"N2","3":"N1","4":"REM","5":"Wake"}}')""").alias("event_map"))
+    out = preprocess.label_tables(records(t).withColumnRenamed("n_epochs", "epoch_count"), rows, events(t).where("recording_id % 13 <> 5"), maps)
+    kept = out["task_epochs"].groupBy("recording_id").agg(F.lit(None).cast("string").alias("detail"), F.count("*").alias("task_rows"))
+    return out["errors"].select("recording_id", "detail", F.lit(0).cast("bigint").alias("task_rows")).unionByName(kept)
+
+
 @query("S8_stage_event_scan", """SELECT vec_id AS recording_id, (i - 1)::INT AS event_idx, (i - 1) * 30::DOUBLE AS start_s, 30::DOUBLE AS duration_s,
   round_even(embedding[i]::DOUBLE * 10, 0)::INT AS code FROM embeddings, range(1, 65) g(i)""")
 def s8(t):
@@ -190,8 +209,9 @@ def alignment(t: Tables) -> DataFrame:
 _ALIGN = """, al AS (SELECT recording_id, count(*) FILTER (known_anchor) AS known_anchors, count(*) FILTER (time_unverified) AS time_unverified_epochs,
   count(*) FILTER (event_conflict) AS event_conflict_epochs, count(*) FILTER (stage_mismatch) AS stage_mismatch_epochs,
   CASE WHEN bool_or(time_unverified OR event_conflict OR stage_mismatch) THEN 'PARTIAL' ELSE 'PASS' END AS status FROM fin GROUP BY 1),
-df AS (SELECT recording_id, count(*) FILTER (start_s < 0 OR start_s % 30 <> 0) AS off_grid_events,
-  count(*) FILTER (start_s >= 0 AND start_s % 30 = 0 AND end_s <= start_s) AS nonpositive_events, 0::BIGINT AS nonfinite_events FROM evt GROUP BY 1)
+df AS (SELECT recording_id, count(*) FILTER (isfinite(start_s) AND isfinite(end_s) AND (start_s < 0 OR start_s % 30 <> 0)) AS off_grid_events,
+  count(*) FILTER (isfinite(start_s) AND isfinite(end_s) AND start_s >= 0 AND start_s % 30 = 0 AND end_s <= start_s) AS nonpositive_events,
+  count(*) FILTER (NOT isfinite(start_s) OR NOT isfinite(end_s)) AS nonfinite_events FROM evt GROUP BY 1)
 """
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightgrid import model as m
+from nightgrid.functions.columns import epoch_offset_ns
 from nightgrid.operators import calibrate, grid, kernels, labels, rules
 from nightgrid.session import write_once
 
@@ -74,25 +76,41 @@ def preprocess(headers: DataFrame, chunks: DataFrame, records: DataFrame,
     slots = (slots.withColumn("coverage_valid", F.coalesce(covered, F.lit(False)))
              .withColumn("channel_available", F.coalesce("channel_available", F.lit(False)))
              .drop("coverage_detection", "fs", "source_samples"))
-    evidence = epochs.select(*EPOCH_KEYS, *kernels.METRIC_TYPES, (F.size("samples") > 0).alias("_seen"))
+    evidence = epochs.select(*EPOCH_KEYS, *kernels.METRIC_TYPES)
     flat = slots.join(evidence, EPOCH_KEYS, "left")
     processed = F.col("coverage_valid") & F.coalesce(F.col("nonfinite_output_count") == 0, F.lit(False))
     flat = flat.withColumn("processing_valid", processed)
-    qc = rules.epoch_qc(flat, spec).drop("_seen")
-    signals = (slots.select(*EPOCH_KEYS, "epoch_start_offset_ns")
-               .join(epochs.select(*EPOCH_KEYS, "samples"), EPOCH_KEYS, "left")
-               .withColumn("samples", kernels.zero_filled(F.col("samples"), spec.epoch_samples)))
+    qc = rules.epoch_qc(flat, spec)
+    # Waveforms stay where the kernel wrote them; only keys are compared to find the epochs it did not produce.
+    produced = epochs.select(*EPOCH_KEYS, epoch_offset_ns(F.col("epoch_in_record"), spec.epoch_seconds).alias("epoch_start_offset_ns"),
+                             kernels.zero_filled(F.col("samples"), spec.epoch_samples).alias("samples"))
+    absent = slots.join(epochs.select(*EPOCH_KEYS), EPOCH_KEYS, "left_anti").select(*EPOCH_KEYS, "epoch_start_offset_ns")
+    silence = F.array_repeat(F.lit(0.0).cast("float"), spec.epoch_samples)
+    signals = produced.unionByName(absent.withColumn("samples", silence))
     grades = rules.night_grade(rules.usable_hours(qc, spec.epoch_seconds / 3600))
     return Preprocessed(processing, signals, qc, grades)
 
 
-def label_tables(records: DataFrame, label_rows: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
-    """Task tables and their summaries for admitted recordings."""
-    lengths = records.select("recording_id", F.col("epoch_count").alias("n_epochs"))
-    slots = grid.epoch_grid(records, ["recording_id"], F.col("epoch_count"))
-    keyed = labels.keyed_labels(label_rows)
+def label_tables(records: DataFrame, label_rows: DataFrame, events: DataFrame,
+                 stage_maps: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Task tables and their summaries for admitted recordings, and what rejected the others.
+
+    A recording with an unusable epoch number, without labels or stage events, with an event at no finite time or (where
+    ``stage_maps`` has recording_id and event_map) with another stage map is listed in ``errors`` and in no other table.
+    """
+    found = [labels.label_key_errors(label_rows), labels.missing_source_errors(records, label_rows, "no label rows"),
+             labels.missing_source_errors(records, events, "no stage grid"), labels.event_time_errors(events)]
+    if stage_maps is not None:
+        found.append(labels.event_map_errors(stage_maps))
+    errors = reduce(DataFrame.unionByName, found).join(records.select("recording_id"), "recording_id", "left_semi")
+    rejected = errors.select("recording_id").distinct()
+    accepted, label_rows, events = (df.join(rejected, "recording_id", "left_anti") for df in (records, label_rows, events))
+    lengths = accepted.select("recording_id", F.col("epoch_count").alias("n_epochs"))
+    slots = grid.epoch_grid(accepted, ["recording_id"], F.col("epoch_count"))
+    keyed = (label_rows.join(accepted.select("recording_id"), "recording_id", "left_semi")
+             .withColumn("epoch_in_record", labels.source_epoch(F.col("Epoch"))))
     rows = labels.overlay_events(labels.label_epochs(slots, keyed), labels.event_epochs(events, lengths))
     return {"task_fields": labels.task_fields(rows), "task_epochs": labels.task_epochs(rows),
             "task_structure": labels.label_structure(slots, keyed),
             "task_alignment": labels.alignment_summary(rows, labels.event_defects(events)),
-            "task_defects": labels.alignment_defects(rows), "errors": labels.label_key_errors(label_rows)}
+            "task_defects": labels.alignment_defects(rows), "errors": errors}

@@ -191,4 +191,21 @@ def test_labels_and_alignment(spark):
     assert align["a"]["known_anchors"] == 1 and align["a"]["status"] == "PARTIAL" and align["b"]["status"] == "PASS"
     structure = {r["recording_id"]: r for r in out["task_structure"].collect()}
     assert structure["c"]["extra_source_epochs"] == 1 and structure["c"]["structure_code"] == 1
-    assert [r["recording_id"] for r in out["errors"].collect()] == ["g"]
+    assert [(r["recording_id"], r["detail"]) for r in out["errors"].collect()] == [("g", "duplicate source epoch")]
+    assert all(df.where("recording_id = 'g'").isEmpty() for name, df in out.items() if name != "errors")
+
+
+def test_rejected_recordings(spark):
+    """A recording that fails in any way is in no task table."""
+    rows = [label_row(x, 1) for x in "abcde"]
+    events = [("a", 0, 0.0, float("inf"), 5), ("b", 0, float("nan"), 30.0, 5), ("d", 0, 0.0, 30.0, 5), ("e", 0, 0.0, 30.0, 5), ("f", 0, 0.0, 30.0, 5)]
+    records = spark.createDataFrame([(x, 30.0, 1) for x in "abcdef"], "recording_id string, duration_sec double, epoch_count bigint")
+    good, bad = ('{"1":"N3","2":"N2","3":"N1","4":"REM","5":"%s"}' % x for x in ("wake", "awake"))
+    maps = spark.createDataFrame([(x, bad if x == "d" else good) for x in "abcdef"], "recording_id string, event_map string")
+    out = label_tables(records, label_frame(spark, rows), spark.createDataFrame(events, m.STAGE_EVENT_SCHEMA), maps)
+    assert {(r["recording_id"], r["detail"]) for r in out["errors"].collect()} == {
+        ("a", "nonfinite event time"), ("b", "nonfinite event time"), ("c", "no stage grid"), ("d", "stage map"), ("f", "no label rows")}
+    for name, df in out.items():
+        if name != "errors":
+            assert {r["recording_id"] for r in df.collect()} <= {"e"}
+    assert out["task_epochs"].count() == 3
