@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from nightgrid import model as m
 from nightgrid.functions.columns import hash_unit
-from nightgrid.operators.scan import dense_index, number_bucket
+from nightgrid.operators.scan import data_bucket, dense_index
+from nightgrid.session import write_once
 
 
 def _next_start(sizes: np.ndarray, max_records: int, target: float) -> np.ndarray:
@@ -43,10 +44,10 @@ def greedy_batches(planned: DataFrame, key: str, order: str, size: str = "estima
     The rule looks sequential, but a batch never holds more than ``max_records`` rows, so a
     block of rows is a function from "offset of the first batch start" (fewer than
     max_records choices) to the same offset in the next block. Blocks compute their
-    functions in parallel, one pass over a few rows per block chains them, and blocks then
-    number their rows in parallel.
+    functions in parallel, a tree composes them sixty-four at a time, and blocks then number
+    their rows in parallel. ``order`` may be of any orderable type.
     """
-    flat = dense_index(planned, [order], number_bucket(F.col(order)), "_pos")
+    flat = dense_index(planned, [order], data_bucket(planned, order), "_pos")
     narrow = flat.select(key, "_pos", F.col(size).cast("double").alias("_size"))
     home = F.floor(F.col("_pos") / block)
     # A block also sees the first rows of the next one, where its last batch may end.
@@ -73,20 +74,7 @@ def greedy_batches(planned: DataFrame, key: str, order: str, size: str = "estima
     steps = seen.groupBy("_block").applyInPandas(
         chain, "_block bigint, _entry int, _leave bigint, _count bigint, _rows bigint")
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, done, out = 0, 0, []
-        for b, rows in pdf.sort_values(["_block", "_entry"]).groupby("_block", sort=True):
-            size_ = int(rows["_rows"].iloc[0])
-            out.append((b, entry, done))
-            if entry >= size_:
-                entry -= size_
-                continue
-            row = rows[rows["_entry"] == entry].iloc[0]
-            entry, done = int(row["_leave"]), done + int(row["_count"])
-        return pd.DataFrame(out, columns=["_block", "_entry", "_done"])
-
-    # max_records rows per 16,384 records: the only part that is walked in order.
-    starts = steps.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(follow, "_block bigint, _entry bigint, _done bigint")
+    starts = _block_starts(write_once(steps, "block-steps"), -(-planned.count() // block), max_records)
     key_type = planned.schema[key].dataType.simpleString()
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,10 +92,59 @@ def greedy_batches(planned: DataFrame, key: str, order: str, size: str = "estima
     return planned.join(numbered.withColumnRenamed("_pos", "position"), key)
 
 
+_STEPS = "_block bigint, _entry int, _leave bigint, _count bigint, _rows bigint"
+
+
+def _walk(pdf: pd.DataFrame, entry: int):
+    """Blocks of one group in order, entered at ``entry``: (block, entry, batches begun before) of each, then what leaves."""
+    done = 0
+    for block, rows in pdf.groupby("_block", sort=True):
+        yield block, entry, done
+        size = int(rows["_rows"].iloc[0])
+        if entry >= size:
+            entry -= size
+        else:
+            row = rows[rows["_entry"] == entry].iloc[0]
+            entry, done = int(row["_leave"]), done + int(row["_count"])
+    yield None, entry, done
+
+
+def _block_starts(steps: DataFrame, blocks: int, max_records: int, fan: int = 64) -> DataFrame:
+    """(_block, _entry, _done) of every block, from the functions of all blocks.
+
+    Up the tree, ``fan`` neighbouring functions become one; down it, each group hands its entry to
+    its blocks. A task sees ``fan`` blocks at a time, whatever their number.
+    """
+
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size = int(pdf.groupby("_block")["_rows"].first().sum())
+        out = []
+        for entry in range(min(max_records, size)):
+            *_, (_, leave, count) = _walk(pdf, entry)
+            out.append((key[0], entry, leave, count, size))
+        return pd.DataFrame(out, columns=["_block", "_entry", "_leave", "_count", "_rows"])
+
+    def descend(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        base = int(above["_done"].iloc[0])
+        out = [(b, e, base + d) for b, e, d in _walk(pdf, int(above["_entry"].iloc[0])) if b is not None]
+        return pd.DataFrame(out, columns=["_block", "_entry", "_done"])
+
+    group = F.floor(F.col("_block") / fan).cast("bigint")
+    levels = [steps]
+    while blocks > fan:
+        levels.append(levels[-1].groupBy(group.alias("_group")).applyInPandas(compose, _STEPS))
+        blocks = -(-blocks // fan)
+    starts = steps.sparkSession.createDataFrame([(0, 0, 0)], "_group bigint, _entry bigint, _done bigint")
+    for level in reversed(levels):
+        down = level.withColumn("_group", group).groupBy("_group").cogroup(starts.groupBy("_group"))
+        starts = down.applyInPandas(descend, "_block bigint, _entry bigint, _done bigint").withColumnRenamed("_block", "_group")
+    return starts.withColumnRenamed("_group", "_block")
+
+
 def grade_batches(windows: DataFrame, batch_size: int, num_batches: int, seed: int = 42,
                   order: str = "window_index", grade: str = "night_grade") -> DataFrame:
     """Batches of one grade each: grade uniform, then windows uniform within it, with replacement."""
-    ranked = dense_index(windows, [order], number_bucket(F.col(order)), "_rank", [grade])
+    ranked = dense_index(windows, [order], data_bucket(windows, order), "_rank", [grade])
     # At most five rows.
     grades = (windows.groupBy(grade).agg(F.count("*").alias("_n"))
               .withColumn("_g", F.row_number().over(Window.orderBy(grade)) - 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nightgrid import model as m
 from nightgrid.functions.columns import epoch_offset_ns, finite, release_split
-from nightgrid.operators.scan import dense_index, number_bucket, running
+from nightgrid.operators.scan import data_bucket, dense_index, number_bucket, running
 
 _STEP = 4096
 
@@ -83,7 +83,7 @@ def excluded(admission: DataFrame, key: str = "session_key") -> DataFrame:
 
 def first_epoch(records: DataFrame, shard: str, position: str, epochs: str = "n_epochs") -> DataFrame:
     """Row offset of each record inside its shard."""
-    return running(records, [shard], [position], number_bucket(F.col(position)),
+    return running(records, [shard], [position], data_bucket(records, position),
                    {"first_epoch": ("sum", F.col(epochs))})
 
 
@@ -142,8 +142,8 @@ def window_ends(records: DataFrame, order: str, context: int, stride: int | None
     """Global index range [window_start, window_end) of each record's windows."""
     step = check_window_arguments(context, stride)
     rows = records.withColumn("n_windows", window_count(F.col(epochs), context, step, drop_last).cast("bigint"))
-    rows = running(rows.where(F.col("n_windows") > 0), [], [order], number_bucket(F.col(order)),
-                   {"window_start": ("sum", F.col("n_windows"))})
+    rows = rows.where(F.col("n_windows") > 0)
+    rows = running(rows, [], [order], data_bucket(rows, order), {"window_start": ("sum", F.col("n_windows"))})
     return rows.withColumn("window_end", F.col("window_start") + F.col("n_windows"))
 
 
@@ -184,4 +184,4 @@ def order_violations(rows: DataFrame, keys: Sequence[str], start: str, length: i
 
 
 def global_positions(records: DataFrame, order: str) -> DataFrame:
-    return dense_index(records, [order], number_bucket(F.col(order)), "position")
+    return dense_index(records, [order], data_bucket(records, order), "position")

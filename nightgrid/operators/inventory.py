@@ -566,7 +566,7 @@ def strict_presence(sessions: DataFrame, channels: DataFrame, chosen: DataFrame,
     fallback = canon.join(exact, "session_key", "left_anti").agg(F.count("*").alias("fallback"))
     present = exact.agg(F.count("*").alias("present"))
     total = session_total(sessions)
-    wide = total.crossJoin(present).crossJoin(fallback)  # one row each
+    wide = total.crossJoin(F.broadcast(present)).crossJoin(F.broadcast(fallback))  # one row each
     return (wide.selectExpr("total", "stack(3, 'present', present, 'missing', total - present, 'fallback', fallback) AS (item, nights)")
             .withColumn("percent", percent(F.col("nights"), F.col("total"))).drop("total"))
 

@@ -255,7 +255,7 @@ def release_totals(ledger: DataFrame, planned_shards: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "FAILED_PENDING_REVIEW").alias("failed_records"),
         F.count_if(F.col("status").isin("FIXED_EXCLUDED", "RECORD_EXCLUDED")).alias("excluded_records"),
         F.count_distinct(F.when(F.col("status") == "QC_PASSED", F.col("shard_no"))).alias("committed_shards"),
-    ).crossJoin(shards)  # one row each
+    ).crossJoin(F.broadcast(shards))  # one row each
 
 
 def export_constants(spark: SparkSession, root: str) -> None:

@@ -21,6 +21,24 @@ def number_bucket(x: Column, width: int = 65_536) -> Column:
     return F.floor(x / F.lit(width))
 
 
+def data_bucket(df: DataFrame, order: str, parts: int = 128, sample: int = 4096) -> Column:
+    """Bucket of a row by boundaries taken from the column's own values, of any orderable type.
+
+    A hash picks about ``sample`` values (never more than four times as many), whose quantiles are the
+    boundaries; so buckets are even for dense numbers, sparse ids and text alike. Null comes first.
+    """
+    values = df.select(order).where(F.col(order).isNotNull())
+    total = values.count()
+    if total > sample:
+        values = values.where(F.xxhash64(order, F.lit("bucket")) < F.lit(int(sample / total * (1 << 64)) - (1 << 63)))
+    seen = sorted({r[0] for r in values.limit(4 * sample).collect()})
+    cuts = [seen[len(seen) * i // parts] for i in range(1, parts)] if len(seen) > parts else seen[1:]
+    if not cuts:
+        return F.lit(0)
+    at_or_below = F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))
+    return F.coalesce(F.size(at_or_below), F.lit(-1))
+
+
 def _over(how: str, value: Column, window) -> Column:
     if how in ("sum", "count"):
         return F.sum(value).over(window)
@@ -111,24 +129,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, points: d
                     method: str = "linear", accuracy: int = 10_000) -> DataFrame:
     """Exact order statistics per key with count and mean, for groups of any size.
 
-    A mergeable sketch first brackets every wanted rank between two data values; its rank
-    error is bounded, and the brackets are twice that wide. Rows outside all brackets are
-    then only counted, one number per stretch, and only the rows inside, a few in ten
-    thousand, are ordered, bracket by bracket. No group is ever sorted or held as a whole.
+    A mergeable sketch gives each key cut values close to the wanted ranks. The stretches between cuts are
+    counted exactly, so it is known, not assumed, in which stretch a rank lies; only those stretches, a few in ten
+    thousand of a large group, are ordered. No group is ever sorted or held as a whole, and every size takes this path.
     ``linear`` interpolates between neighbours, ``lower`` takes the value at floor(q*(n-1)).
     """
     keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
     margin = 2.0 / accuracy
-    edge = lambda side: [min(max(q + side * margin, 0.0), 1.0) for q in points.values()]
-    sketch = lambda side: F.percentile_approx("_v", edge(side), accuracy)
+    edges = sorted({min(max(q + side * margin, 0.0), 1.0) for q in points.values() for side in (-1, 1)})
     head = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.avg("_v").alias("mean"),
-                                   sketch(-1).alias("_low"), sketch(1).alias("_high"))
-    # In a group of up to ``accuracy`` rows a bracket may be narrower than one rank: order it whole.
-    whole = lambda x: F.array_repeat(F.lit(x), len(points))
-    few = F.col("count") <= accuracy
-    head = (head.withColumn("_low", F.when(few, whole(float("-inf"))).otherwise(F.col("_low")))
-            .withColumn("_high", F.when(few, whole(float("inf"))).otherwise(F.col("_high"))))
+                                   F.percentile_approx("_v", edges, accuracy).alias("_cuts"))
     wanted = []
     for q in points.values():
         at = (F.col("count") - 1) * F.lit(float(q))
@@ -136,27 +147,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, points: d
     head = head.withColumn("_ranks", F.array_distinct(F.array(*wanted)))
 
     def with_head(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, keys) if keys else left.crossJoin(right)
+        return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))  # one row
 
     v = F.col("_v")
-    # Array functions keep this a small generated method, which the JVM can compile.
-    placed = (with_head(rows, head.select(*keys, "_low", "_high"))
-              .withColumn("_begun", F.size(F.filter("_low", lambda e: v >= e)))
-              .withColumn("_done", F.size(F.filter("_high", lambda e: v > e)))
-              .select(*keys, (F.col("_begun") + F.col("_done")).alias("_s"),
-                      F.when(F.col("_begun") > F.col("_done"), v).alias("_v")))
-    counts = placed.groupBy(*keys, "_s", "_v").agg(F.count("*").alias("_n"))
+    # A stretch holds the values above one cut up to the next.
+    placed = with_head(rows, head.select(*keys, "_cuts")).select(*keys, F.size(F.filter("_cuts", lambda c: v > c)).alias("_s"), "_v")
     before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (counts.groupBy(*keys, "_s").agg(F.sum("_n").alias("_total"))
-              .withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).select(*keys, "_s", "_start"))
+    stretches = (placed.groupBy(*keys, "_s").agg(F.count("*").alias("_total"))
+                 .withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))))
+    inside = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_total")))
+    chosen = (with_head(stretches, head.select(*keys, "_ranks")).withColumn("_here", inside).where(F.size("_here") > 0)
+              .select(*keys, "_s", "_start", "_here"))
+    counts = placed.join(chosen.select(*keys, "_s"), [*keys, "_s"], "left_semi").groupBy(*keys, "_s", "_v").agg(F.count("*").alias("_n"))
     local = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (counts.where(v.isNotNull()).join(starts, [*keys, "_s"])
-              .withColumn("_stop", F.col("_start") + F.sum("_n").over(local))
-              .withColumn("_from", F.col("_stop") - F.col("_n")))
-    # Few rows are left; each finds the ranks it covers.
-    found = (with_head(ranked.select(*keys, "_v", "_from", "_stop"), head.select(*keys, "_ranks"))
-             .withColumn("_rank", F.explode(F.filter(
-                 "_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_stop")))))
+    found = (counts.join(chosen, [*keys, "_s"])
+             .withColumn("_stop", F.col("_start") + F.sum("_n").over(local))
+             .withColumn("_rank", F.explode(F.filter("_here", lambda r: (r >= F.col("_stop") - F.col("_n")) & (r < F.col("_stop")))))
              .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")))
     full = with_head(head, found)
     cols = []

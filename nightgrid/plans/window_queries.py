@@ -51,14 +51,16 @@ _ENDS = _REC + """, ends AS (SELECT recording_id, n_epochs, ceil(n_epochs / 2)::
   sum(ceil(n_epochs / 2)::BIGINT) OVER (ORDER BY recording_id)::BIGINT AS window_end FROM rec)"""
 
 
-@query("W5_global_index_lookup", _ENDS + """, idx AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 90 ELSE -1 - o_orderkey % 90 END AS index FROM orders),
+@query("W5_global_index_lookup", _ENDS + """, idx AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 7919 % w.total ELSE -1 - o_orderkey * 7919 % w.total END AS index FROM orders, (SELECT max(window_end) AS total FROM ends) w),
   r AS (SELECT o_orderkey, index, CASE WHEN index < 0 THEN index + (SELECT max(window_end) FROM ends) ELSE index END AS i FROM idx)
   SELECT o_orderkey, index, recording_id, (i - (window_end - n_windows)) * 2 AS start_epoch, least(3, n_epochs - (i - (window_end - n_windows)) * 2) AS length
   FROM r JOIN ends ON i >= window_end - n_windows AND i < window_end""")
 def w5(t):
     ends = grid.window_ends(records(t), "recording_id", 3, 2)
-    k = F.col("o_orderkey")
-    idx = t.orders.select("o_orderkey", F.when(k % 2 == 0, k % 90).otherwise(-1 - k % 90).alias("index"))
+    total = ends.agg(F.max("window_end").alias("total"))
+    k = F.col("o_orderkey") * 7919 % F.col("total")
+    idx = (t.orders.crossJoin(F.broadcast(total))  # one row
+           .select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, k).otherwise(-1 - k).alias("index")))
     return grid.locate(ends, idx, 2, 3).select("o_orderkey", "index", "recording_id", "start_epoch", "length")
 
 
@@ -84,6 +86,18 @@ def w11(t):
     return batches.greedy_batches(rows, "c_custkey", "c_custkey", "size", 16, 6_000_000, block=512)
 
 
+@query("W11_text_key_shards", """WITH RECURSIVE src AS (SELECT c_name AS session_key, CAST(abs(c_acctbal) * 100 AS BIGINT) AS size, row_number() OVER (ORDER BY c_name) - 1 AS pos FROM customer),
+  w(pos, n, load, shard_no) AS (SELECT pos, 1, size, 0::BIGINT FROM src WHERE pos = 0 UNION ALL
+   SELECT s.pos, CASE WHEN w.n >= 5 OR w.load + s.size > 2000000 THEN 1 ELSE w.n + 1 END,
+    CASE WHEN w.n >= 5 OR w.load + s.size > 2000000 THEN s.size ELSE w.load + s.size END,
+    w.shard_no + CASE WHEN w.n >= 5 OR w.load + s.size > 2000000 THEN 1 ELSE 0 END FROM w JOIN src s ON s.pos = w.pos + 1)
+  SELECT session_key, size, shard_no, pos AS position FROM w JOIN src USING (pos)""")
+def w11b(t):
+    """Packing in the order of a text key; small blocks, so that the tree has several levels."""
+    rows = t.customer.select(F.col("c_name").alias("session_key"), F.expr("CAST(round(abs(c_acctbal) * 100) AS BIGINT)").alias("size"))
+    return batches.greedy_batches(rows, "session_key", "session_key", "size", 5, 2_000_000, block=8)
+
+
 def windows(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("window_index"),
                            F.when(F.col("o_custkey") % 3 == 0, 5).otherwise(F.col("o_orderkey") % 4 + 1).cast("int").alias("night_grade"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,9 @@ SETTINGS = {
 BUILD_ONLY = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def build_session(master: str | None = None, app: str = "nightgrid", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -43,10 +48,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below the cluster's shared checkpoint folder.
+
+    Only a session that runs wholly in this process may go without one; it gets a folder of its
+    own, removed when the process ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOT.get("path")
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="nightgrid-")
+        context = spark.sparkContext
+        root = context.getCheckpointDir()
+        if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            root = _LOCAL_ROOT["path"] = tempfile.mkdtemp(prefix="nightgrid-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/nightgrid/{name}-{uuid.uuid4().hex}"
 
 
