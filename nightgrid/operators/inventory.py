@@ -63,6 +63,14 @@ def selected(channels: DataFrame) -> DataFrame:
     return channels.where(F.col("selected_for_model") & (F.col("canonical_channel") != ""))
 
 
+def candidates(channels: DataFrame) -> DataFrame:
+    """Every row that could be selected, for reports that only ask whether a channel is there.
+
+    A session has a selected row for a channel exactly when it has a candidate, so no pick is needed.
+    """
+    return channels.where(F.col("canonical_channel") != "").withColumn("selected_for_model", F.lit(True))
+
+
 def preferred(channels: DataFrame, order: str = "channel_no", key: str = "session_key") -> DataFrame:
     """Only the rows :func:`select_preferred` would flag; most reports read nothing else.
 
@@ -101,8 +109,8 @@ def _issue(df: DataFrame, code: Column | str, channel: Column | None = None, fie
                      pick(left).alias("left_value"), pick(right).alias("right_value"))
 
 
-def session_issues(sessions: DataFrame, tolerance: float = 30.0) -> DataFrame:
-    """All findings that need one session row: one pass, one row per finding.
+def session_findings(tolerance: float = 30.0) -> Column:
+    """All findings that one session row shows, as an array of (code, field, left_value, right_value).
 
     A missing sidecar JSON is no finding; an unreadable one is.
     """
@@ -131,8 +139,13 @@ def session_issues(sessions: DataFrame, tolerance: float = 30.0) -> DataFrame:
         entry(F.col("bids_json_error").isNotNull(), "BIDS_JSON_ERROR"),
         entry(missing("manual_sleep_csv_exists"), "MANUAL_SLEEP_CSV_MISSING"),
         late("h5_duration_seconds"), late("edf_duration_seconds"))
-    rows = sessions.select("session_key", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e"))
-    return rows.select("session_key", "e.code", none.alias("channel"), "e.field", "e.left_value", "e.right_value")
+    return F.filter(found, lambda e: e.isNotNull())
+
+
+def session_issues(sessions: DataFrame, tolerance: float = 30.0) -> DataFrame:
+    """One row per finding of ``session_findings``."""
+    rows = sessions.select("session_key", F.explode(session_findings(tolerance)).alias("e"))
+    return rows.select("session_key", "e.code", F.lit(None).cast("string").alias("channel"), "e.field", "e.left_value", "e.right_value")
 
 
 def missing_channels(sessions: DataFrame, channels: DataFrame, sources: Sequence[str] = SOURCES,
@@ -161,16 +174,17 @@ def channel_bit(expected: Sequence[str] = m.CHANNELS) -> Column:
     return F.coalesce(m.channel_map({c: 1 << i for i, c in enumerate(expected)}, F.col("canonical_channel")), F.lit(0))
 
 
-def _by_source(channels: DataFrame, sources: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per (session, channel) with a struct per source.
+def _by_source(channels: DataFrame, sources: Sequence[str], fields: Sequence[str], order: str = "channel_no") -> DataFrame:
+    """One row per (session, channel) with a struct per source: its preferred row.
 
-    A source has at most one selected row per key, so a maximum picks it: one shuffle
+    The pick is part of the aggregation, with map-side combine: no window, and one shuffle
     serves every comparison, where joining the sources pairwise would take one per side.
     """
-    rows = selected(channels).where(F.col("source").isin(*sources))
+    place = F.struct(h.alias_rank(F.col("normalised_channel")).alias("rank"), "normalised_channel", order)
+    rows = channels.where((F.col("canonical_channel") != "") & F.col("source").isin(*sources)).withColumn("_place", place)
     value = F.struct(*fields)
     return rows.groupBy("session_key", "canonical_channel").agg(
-        *[F.max(F.when(F.col("source") == s, value)).alias(s) for s in sources])
+        *[F.min_by(value, F.when(F.col("source") == s, F.col("_place"))).alias(s) for s in sources])
 
 
 def _mismatch(left: str, right: str, field: str, tol: float, mismatch: str, unknown: str | None) -> Column:
@@ -218,9 +232,37 @@ def header_issues(channels: DataFrame) -> DataFrame:
     return _header_issues(channels, SOURCES, _h5_edf() + _h5_tsv())
 
 
-def all_issues(sessions: DataFrame, channels: DataFrame) -> DataFrame:
-    return (session_issues(sessions).unionByName(missing_channels(sessions, channels))
-            .unionByName(header_issues(channels)))
+def all_issues(sessions: DataFrame, channels: DataFrame, expected: Sequence[str] = m.CHANNELS) -> DataFrame:
+    """Session findings, missing channels and header comparisons from identified channel rows.
+
+    One aggregation per (session, channel) gives the preferred row of each source, hence both what is
+    compared and what is there; folded to one row a session it meets the sessions once.
+    """
+    pairs = _by_source(channels, SOURCES, [*H5_EDF_FIELDS, "unit"])
+    at = m.channel_map({c: i for i, c in enumerate(expected)}, F.col("canonical_channel"))
+    bits = [F.when(F.col(s).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), at + i * len(expected))).otherwise(0)
+            for i, s in enumerate(SOURCES)]
+    checks = F.filter(F.array(*_h5_edf(), *_h5_tsv()), lambda e: e["code"].isNotNull())
+    shaped = F.transform(checks, lambda e: F.struct(e["code"].alias("code"), F.col("canonical_channel").alias("channel"), e["field"].alias("field"),
+                                                    e["left_value"].alias("left_value"), e["right_value"].alias("right_value")))
+    # At most one row for each of the model's channels.
+    have = (pairs.select("session_key", shaped.alias("_found"), sum(bits[1:], bits[0]).alias("_bits"))
+            .groupBy("session_key").agg(F.flatten(F.collect_list("_found")).alias("_found"), F.bit_or("_bits").alias("_have")))
+    wanted = [(s, c) for s in SOURCES for c in expected]
+    names = F.expr("array(" + ", ".join(f"'{s.upper()}_SELECTED_CHANNEL_MISSING'" for s, _ in wanted) + ")")
+    channel = F.expr("array(" + ", ".join(f"'{c}'" for _, c in wanted) + ")")
+    none = F.lit(None).cast("string")
+    gone = F.transform(F.filter(F.sequence(F.lit(0), F.lit(len(wanted) - 1)), lambda i: F.getbit(F.coalesce("_have", F.lit(0).cast("bigint")), i) == 0),
+                       lambda i: F.struct(F.get(names, i).alias("code"), F.get(channel, i).alias("channel"), none.alias("field"),
+                                          none.alias("left_value"), none.alias("right_value")))
+    own = F.transform(session_findings(), lambda e: F.struct(e["code"].alias("code"), none.alias("channel"), e["field"].alias("field"),
+                                                             e["left_value"].alias("left_value"), e["right_value"].alias("right_value")))
+    # Channels of a session that is not listed are compared, but nothing is missing from it.
+    listed = F.col("_listed").isNotNull()
+    empty = F.expr("array()").cast("array<struct<code:string,channel:string,field:string,left_value:string,right_value:string>>")
+    found = F.concat(F.coalesce("_found", empty), F.when(listed, gone).otherwise(empty), F.when(listed, own).otherwise(empty))
+    return (sessions.withColumn("_listed", F.lit(True)).join(have, "session_key", "full_outer")
+            .select("session_key", F.explode(found).alias("e")).select("session_key", "e.*"))
 
 
 # --- report tables ------------------------------------------------------------------------------

@@ -69,6 +69,10 @@ def chosen(t: Tables) -> DataFrame:
     return inv.preferred(inv.identify(raw_channels(t)))
 
 
+def named(t: Tables) -> DataFrame:
+    return inv.identify(raw_channels(t))
+
+
 def total(t: Tables) -> DataFrame:
     return inv.session_total(t.orders)
 
@@ -218,17 +222,17 @@ _ISS = ["session_key", "code", "channel", "field"]
 
 @query("J3_h5_edf_compare", CTE + _HE)
 def j3(t):
-    return inv.h5_edf_issues(chosen(t)).select(*_ISS)
+    return inv.h5_edf_issues(named(t)).select(*_ISS)
 
 
 @query("J4_h5_tsv_compare", CTE + _HT)
 def j4(t):
-    return inv.h5_tsv_issues(chosen(t)).select(*_ISS)
+    return inv.h5_tsv_issues(named(t)).select(*_ISS)
 
 
 @query("J5_expected_channel_missing", CTE + _J5)
 def j5(t):
-    return inv.missing_channels(sessions(t), chosen(t)).select(*_ISS)
+    return inv.missing_channels(sessions(t), inv.candidates(named(t))).select(*_ISS)
 
 
 _MASK = """, mk AS (SELECT session_key, channel, bool_or(source = 'h5') AS h, bool_or(source = 'edf') AS e, bool_or(source = 'tsv') AS s FROM sel GROUP BY 1, 2),
@@ -238,19 +242,19 @@ _MASK = """, mk AS (SELECT session_key, channel, bool_or(source = 'h5') AS h, bo
 
 @query("J15_left_right_paired", CTE + _MASK + "SELECT channel, h5_only, edf_only, paired FROM cov")
 def j15(t):
-    return inv.coverage_comparison(chosen(t), total(t)).select("channel", "h5_only", "edf_only", "paired")
+    return inv.coverage_comparison(inv.candidates(named(t)), total(t)).select("channel", "h5_only", "edf_only", "paired")
 
 
 @query("A21_coverage_comparison", CTE + _MASK + ", ".join(["SELECT channel, h5, edf, tsv, h5_only, edf_only, paired"] + [
     f"100 * {s} / total::DOUBLE AS {s}_percent" for s in ("h5", "edf", "tsv")]) + " FROM cov, tot")
 def a21(t):
-    return inv.coverage_comparison(chosen(t), total(t))
+    return inv.coverage_comparison(inv.candidates(named(t)), total(t))
 
 
 @query("A9_issue_counts", CTE + f", iss AS (SELECT session_key, code FROM ({_SI}) UNION ALL SELECT session_key, code FROM ({_HE}) UNION ALL SELECT session_key, code FROM ({_HT}) UNION ALL SELECT session_key, code FROM ({_J5}))"
        " SELECT code, count(*) AS findings, count(DISTINCT session_key) AS sessions, 100 * count(DISTINCT session_key) / any_value(total)::DOUBLE AS percent FROM iss, tot GROUP BY 1")
 def a9(t):
-    return inv.issue_counts(inv.all_issues(sessions(t), chosen(t)), total(t))
+    return inv.issue_counts(inv.all_issues(sessions(t), named(t)), total(t))
 
 
 @query("A10_filter_distribution", CTE + """SELECT source, CASE WHEN canonical_channel <> '' THEN canonical_channel ELSE normalised_channel END AS channel, raw_channel, selected_for_model, prefilter_raw, hp_hz, lp_hz, notch_hz, fs_hz, unit,
@@ -283,7 +287,7 @@ def o3(t):
 @query("A11_channel_coverage", CTE + """SELECT s.source, names.channel, count(DISTINCT session_key) AS recording_count, 100 * count(DISTINCT session_key) / any_value(total)::DOUBLE AS percent
   FROM names CROSS JOIN (VALUES ('h5'),('edf'),('tsv')) s(source) CROSS JOIN tot LEFT JOIN sel ON sel.source = s.source AND sel.channel = names.channel GROUP BY 1, 2""")
 def a11(t):
-    return inv.channel_coverage(chosen(t), total(t))
+    return inv.channel_coverage(inv.candidates(named(t)), total(t))
 
 
 @query("A12_inventory_totals", CTE + """SELECT count(*) AS recording_count, count(DISTINCT subject_id) AS subject_count, count(DISTINCT patient_id) AS patient_count, count(*) FILTER (h5_exists) AS h5_found,
@@ -383,7 +387,7 @@ _SETS = {"head": ("f3-m2", "e1"), "heart": ("ecg",), "breath": ("airflow", "spo2
   FROM (VALUES ('h5'),('edf'),('tsv')) s(source) CROSS JOIN (VALUES """ + ",".join(f"('{k}', {list(v)!r})" for k, v in _SETS.items()) + """) k(combination, need) CROSS JOIN tot
   LEFT JOIN (SELECT mk.* FROM mk SEMI JOIN ses USING (session_key)) mk ON mk.source = s.source GROUP BY 1, 2""")
 def a22(t):
-    return inv.combination_completeness(sessions(t), chosen(t), _SETS)
+    return inv.combination_completeness(sessions(t), inv.candidates(named(t)), _SETS)
 
 
 @query("A23_channel_duration_agreement", CTE + """, p AS (SELECT session_key, channel, max(duration_seconds) FILTER (source = 'h5') AS h, max(duration_seconds) FILTER (source = 'edf') AS e, bool_or(source = 'h5') AS ih, bool_or(source = 'edf') AS ie FROM he GROUP BY 1, 2)
@@ -461,30 +465,30 @@ def a30(t):
 
 @query("A31_h5_edf_by_channel", CTE + _MASK + f", i AS ({_HE}) SELECT cov.channel, any_value(paired) AS paired, count(code) AS findings, count(DISTINCT session_key) AS sessions, 100 * count(DISTINCT session_key) / nullif(any_value(paired), 0)::DOUBLE AS percent_of_paired FROM cov LEFT JOIN i ON i.channel = cov.channel AND code = 'H5_EDF_METADATA_MISMATCH' GROUP BY 1")
 def a31(t):
-    ch = chosen(t)
+    ch = inv.candidates(named(t))
     return inv.mismatch_by_channel(inv.h5_edf_issues(ch), inv.coverage_comparison(ch, total(t)))
 
 
 @query("A31_h5_edf_by_field", CTE + f", i AS ({_HE}) SELECT channel, field, count(*) AS findings, count(DISTINCT session_key) AS sessions, 100 * count(DISTINCT session_key) / any_value(total)::DOUBLE AS percent FROM i, tot WHERE code IN ('H5_EDF_METADATA_MISMATCH', 'H5_EDF_UNIT_MISMATCH') GROUP BY 1, 2")
 def a31b(t):
-    return inv.mismatch_by_field(inv.h5_edf_issues(chosen(t)), total(t), ["H5_EDF_METADATA_MISMATCH", "H5_EDF_UNIT_MISMATCH"])
+    return inv.mismatch_by_field(inv.h5_edf_issues(named(t)), total(t), ["H5_EDF_METADATA_MISMATCH", "H5_EDF_UNIT_MISMATCH"])
 
 
 @query("A32_h5_tsv_by_channel", CTE + _MASK + f", i AS ({_HT}) SELECT cov.channel, any_value(paired_tsv) AS paired, count(code) AS findings, count(DISTINCT session_key) AS sessions, 100 * count(DISTINCT session_key) / nullif(any_value(paired_tsv), 0)::DOUBLE AS percent_of_paired FROM cov LEFT JOIN i ON i.channel = cov.channel GROUP BY 1")
 def a32(t):
-    ch = chosen(t)
+    ch = inv.candidates(named(t))
     return inv.mismatch_by_channel(inv.h5_tsv_issues(ch), inv.paired_counts(ch), "H5_TSV_METADATA_MISMATCH")
 
 
 @query("A32_h5_tsv_by_field", CTE + f", i AS ({_HT}) SELECT channel, field, count(*) AS findings, count(DISTINCT session_key) AS sessions, 100 * count(DISTINCT session_key) / any_value(total)::DOUBLE AS percent FROM i, tot GROUP BY 1, 2")
 def a32b(t):
-    return inv.mismatch_by_field(inv.h5_tsv_issues(chosen(t)), total(t), ["H5_TSV_METADATA_MISMATCH"])
+    return inv.mismatch_by_field(inv.h5_tsv_issues(named(t)), total(t), ["H5_TSV_METADATA_MISMATCH"])
 
 
 @query("A33_missing_edf_channels", CTE + f", i AS ({_J5}) SELECT names.channel, any_value(p.n) AS present, count(i.code) AS missing, 100 * count(i.code) / any_value(total)::DOUBLE AS missing_percent FROM names CROSS JOIN tot"
        " LEFT JOIN (SELECT names.channel, count(DISTINCT session_key) AS n FROM names LEFT JOIN sel ON sel.channel = names.channel AND sel.source = 'edf' GROUP BY 1) p ON p.channel = names.channel LEFT JOIN i ON i.channel = names.channel AND i.code = 'EDF_SELECTED_CHANNEL_MISSING' GROUP BY 1")
 def a33(t):
-    ch = chosen(t)
+    ch = inv.candidates(named(t))
     return inv.missing_edf_channels(inv.missing_channels(sessions(t), ch, ("edf",)), ch, total(t))
 
 
