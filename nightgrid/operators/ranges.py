@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightgrid.operators.kernels import Rows
+
 # The selection tag decides which nights are sampled.
 SELECTION_TAG = "f3-m2-calibrated-range-v1"
 RAILS = (-32768, -32767, 32766, 32767)
@@ -36,6 +40,24 @@ def code_histogram(samples: DataFrame, key: str = "session_key", code: str = "co
     return samples.groupBy(key, code).agg(F.count("*").alias("n"))
 
 
+def chunk_histogram(chunks: DataFrame, key: str = "session_key") -> DataFrame:
+    """``code_histogram`` of (key, codes) rows whose codes are arrays: counted per batch, then summed."""
+    kind = dict(chunks.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Rows(batch.column("codes"))
+            counted = [np.unique(rows.values[a:a + n], return_counts=True) for a, n in zip(rows.start, rows.length)]
+            owner = np.repeat(np.arange(len(counted)), [len(v) for v, _ in counted])
+            values = np.concatenate([v for v, _ in counted]) if counted else np.zeros(0)
+            times = np.concatenate([c for _, c in counted]) if counted else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner)), pa.array(values.astype(np.int32)),
+                                              pa.array(times.astype(np.int64))], [key, "code", "n"])
+
+    parts = chunks.select(key, "codes").mapInArrow(run, f"`{key}` {kind}, code int, n bigint")
+    return parts.groupBy(key, "code").agg(F.sum("n").alias("n"))
+
+
 def histogram_statistics(histogram: DataFrame, key: str = "session_key", code: str = "code",
                          points: dict[str, float] = POINTS, rails: Sequence[int] = RAILS) -> DataFrame:
     """Lower order statistics, rail share and distinct codes per night.
@@ -99,6 +121,36 @@ def compare_samples(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("s
         F.max(d).alias("max_abs_digital_code_difference"))
 
 
+def compare_chunks(left: DataFrame, right: DataFrame, spans: DataFrame, keys: Sequence[str] = ("session_key",)) -> DataFrame:
+    """Two sources of the same samples inside chosen spans, chunk against chunk.
+
+    left, right: keys, chunk_no, first_sample, codes (array), chunked alike. spans: keys, lsb_physical and spans, an array of
+    (first, stop) sample numbers. Only chunks that a span touches are joined; a position in two spans
+    counts twice, and where one source has fewer samples only the common ones count.
+    """
+    keys = list(keys)
+    reach = F.col("first_sample") + F.size("codes")
+    touched = F.exists("spans", lambda s: (s["first"] < reach) & (s["stop"] > F.col("first_sample")))
+    a = left.join(spans, keys).where(touched).select(*keys, "chunk_no", "first_sample", "spans", "lsb_physical", F.col("codes").alias("_a"))
+    both = a.join(right.select(*keys, "chunk_no", F.col("codes").alias("_b")), [*keys, "chunk_no"])
+
+    @F.arrow_udf("struct<n:bigint,equal:bigint,most:bigint>")
+    def compare(a: pa.Array, b: pa.Array, first: pa.Array, spans: pa.Array) -> pa.Array:
+        left, right, out = Rows(a), Rows(b), []
+        for i, (start, wanted) in enumerate(zip(first.to_pylist(), spans.to_pylist())):
+            size = min(left.length[i], right.length[i])
+            gap = np.abs(left.values[left.start[i]:left.start[i] + size].astype(np.int64) - right.values[right.start[i]:right.start[i] + size])
+            parts = [gap[max(0, s["first"] - start):max(0, s["stop"] - start)] for s in wanted]
+            gap = np.concatenate(parts) if parts else gap[:0]
+            out.append({"n": len(gap), "equal": int((gap == 0).sum()), "most": int(gap.max(initial=0))})
+        return pa.array(out, pa.struct([("n", pa.int64()), ("equal", pa.int64()), ("most", pa.int64())]))
+
+    rows = both.select(*keys, "lsb_physical", compare("_a", "_b", "first_sample", "spans").alias("r"))
+    return rows.groupBy(*keys).agg(
+        F.sum("r.n").alias("comparison_sample_count"), (F.sum("r.equal") / F.sum("r.n")).alias("digital_equal_fraction"),
+        F.max("r.most").alias("max_abs_digital_code_difference"), F.max(F.col("r.most") * F.col("lsb_physical")).alias("max_abs_physical_difference"))
+
+
 def compare_metadata(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("session_key", "channel"),
                      fields: Sequence[str] = ("fs_hz", *PROFILE)) -> DataFrame:
     same = F.lit(True)

@@ -21,29 +21,33 @@ MANIFEST_SCHEMA = ("manifest_version int, path string, relative_path string, sta
                    f"signals map<string,{SIGNAL_TYPE}>, annotations array<string>, file_size bigint")
 
 
-def manifest_records(files: DataFrame, channels: DataFrame, seed: int = 42,
-                     ratios: Sequence[float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """One row per file with its channel map, split and duration.
+def long_channels(channels: DataFrame) -> DataFrame:
+    """One row per (path, channel), channel in lower case, with its header fields.
 
-    A missing or non-positive declared duration falls back to the shortest channel; a record
-    with neither is an error row. A file has a bounded number of channels, so the map is small.
+    Names that differ only in case: the later source name wins, as in a dictionary.
     """
     entry = F.struct(
         F.col("source_name"), F.col("length"), F.col("dtype"), F.coalesce("fs", F.lit(0.0)).alias("fs"),
         F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("type", F.lit("")).alias("type"),
         "dig_min", "dig_max", "phys_min", "phys_max")
-    one = channels.where(F.col("ndim") == 1)
     shortest = F.min(F.when(F.col("fs") > 0, F.col("length") / F.col("fs")))
-    # Names that differ only in case: the later source name wins, as in a dictionary.
-    named = one.groupBy("path", F.lower("source_name").alias("name")).agg(
-        F.max_by(entry, "source_name").alias("info"),
-        shortest.alias("_short"))
-    maps = named.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "info"))).alias("signals"),
-                                     F.min("_short").alias("_short"))
-    rows = files.join(maps, "path", "left")
+    named = channels.where(F.col("ndim") == 1).groupBy("path", F.lower("source_name").alias("channel")).agg(
+        F.max_by(entry, "source_name").alias("info"), shortest.alias("shortest"))
+    return named.select("path", "channel", "info.*", "shortest")
+
+
+def inspect_files(files: DataFrame, channels: DataFrame, seed: int = 42,
+                  ratios: Sequence[float] = (0.8, 0.1, 0.1)) -> DataFrame:
+    """One row per file with status, split, duration and channel count, from ``long_channels`` rows.
+
+    A missing or non-positive declared duration falls back to the shortest channel; a record
+    with neither is an error row.
+    """
+    per = channels.groupBy("path").agg(F.count("*").alias("channels"), F.min("shortest").alias("_short"))
     declared = F.coalesce(F.col("duration_sec"), F.lit(0.0))
-    rows = rows.withColumn("_duration", F.when(declared > 0, declared).otherwise(F.coalesce("_short", F.lit(0.0))))
-    error = (F.when(F.col("signals").isNull(), "missing signals")
+    rows = files.join(per, "path", "left").withColumn(
+        "_duration", F.when(declared > 0, declared).otherwise(F.coalesce("_short", F.lit(0.0))))
+    error = (F.when(F.col("channels").isNull(), "missing signals")
              .when(F.col("_duration") <= 0, "recording duration is missing or non-positive"))
     ok = error.isNull()
     return rows.select(
@@ -51,11 +55,25 @@ def manifest_records(files: DataFrame, channels: DataFrame, seed: int = 42,
         F.when(ok, "ok").otherwise("error").alias("status"), error.alias("error"),
         F.when(ok, F.col("subject_id")).alias("subject_id"), F.when(ok, F.col("session_id")).alias("session_id"),
         F.when(ok, raw_split(F.col("subject_id"), seed, ratios)).alias("split"),
-        F.when(ok, F.col("_duration")).alias("duration_sec"), F.when(ok, F.col("signals")).alias("signals"),
+        F.when(ok, F.col("_duration")).alias("duration_sec"), F.when(ok, F.col("channels")).alias("channels"),
         F.when(ok, F.array_sort(F.coalesce("annotations", F.array().cast("array<string>")))).alias("annotations"),
         "file_size")
 
 
+def manifest_records(files: DataFrame, channels: DataFrame, seed: int = 42,
+                     ratios: Sequence[float] = (0.8, 0.1, 0.1)) -> DataFrame:
+    """``inspect_files`` with each file's channels as a map, the form the JSON manifest stores.
+
+    A file has as many map entries as it has channels, a few dozen.
+    """
+    named = long_channels(channels)
+    fields = ["source_name", "length", "dtype", "fs", "unit", "type", "dig_min", "dig_max", "phys_min", "phys_max"]
+    maps = named.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct(*fields)))).alias("signals"))
+    rows = inspect_files(files, named, seed, ratios).join(maps, "path", "left")
+    names = [c.split()[0] for c in MANIFEST_SCHEMA.split(", ") if c.split()[0] != "signals"]
+    return rows.select(*names[:9], F.when(F.col("status") == "ok", F.col("signals")).alias("signals"), *names[9:])
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines manifest; any row of another version is an error."""
     df = spark.read.schema(MANIFEST_SCHEMA).json(path)
@@ -74,10 +92,16 @@ def manifest_channels(records: DataFrame) -> DataFrame:
     return ok.select("path", F.explode("signals").alias("channel", "info")).select("path", "channel", "info.*")
 
 
-def manifest_summary(records: DataFrame) -> DataFrame:
-    """Files per status, records per channel, and per channel and rate, in one long table."""
+def manifest_summary(records: DataFrame, channels: DataFrame | None = None) -> DataFrame:
+    """Files per status, records per channel, and per channel and rate, in one long table.
+
+    ``channels``: the long rows of the records, where the records carry no maps.
+    """
     status = records.groupBy(F.lit("status").alias("kind"), F.col("status").alias("key"), F.lit("").alias("rate")).agg(F.count("*").alias("n"))
-    ch = manifest_channels(records)
+    if channels is None:
+        ch = manifest_channels(records)
+    else:
+        ch = channels.join(records.where("status = 'ok'").select("path"), "path", "left_semi")
     per = ch.groupBy(F.lit("channel").alias("kind"), F.col("channel").alias("key"), F.lit("").alias("rate")).agg(F.count("*").alias("n"))
     rate = F.regexp_replace(F.format_string("%.6f", F.col("fs")), r"\.?0+$", "")
     both = ch.groupBy(F.lit("rate").alias("kind"), F.col("channel").alias("key"), rate.alias("rate")).agg(F.count("*").alias("n"))

@@ -40,6 +40,13 @@ def manifest(t: Tables) -> DataFrame:
     return raw.manifest_records(f, channel_rows(t))
 
 
+def inspected(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Files and their channels in long form; no maps are folded only to be opened again."""
+    named = raw.long_channels(channel_rows(t))
+    f = t.orders.selectExpr(*_FILE).withColumn("annotations", F.array(F.lit("expert/stage")))
+    return raw.inspect_files(f, named), named
+
+
 _U = "('0x' || substr(sha256('42:' || subject_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616"
 CTE = f"""WITH fil AS (SELECT {', '.join(_FILE)} FROM orders),
 cr AS (SELECT *, row_number() OVER (PARTITION BY path, source_name ORDER BY length DESC, fs DESC, ndim DESC) AS k FROM (SELECT {', '.join(_CHAN)} FROM lineitem)),
@@ -53,7 +60,7 @@ man AS (SELECT fil.* EXCLUDE (duration_sec), channels, CASE WHEN duration_sec >
 @query("S4_raw_manifest_inspection", CTE + f"""SELECT path, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, CASE WHEN error IS NULL THEN d END AS duration_sec, CASE WHEN error IS NULL THEN channels END AS channels,
   CASE WHEN error IS NULL THEN CASE WHEN {_U} < 0.8 THEN 'train' WHEN {_U} < 0.9 THEN 'validation' ELSE 'test' END END AS split FROM man""")
 def s4(t):
-    return manifest(t).select("path", "status", "error", "duration_sec", F.when(F.col("status") == "ok", F.size("signals").cast("bigint")).alias("channels"), "split")
+    return inspected(t)[0].select("path", "status", "error", "duration_sec", "channels", "split")
 
 
 @query("K5_manifest_sink_and_S11_scan", CTE + "SELECT path, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN error IS NULL THEN channels END AS channels FROM man")
@@ -67,7 +74,7 @@ def k5(t):
   SELECT 'status' AS kind, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS key, '' AS rate, count(*) AS n FROM man GROUP BY ALL UNION ALL SELECT 'channel', channel, '', count(*) FROM ok GROUP BY ALL
   UNION ALL SELECT 'rate', channel, fs::INT::VARCHAR, count(*) FROM ok GROUP BY ALL""")
 def a42(t):
-    return raw.manifest_summary(manifest(t))
+    return raw.manifest_summary(*inspected(t))
 
 
 GROUPS = {"eeg": (("c4-m1", "c3-m2"),), "eog": ("e1", "e2"), "resp": (("airflow", "ptaf"), "abd")}
@@ -80,8 +87,8 @@ SEL = CTE + f""", okr AS (SELECT path, d FROM man WHERE error IS NULL), pick AS
 
 
 def selection(t: Tables, groups=GROUPS) -> DataFrame:
-    ok = manifest(t).where("status = 'ok'")
-    return raw.select_channels(ok, raw.manifest_channels(ok), raw.profile_slots(t.spark, groups=groups))
+    records, named = inspected(t)
+    return raw.select_channels(records.where("status = 'ok'"), named, raw.profile_slots(t.spark, groups=groups))
 
 
 @query("P16_channel_selection", SEL + "SELECT path, modality, slot, slot_name, source_channel, available, missing FROM sel")
@@ -91,8 +98,9 @@ def p16(t):
 
 @query("U3_custom_channel_groups", CTE + """SELECT path, bool_or(channel = 'e2') AS has_e2 FROM (SELECT path FROM man WHERE error IS NULL) LEFT JOIN chn USING (path) GROUP BY 1""")
 def u3(t):
-    ok = manifest(t).where("status = 'ok'").withColumn("signals", F.transform_values("signals", lambda k, v: v.withField("length", F.greatest(v["length"], F.lit(1)))))
-    s = raw.select_channels(ok, raw.manifest_channels(ok), raw.profile_slots(t.spark, groups={"eog": ["E2"]}))
+    records, named = inspected(t)
+    named = named.withColumn("length", F.greatest("length", F.lit(1)))
+    s = raw.select_channels(records.where("status = 'ok'"), named, raw.profile_slots(t.spark, groups={"eog": ["E2"]}))
     return s.select("path", F.col("available").alias("has_e2"))
 
 
@@ -113,7 +121,7 @@ _LEN = SEL + ", len AS (SELECT sel.path, least(any_value(d), min(source_length /
 
 
 def lengths(t: Tables) -> DataFrame:
-    return raw.raw_lengths(manifest(t).where("status = 'ok'"), selection(t))
+    return raw.raw_lengths(inspected(t)[0].where("status = 'ok'"), selection(t))
 
 
 @query("W4_raw_windows_context", _LEN + "SELECT path, w AS window_no, w * 3 AS start_epoch, 4::BIGINT AS n_epochs FROM len, range(CASE WHEN n >= 4 THEN 1 + (n - 4) // 3 ELSE 0 END) g(w)")
@@ -259,6 +267,12 @@ def night_codes(t: Tables) -> DataFrame:
         "session_key", "sample_idx", F.rint(F.col("_v").cast("double") * 100).cast("int").alias("code"))
 
 
+def night_chunks(t: Tables) -> DataFrame:
+    """The same codes as arrays, one chunk a night."""
+    codes = F.transform("embedding", lambda v: F.rint(v.cast("double") * 100).cast("int"))
+    return t.embeddings.select(F.col("vec_id").alias("session_key"), F.lit(0).alias("chunk_no"), F.lit(0).alias("first_sample"), codes.alias("codes"))
+
+
 _NIGHT = """WITH ng AS (SELECT vec_id AS session_key, label, -32768::DOUBLE AS dig_min, 32767::DOUBLE AS dig_max, -100::DOUBLE * (label + 1) AS phys_min, 100::DOUBLE * (label + 1) AS phys_max, 'uV' AS unit FROM embeddings),
   cd AS (SELECT vec_id AS session_key, (i - 1)::INT AS sample_idx, round_even(embedding[i]::DOUBLE * 100, 0)::INT AS code FROM embeddings, range(1, 65) g(i)),
   smp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('f3-m2-calibrated-range-v1:' || session_key), session_key)::INT AS sample_rank, count(*) OVER (PARTITION BY label) AS profile_total_nights FROM ng QUALIFY sample_rank <= 20),
@@ -274,11 +288,15 @@ def w7(t):
 
 @query("A37_code_histogram", _NIGHT + "SELECT session_key, code, count(*) AS n FROM cd GROUP BY 1, 2")
 def a37(t):
-    return ranges.code_histogram(night_codes(t))
+    return ranges.chunk_histogram(night_chunks(t))
 
 
-def statistics(t: Tables) -> DataFrame:
-    return ranges.histogram_statistics(ranges.code_histogram(night_codes(t)), rails=(-20, -19, 19, 20))
+def statistics(t: Tables, chosen: DataFrame | None = None) -> DataFrame:
+    """Order statistics of the chosen nights only: the others' codes never reach the counting."""
+    chunks = night_chunks(t)
+    if chosen is not None:
+        chunks = chunks.join(chosen.select("session_key"), "session_key", "left_semi")
+    return ranges.histogram_statistics(ranges.chunk_histogram(chunks), rails=(-20, -19, 19, 20))
 
 
 @query("A38_histogram_quantiles", _NIGHT + "SELECT session_key, " + ", ".join(f"{v} AS {k}" for k, v in _PICK.items()) + " FROM st")
@@ -287,7 +305,8 @@ def a38(t):
 
 
 def detail(t: Tables) -> DataFrame:
-    return ranges.representative_rank(ranges.calibrated_detail(ranges.profile_sample(nights(t), 20), statistics(t)))
+    sample = ranges.profile_sample(nights(t), 20)
+    return ranges.representative_rank(ranges.calibrated_detail(sample, statistics(t, sample)))
 
 
 _DET = _NIGHT + ", det AS (SELECT smp.*, sample_count, unique_digital_codes, rail_fraction, (phys_max - phys_min) / (dig_max - dig_min) AS lsb, " + ", ".join(
@@ -326,6 +345,20 @@ def j14(t):
     return rows.select("o_orderkey", F.posexplode(ranges.comparison_windows(F.col("n"))).alias("place", "start"))
 
 
+@query("J14_windowed_comparison", _NIGHT + """, w AS (SELECT greatest(0, least(64 - 7, floor(64 * f))) AS a FROM (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) v(f)),
+  d AS (SELECT session_key, CASE WHEN sample_idx % 7 = session_key % 7 THEN session_key % 5 + 1 ELSE 0 END AS d FROM cd JOIN w ON sample_idx >= a AND sample_idx < a + 6)
+  SELECT session_key, count(*) AS comparison_sample_count, avg((d = 0)::INT) AS digital_equal_fraction, max(d) AS max_abs_digital_code_difference, round(max(d) * any_value(phys_max - phys_min) / 65535, 9) AS max_abs_physical_difference FROM d JOIN ng USING (session_key) GROUP BY 1""")
+def j14c(t):
+    """Two sources in five windows of six records, one sample a record, compared chunk by chunk."""
+    left = night_chunks(t)
+    other = F.transform("codes", lambda v, i: v + F.when(i % 7 == F.col("session_key") % 7, (F.col("session_key") % 5 + 1).cast("int")).otherwise(0))
+    starts = ranges.comparison_windows(F.lit(64), 6)
+    spans = nights(t).select("session_key", ((F.col("phys_max") - F.col("phys_min")) / (F.col("dig_max") - F.col("dig_min"))).alias("lsb_physical"),
+                             F.transform(starts, lambda a: F.struct(a.alias("first"), (a + 6).alias("stop"))).alias("spans"))
+    out = ranges.compare_chunks(left, left.withColumn("codes", other), spans)
+    return out.withColumn("max_abs_physical_difference", F.round("max_abs_physical_difference", 9))
+
+
 @query("J14_sample_comparison", _NIGHT + """SELECT session_key, count(*) AS comparison_sample_count, avg((sample_idx % 7 <> session_key % 7)::INT) AS digital_equal_fraction, max(CASE WHEN sample_idx % 7 = session_key % 7 THEN abs(session_key % 5 + 1) ELSE 0 END) AS max_abs_digital_code_difference FROM cd GROUP BY 1""")
 def j14b(t):
     a = night_codes(t)
