@@ -69,14 +69,15 @@ def sample_violations(signals: DataFrame, size: int = m.EPOCH_SAMPLES) -> DataFr
 
 def grade_violations(qc: DataFrame, published: DataFrame, hours: DataFrame,
                      hours_per_epoch: float = 1 / 120) -> DataFrame:
-    """Grades and usable hours recomputed from the masks against the published ones."""
+    """Grades and usable hours recomputed from the masks against the published ones, either way round:
+    what is graded but not published is reported like what is published otherwise."""
     again = rules.usable_hours(qc, hours_per_epoch)
     graded = rules.night_grade(again).select("recording_id", F.col("night_grade").alias("_grade"))
-    wrong_grade = (published.join(graded, "recording_id", "left")
+    wrong_grade = (published.join(graded, "recording_id", "full_outer")
                    .where(~F.col("night_grade").eqNullSafe(F.col("_grade")))
                    .select("recording_id", F.lit("").alias("channel"), F.lit("night_grade").alias("problem")))
     other = again.select("recording_id", "channel", F.col("usable_hours").alias("_hours"))
-    wrong_hours = (hours.join(other, ["recording_id", "channel"], "left")
+    wrong_hours = (hours.join(other, ["recording_id", "channel"], "full_outer")
                    .where(F.coalesce(F.abs(F.col("usable_hours") - F.col("_hours")) > 1e-12, F.lit(True)))
                    .select("recording_id", "channel", F.lit("usable_hours").alias("problem")))
     return wrong_grade.unionByName(wrong_hours)

@@ -157,16 +157,20 @@ def s13(t):
     return good.select("session_key", F.lit("ok").alias("code"), F.lit("").alias("detail")).unionByName(bad.select("session_key", "code", "detail"))
 
 
-@query("K6_inventory_sink", CTE + "SELECT 'sessions' AS tbl, count(*) AS n FROM ses UNION ALL SELECT 'channels', count(*) FROM ch UNION ALL SELECT 'channel_coverage', 45")
+@query("K6_inventory_sink", CTE + """SELECT 'sessions' AS tbl, session_key::VARCHAR AS key, patient_id::VARCHAR AS value, 1::BIGINT AS n FROM ses
+  UNION ALL SELECT 'channels', session_key::VARCHAR, source || '/' || canonical_channel || '/' || selected_for_model::VARCHAR, count(*) FROM ch GROUP BY ALL
+  UNION ALL SELECT 'channel_coverage', s.source, names.channel, count(DISTINCT session_key) FROM names CROSS JOIN (VALUES ('h5'),('edf'),('tsv')) s(source) LEFT JOIN sel ON sel.source = s.source AND sel.channel = names.channel GROUP BY ALL""")
 def k6(t):
     root = scratch_path(t.spark, "inventory")
     ch = channels(t)
     inv.write_inventory({"sessions": sessions(t), "channels": ch, "channel_coverage": inv.channel_coverage(ch, total(t))}, root)
-    out = None
-    for name in ("sessions", "channels", "channel_coverage"):
-        n = t.spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    text = lambda c: F.col(c).cast("string")
+    back = {name: t.spark.read.parquet(f"{root}/{name}") for name in ("sessions", "channels", "channel_coverage")}
+    detail = F.concat_ws("/", "source", "canonical_channel", text("selected_for_model"))
+    return (back["sessions"].select(F.lit("sessions").alias("tbl"), text("session_key").alias("key"), text("patient_id").alias("value"), F.lit(1).cast("bigint").alias("n"))
+            .unionByName(back["channels"].groupBy(text("session_key").alias("key"), detail.alias("value")).agg(F.count("*").alias("n")).withColumn("tbl", F.lit("channels")))
+            .unionByName(back["channel_coverage"].select(F.lit("channel_coverage").alias("tbl"), F.col("source").alias("key"), F.col("channel").alias("value"),
+                                                         F.col("recording_count").cast("bigint").alias("n"))))
 
 
 _SI = " UNION ALL ".join([

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from nightgrid import model as m
 from nightgrid.functions import columns as c
+from nightgrid.functions import dsp
 from nightgrid.operators import calibrate, kernels, ranges, raw, rules, scan, vectors
 from nightgrid.plans import preprocess
 from nightgrid.plans import signal_queries as sq
 from nightgrid.plans.registry import Tables, query
 from nightgrid.session import scratch_path
-from nightgrid.sources import edf, files
+from nightgrid.sources import edf, files, published, registry
 
 # --- manifest: orders are files, line items are their channels ---------------------------------
 _FILE = ["concat('/n/', o_orderkey, '.h5') AS path", "concat(o_orderkey, '.h5') AS relative_path", "CAST(o_custkey AS STRING) AS subject_id",
@@ -163,7 +164,34 @@ def x3(t):
     return t.embeddings.select("vec_id", F.posexplode(y).alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("X2_zero_phase_band_filter")
+def _impulse(sections, n: int) -> list[float]:
+    """First n outputs of a biquad cascade for a unit impulse, sample by sample."""
+    x = [1.0] + [0.0] * (n - 1)
+    for b0, b1, b2, a1, a2 in sections:
+        y = []
+        for i in range(n):
+            at = lambda v, k: v[i - k] if i >= k else 0.0  # noqa: B023,E731
+            y.append(b0 * at(x, 0) + b1 * at(x, 1) + b2 * at(x, 2) - a1 * at(y, 1) - a2 * at(y, 2))
+        x = y
+    return x
+
+
+def _zero_phase_sql() -> str:
+    """Forward and backward filtering as sums over the impulse response: what precedes the first value is that value."""
+    steps, source = [], "x0"
+    for k, (sections, gain) in enumerate(zip(dsp.BandFilter(0.3, 35.0, 200.0).stages, (0, 1)), 1):
+        taps = "[" + ",".join(f"{v!r}::DOUBLE" for v in _impulse(sections, 94)) + "]"
+        run = (f"SELECT vec_id, list_transform(range(1, 95), lambda i: {gain} * w[1] + list_sum(list_transform(range(1, i + 1), lambda j: h[i - j + 1] * (w[j] - w[1])))) AS w "
+               f"FROM {{}}, (SELECT {taps} AS h)")
+        steps += [f"p{k} AS (SELECT vec_id, list_concat(list_transform(range(15, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v, list_transform(range(1, 16), lambda i: 2 * v[64] - v[64 - i])) AS w FROM {source})",
+                  f"f{k} AS ({run.format(f'p{k}')})", f"r{k} AS (SELECT vec_id, list_reverse(w) AS w FROM f{k})", f"b{k} AS ({run.format(f'r{k}')})",
+                  f"x{k} AS (SELECT vec_id, list_reverse(w)[16:79] AS v FROM b{k})"]
+        source = f"x{k}"
+    return ("WITH x0 AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), " + ", ".join(steps)
+            + " SELECT vec_id, i::INT AS place, round(v[i + 1], 6) AS value FROM x2, range(64) g(i)")
+
+
+@query("X2_zero_phase_band_filter", _zero_phase_sql())
 def x2(t):
     y = kernels.band_filter_column(F.col("embedding"), 0.3, 35.0, 200.0)
     return t.embeddings.select("vec_id", F.posexplode(y).alias("place", "value")).withColumn("value", F.round("value", 6))
@@ -250,10 +278,17 @@ def f7(t):
     return t.embeddings.select("vec_id", "label", F.size(F.filter(back, lambda v: v.isNull())).alias("nulls"))
 
 
-@query("U2_sample_transform_hook", "SELECT conv_id, turn, turn * 2 AS doubled FROM conversations")
+@query("U2_sample_transform_hook", """WITH r AS (SELECT conv_id AS recording_id, max(turn) + 1 AS n FROM conversations GROUP BY 1)
+  SELECT r.recording_id, w AS window_no, e AS epoch_in_record, length(text) * 2::BIGINT AS doubled FROM r, range(CAST(ceil(n / 2) AS BIGINT)) g(w), range(w * 2, w * 2 + least(3, n - w * 2)) h(e)
+  JOIN conversations c ON c.conv_id = r.recording_id AND c.turn = h.e""")
 def u2(t):
-    double = lambda df: df.withColumn("doubled", F.col("turn") * 2)
-    return t.conversations.select("conv_id", "turn").transform(double)
+    """A caller's own column, computed inside the window reader."""
+    per = t.conversations.groupBy(F.col("conv_id").alias("recording_id")).agg((F.max("turn") + 1).alias("n_epochs"))
+    turns = t.conversations.select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("epoch_in_record"), F.length("text").alias("samples"))
+    records = per.withColumn("subject_id", F.col("recording_id")).withColumn("night_grade", F.lit(5))
+    source = registry.Release("turns", m.RELEASE_VERSION, 30.0, m.channel_dimension(t.spark), records, turns, lambda task: None)
+    double = lambda df: df.withColumn("doubled", (F.col("samples") * 2).cast("bigint"))
+    return published.read_windows(source, 3, 2, transform=double).select("recording_id", "window_no", "epoch_in_record", "doubled")
 
 
 # --- range audit: every vector is a night of 64 codes, the label is its profile -----------------
@@ -406,6 +441,27 @@ def s3(t):
     return out.select(F.col("path").cast("bigint").alias("vec_id"), "sample_idx", "code")
 
 
+@query("S2_edf_header_files", "SELECT vec_id, 'F3-M2' AS raw_channel, 8.0::DOUBLE AS fs_hz, 64::BIGINT AS sample_count, 8.0::DOUBLE AS duration_seconds, 'uV' AS unit FROM embeddings")
+def s2b(t):
+    """Headers through the data source, from files that hold each vector as one signal."""
+    folder = scratch_path(t.spark, "edf")
+    files.write_binary(edf_bytes(t).withColumn("path", F.concat("path", F.lit(".edf"))), folder)
+    edf.register(t.spark)
+    rows = t.spark.read.format("edf_header").load(folder)
+    return rows.select(F.regexp_extract("path", r"(\d+)\.edf$", 1).cast("bigint").alias("vec_id"), "raw_channel", "fs_hz", "sample_count", "duration_seconds", "unit")
+
+
+@query("S3_edf_sample_files", "SELECT vec_id, (i - 1)::BIGINT AS sample_idx, round_even(embedding[i]::DOUBLE * 1000, 0)::INT AS code, NULL::VARCHAR AS error FROM embeddings, range(9, 65) g(i)")
+def s3b(t):
+    """Samples from record 1 on through the data source, in parts of a few records."""
+    folder = scratch_path(t.spark, "edf")
+    files.write_binary(edf_bytes(t).withColumn("path", F.concat("path", F.lit(".edf"))), folder)
+    edf.register(t.spark)
+    rows = (t.spark.read.format("edf_samples").option("channel", "f3-m2").option("firstRecord", 1)
+            .option("bytesPerPartition", 1 << 20).load(folder))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.edf$", 1).cast("bigint").alias("vec_id"), "sample_idx", "code", "error")
+
+
 @query("S12_file_discovery", """SELECT 'sub-' || s_nationkey || '/ses-' || s_suppkey % 2 AS session_key, count(*) AS suppliers FROM supplier GROUP BY 1""")
 def s12(t):
     """Files named by the table's keys, found again by their folder pattern."""

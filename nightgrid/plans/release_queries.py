@@ -70,15 +70,20 @@ def k4(t):
         "recording_id", "channel", "channel_status_code", "source_hp_hz", "source_lp_hz", "effective_hp_hz", "notch_hz")
 
 
-@query("K7_report_sinks", CTE + "SELECT 'summary' AS report, sum(evaluated & 1)::BIGINT AS n FROM qc UNION ALL SELECT 'events', sum(bit_count(flags))::BIGINT FROM qc")
+@query("K7_report_sinks", CTE + f"""SELECT 'summary' AS report, r.channel, r.code::INT AS code, NULL::BIGINT AS recording_id, NULL::BIGINT AS start_seconds, sum((evaluated >> (r.code - 1)) & 1)::BIGINT AS n FROM qc JOIN {sq._RULES} ON r.channel = qc.channel GROUP BY ALL
+  UNION ALL SELECT 'events', qc.channel, r.code::INT, recording_id, qc.epoch_in_record * 30, 1 FROM qc JOIN {sq._RULES} ON r.channel = qc.channel AND (qc.flags >> (r.code - 1)) & 1 = 1""")
 def k7(t):
     root = scratch_path(t.spark, "reports")
     q = sq.qc(t)
     rules.rule_summary(q).write.parquet(f"{root}/qc_summary")
     rules.hard_events(q).write.option("header", True).csv(f"{root}/epoch_hard")
-    a = t.spark.read.parquet(f"{root}/qc_summary").where("code = 1").agg(F.sum("evaluated_epochs").alias("n"))
-    b = t.spark.read.option("header", True).csv(f"{root}/epoch_hard").agg(F.count("*").alias("n"))
-    return a.select(F.lit("summary").alias("report"), "n").unionByName(b.select(F.lit("events").alias("report"), "n"))
+    a = t.spark.read.parquet(f"{root}/qc_summary")
+    b = t.spark.read.option("header", True).csv(f"{root}/epoch_hard")
+    none = F.lit(None).cast("bigint")
+    return a.select(F.lit("summary").alias("report"), "channel", F.col("code").cast("int").alias("code"), none.alias("recording_id"), none.alias("start_seconds"),
+                    F.col("evaluated_epochs").cast("bigint").alias("n")).unionByName(
+        b.select(F.lit("events").alias("report"), "channel", F.col("hard_code").cast("int").alias("code"), F.col("recording_id").cast("bigint").alias("recording_id"),
+                 F.col("start_seconds").cast("bigint").alias("start_seconds"), F.lit(1).cast("bigint").alias("n")))
 
 
 def publish_all(t: Tables, root: str) -> None:
@@ -168,10 +173,19 @@ def s14(t):
         "recording_id", "shard_id", "first_epoch", "n_epochs", "artifact_epochs")
 
 
-@query("V11_release_conditions", _LEDGER + "SELECT problem, count(*) AS artifacts FROM bad WHERE problem IS NOT NULL GROUP BY 1")
+@query("V11_release_conditions", _LEDGER + "SELECT problem, count(*) AS artifacts, 4 AS refused_conditions FROM bad WHERE problem IS NOT NULL GROUP BY 1")
 def v11(t):
-    return (release.agreement(artifacts(t), commits(t)).where("problem IS NOT NULL")
-            .groupBy("problem").agg(F.count("*").alias("artifacts")))
+    """What keeps artifacts from being read, and which callers' conditions the release check refuses."""
+    counts = (release.agreement(artifacts(t), commits(t)).where("problem IS NOT NULL")
+              .groupBy("problem").agg(F.count("*").alias("artifacts")))
+    refused = 0
+    for version, status, tasks in ((m.RELEASE_VERSION, "COMPLETE", ("sao2",)), ("v9", "COMPLETE", ()), (m.RELEASE_VERSION, "RUNNING", ()),
+                                   (m.RELEASE_VERSION, "COMPLETE", ("sao2", "sao2")), (m.RELEASE_VERSION, "COMPLETE", ("weight",))):
+        try:
+            release.check_release(version, status, tasks)
+        except ValueError:
+            refused += 1
+    return counts.withColumn("refused_conditions", F.lit(refused))
 
 
 @query("V12_record_audit", _LEDGER + """SELECT recording_id, 'grade' AS problem FROM rec WHERE night_grade = 0 UNION ALL SELECT recording_id, 'grade' FROM rec WHERE night_grade = 0 AND recording_id % 10 = 0
@@ -378,13 +392,14 @@ def v5(t):
     return audits.sample_violations(z, 64)
 
 
-@query("V6_grade_audit", CTE + sq._GRADES + """SELECT recording_id, '' AS channel, 'night_grade' AS problem FROM grades WHERE recording_id % 2 = 0
-  UNION ALL SELECT recording_id, channel, 'usable_hours' FROM hrs WHERE channel = 'e1'""")
+@query("V6_grade_audit", CTE + sq._GRADES + """SELECT recording_id, '' AS channel, 'night_grade' AS problem FROM grades WHERE recording_id % 2 = 0 OR recording_id % 5 = 1
+  UNION ALL SELECT recording_id, channel, 'usable_hours' FROM hrs WHERE channel IN ('e1', 'e2')""")
 def v6(t):
     q = sq.qc(t)
     hours = rules.usable_hours(q, 1.0)
-    published_ = rules.night_grade(hours).withColumn("night_grade", F.col("night_grade") + (F.col("recording_id") % 2 == 0).cast("int"))
-    moved = hours.withColumn("usable_hours", F.col("usable_hours") + F.when(F.col("channel") == "e1", 1e-9).otherwise(0.0))
+    # Some nights have another grade and some are not published; one channel's hours differ and one's are absent.
+    published_ = rules.night_grade(hours).where("recording_id % 5 <> 1").withColumn("night_grade", F.col("night_grade") + (F.col("recording_id") % 2 == 0).cast("int"))
+    moved = hours.withColumn("usable_hours", F.col("usable_hours") + F.when(F.col("channel") == "e1", 1e-9).otherwise(0.0)).where("channel <> 'e2'")
     return audits.grade_violations(q, published_, moved, 1.0)
 
 

@@ -7,6 +7,8 @@ NaN. The label of a channel's first vector decides what its header looks like.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -446,13 +448,19 @@ def w15(t):
 
 
 @query("S15_synthetic_source", """SELECT r.c_custkey AS recording_no, c.ch::INT AS channel_idx, e::INT AS epoch_in_record,
-  NOT (r.c_custkey % 2 = 1 AND c.ch = 5) AS available, 8 AS n_samples
+  NOT (r.c_custkey % 2 = 1 AND c.ch = 5) AS available, 8 AS n_samples,
+  CASE WHEN r.c_custkey % 2 = 1 AND c.ch = 5 THEN 8 ELSE 0 END AS nan_samples, c.ch = 14 OR NOT (r.c_custkey % 2 = 1 AND c.ch = 5) AS near_wave
   FROM customer r, range(15) c(ch), range(2 - r.c_custkey % 2) g(e)""")
 def s15(t):
     rows = synthetic.synthetic_epochs(t.customer.select(F.col("c_custkey").alias("recording_no")), epochs=2,
                                       sample_rate=4, epoch_seconds=2)
-    return rows.select("recording_no", "channel_idx", "epoch_in_record", "available",
-                       F.size("samples").alias("n_samples"))
+    # Away from the noise, at most 0.05 times the square root of three, each sample is its channel's sine.
+    place = m.channel_map({c: i + 1 for cs in m.GROUP_CHANNELS.values() for i, c in enumerate(cs)}, F.col("channel"))
+    slow = lambda i: 95 + 2 * F.sin(2 * math.pi * 0.025 * i / 4 + F.col("recording_no"))
+    wave = lambda i: F.when(F.col("channel") == "spo2", slow(i)).otherwise(F.sin(2 * math.pi * place * i / 4))
+    near = F.forall(F.transform("samples", lambda v, i: F.abs(v.cast("double") - wave(i)) < 0.0867), lambda ok: ok)
+    return rows.select("recording_no", "channel_idx", "epoch_in_record", "available", F.size("samples").alias("n_samples"),
+                       F.size(F.filter("samples", F.isnan)).alias("nan_samples"), near.alias("near_wave"))
 
 
 @query("F10_time_offsets", """SELECT conv_id, turn, turn * 30000000000 AS epoch_start_offset_ns,

@@ -119,3 +119,24 @@ def exactly_one(files: DataFrame, kinds: dict[str, Column], excluded: str, key:
     counts = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(f"_n_{k}").cast("string")) for k in kinds])
     errors = per.where(~ok).select(key, F.lit("sources").alias("stage"), F.lit("SOURCE_COUNT").alias("code"), counts.alias("detail"))
     return per.where(ok).select(key, *kinds), errors
+
+
+def write_binary(rows: DataFrame, folder: str) -> int:
+    """(path, content) rows as files below a folder, written by the tasks; returns how many.
+
+    Paths are relative and must differ; a task that runs again writes the same bytes.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from nightgrid.sources.registry import BUILT_IN, Release
 
 
 def read_release(spark: SparkSession, root: str, version: str = m.RELEASE_VERSION,
-                 status: str = "COMPLETE", tasks: Sequence[str] = ()) -> Release:
+                 status: str = "COMPLETE", tasks: Sequence[str] = (), verify: bool = False) -> Release:
+    """A release this package published; ``verify`` leaves out shards whose content no longer has its digest."""
     release.check_release(version, status, tasks)
 
     def task_table(task: str) -> DataFrame:
@@ -22,14 +23,18 @@ def read_release(spark: SparkSession, root: str, version: str = m.RELEASE_VERSIO
         return release.read_published(spark, root, "task_epochs").where(F.col("task") == task)
 
     return Release(BUILT_IN, version, float(m.EPOCH_SECONDS), m.channel_dimension(spark),
-                   release.read_published(spark, root, "records"),
-                   release.read_published(spark, root, "signal_epochs"), task_table)
+                   release.read_published(spark, root, "records", verify),
+                   release.read_published(spark, root, "signal_epochs", verify), task_table)
 
 
 def read_windows(source: Release, context: int, stride: int | None = None, drop_last: bool = False,
                  split: str | None = None, seed: int = 42, ratios=(0.8, 0.1, 0.1),
-                 grades: Sequence[int] | None = None, tasks: Sequence[str] = ()) -> DataFrame:
-    """Epoch rows of every window: filters first, then windows, then one join to the signals."""
+                 grades: Sequence[int] | None = None, tasks: Sequence[str] = (),
+                 transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Epoch rows of every window: filters first, then windows, then one join to the signals.
+
+    ``transform`` is the caller's own step over the finished rows, part of the same plan.
+    """
     chosen = grid.select_records(source.records, source.name, split, seed, ratios, grades)
     windows = grid.context_windows(chosen, context, stride, drop_last)
     members = grid.window_epochs(windows)
@@ -39,5 +44,6 @@ def read_windows(source: Release, context: int, stride: int | None = None, drop_
                                       F.col("valid").alias(f"{task}_valid"))
         rows = rows.join(t, ["recording_id", "epoch_in_record"], "left")
     seconds = F.lit(source.epoch_seconds)
-    return (rows.withColumn("start_sec", F.col("start_epoch") * seconds)
+    rows = (rows.withColumn("start_sec", F.col("start_epoch") * seconds)
             .withColumn("duration_sec", F.col("n_epochs") * seconds))
+    return rows if transform is None else transform(rows)
