@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightgrid.operators import batches, grid
-from nightgrid.operators.scan import dense_index, exact_quantiles, islands, number_bucket, running
+from nightgrid.operators.scan import data_bucket, dense_index, exact_quantiles, islands, number_bucket, running
 
 
 def skewed(n=600, seed=1):
@@ -139,3 +139,39 @@ def test_scale_arguments():
     for bad in (0, -1, True, float("nan"), "x", {"offset": 1}, {"offset": 1, "divisor": 0}):
         with pytest.raises(ValueError):
             batches.fixed_scale(bad)
+
+
+@pytest.mark.parametrize("size, spread", [(1, 1), (2, 2), (9_999, 10**6), (10_001, 10**6), (10_001, 1), (40_000, 3)])
+def test_quantiles_take_one_path_for_every_size(spark, size, spread):
+    values = np.random.default_rng(size + spread).integers(0, spread, size).astype(float)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 7.0)], "k string, v double").repartition(3)
+    points = {"low": 0.0, "p01": 0.01, "mid": 0.5, "p99": 0.99, "high": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), points).collect()}
+    assert got["a"]["count"] == size and got["b"]["p99"] == 7.0
+    for name, q in points.items():
+        assert got["a"][name] == pytest.approx(np.quantile(values, q), abs=1e-9)
+    lower = exact_quantiles(df.where("k = 'a'"), [], F.col("v"), points, "lower").first()
+    assert [lower[n] for n in points] == [np.sort(values)[int(q * (size - 1))] for q in points.values()]
+
+
+@pytest.mark.parametrize("make", [lambda i: f"night-{i:06d}", lambda i: i * 10**15, lambda i: i])
+def test_order_by_any_key(spark, make):
+    """Text, sparse and dense keys: positions, packing and window ends as in a plain loop."""
+
+
+    keys = [make(i) for i in range(900)]
+    sizes = np.random.default_rng(1).integers(1, 40, 900).tolist()
+    df = spark.createDataFrame(list(zip(keys, sizes)), ["key", "size"]).repartition(5)
+    want, load, n, no = {}, 0, 0, -1
+    for k, s in zip(keys, sizes):
+        if n == 0 or n == 4 or load + s > 90:
+            load, n, no = 0, 0, no + 1
+        load, n = load + s, n + 1
+        want[k] = no
+    for block in (4, 7, 1000):  # one, two and more levels of the tree
+        got = {r.key: r.shard_no for r in batches.greedy_batches(df, "key", "key", "size", 4, 90, block).collect()}
+        assert got == want
+    placed = {r.key: r.position for r in grid.global_positions(df, "key").collect()}
+    assert [placed[k] for k in keys] == list(range(900))
+    buckets = df.groupBy(data_bucket(df, "key").alias("b")).count().collect()
+    assert len(buckets) > 100 and max(r["count"] for r in buckets) < 40
