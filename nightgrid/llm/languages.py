@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 #: Documented bounds of the fit: labelled rows, and characters taken from each of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 800
 ORDERS, BUCKETS, WIDTH = 4, 1 << 16, 16
-#: Share of right predictions that calibration lets go below the rejection threshold.
-REJECT_SHARE = 0.0005
-#: No probability above this is rejected: a text in two languages has about one half for each.
-REJECT_BELOW = 0.45
+#: Rejection begins at this share of the familiarity that all but ``REJECT_SHARE`` of known texts reach.
+REJECT_SHARE, REJECT_MARGIN = 0.0005, 0.6
 UNKNOWN = "und"
 
 
@@ -65,47 +63,55 @@ class LanguageModel:
 
     A text's embedding is the mean of its subwords' embeddings and its logits are linear in it, so
     the product of both matrices, one row of logits for each bucket, is all that prediction needs.
+    A text's familiarity is the mean gap between the best and the worst language of its
+    subwords: large for text in any mixture of known languages, small where subwords were
+    never learned. Unlike the probability it does not fall where two known languages meet.
     """
 
     def __init__(self, langs: list[str], table, bias, temperature: float = 1.0, threshold: float = 0.0):
-        self.langs, self.table, self.bias, self.temperature, self.threshold = langs, table, bias, temperature, threshold
+        import numpy as np
+
+        gap = table.max(axis=1, keepdims=True) - table.min(axis=1, keepdims=True) if langs else np.zeros((len(table), 1), np.float32)
+        self.table = np.concatenate((table, gap), axis=1)  # the last column is the gap
+        self.langs, self.bias, self.temperature, self.threshold = langs, bias, temperature, threshold
 
-    def logits(self, text: str, block: int = 1 << 20):
-        """Mean logits of the whole text, or None without letters; long texts go block by block."""
+    def measure(self, text: str, block: int = 1 << 20):
+        """(mean logits, familiarity) of the whole text, or None without letters; long texts go block by block."""
         import numpy as np
 
         codes, letters = code_points(text)
         if not letters:
             return None
-        total, count, at, spaces = np.zeros(len(self.langs)), 0, 0, np.flatnonzero(codes == 32)
+        total, count, at, spaces = np.zeros(len(self.langs) + 1), 0, 0, np.flatnonzero(codes == 32)
         while at < len(codes) - 1:  # blocks meet in a space, so no subword is split or met twice
             stop = int(spaces[min(np.searchsorted(spaces, at + block), len(spaces) - 1)])
             buckets = subwords(codes[at:stop + 1])
             total += self.table[buckets].sum(axis=0, dtype=np.float64)
             count += len(buckets)
             at = stop
-        return total / max(count, 1) + self.bias
+        mean = total / max(count, 1)
+        return mean[:-1] + self.bias, float(mean[-1])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, probability, accepted)."""
         import numpy as np
 
-        logits = self.logits(text) if text and self.langs else None
-        if logits is None:
+        found = self.measure(text) if text and self.langs else None
+        if found is None:
             return UNKNOWN, 0.0, False
+        logits, familiarity = found
         z = logits / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
         score = float(p[best] / p.sum())
-        return self.langs[best], min(max(score, 0.0), 1.0), score >= self.threshold
+        return self.langs[best], min(max(score, 0.0), 1.0), familiarity >= self.threshold
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.4, batch: int = 32, least_steps: int = 600) -> LanguageModel:
         """Stochastic gradient descent on four fifths of the examples; the rest calibrates.
 
         The temperature is the one of a grid with the smallest loss on the calibration part; the
-        threshold is the probability below which ``REJECT_SHARE`` of its right predictions lie,
-        lowered by a quarter so that texts in two languages stay.
+        threshold is ``REJECT_MARGIN`` of the familiarity that all but ``REJECT_SHARE`` of that part reach.
         """
         import numpy as np
 
@@ -144,7 +150,8 @@ class LanguageModel:
                 np.add.at(embed, key % BUCKETS, (-pace * times[:, None] * back[key // BUCKETS]).astype(np.float32))
                 step += 1
         model = cls(langs, (embed @ weight).astype(np.float32), bias.astype(np.float64))
-        z = np.array([model.table[grams[i]].mean(axis=0) + model.bias for i in held]).reshape(len(held), len(langs))
+        means = np.array([model.table[grams[i]].mean(axis=0) for i in held]).reshape(len(held), len(langs) + 1)
+        z = means[:, :-1] + model.bias
         if len(held):
 
             def probabilities(temperature: float):
@@ -153,10 +160,7 @@ class LanguageModel:
 
             loss = lambda t: -np.log(probabilities(t)[np.arange(len(held)), y[held]] + 1e-12).mean()
             model.temperature = float(min(np.geomspace(0.5, 8, 60), key=loss))
-            p = probabilities(model.temperature)
-            right = p.argmax(axis=1) == y[held]
-            if right.any():
-                model.threshold = min(0.75 * float(np.quantile(p.max(axis=1)[right], REJECT_SHARE)), REJECT_BELOW)
+            model.threshold = REJECT_MARGIN * float(np.quantile(means[:, -1], REJECT_SHARE))
         return model
 
 
@@ -190,7 +194,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     """Add column ``into``: a struct of lang_pred, score and accepted, read off the whole text alone.
 
     lang_pred is a learned language, or ``und`` with score 0 if the text is null or has no letter.
-    accepted is false for those and for scores below the calibrated threshold. Every row stays,
+    accepted is false for those and for texts less familiar than the calibrated threshold. Every row stays,
     repeated ones too; an empty table gives no rows; a column of that name is replaced.
     """
 

@@ -321,7 +321,16 @@ def test_long_texts_go_block_by_block(given):
     texts = [r.text for r in given.where("text is not null").limit(40).collect()]
     model = languages.LanguageModel.fit(texts, ["a" if i % 2 else "b" for i in range(len(texts))], epochs=1)
     for t in texts[:10]:
-        assert np.allclose(model.logits(t), model.logits(t, block=50))
+        assert np.allclose(np.append(*model.measure(t)), np.append(*model.measure(t, block=50)))
+
+
+def test_unknown_languages_are_rejected(given):
+    rows = given.where("text is not null and lang is not null").collect()
+    model = languages.LanguageModel.fit([r.text[:800] for r in rows], [r.lang for r in rows])
+    for text in ("Это русский текст о жизни и смерти, который никто не читал.", "これは日本語の文章です。誰も読みません。", "Ελληνικό κείμενο που δεν διάβασε κανείς ποτέ"):
+        assert not model.predict(text)[2]
+    half = [r.text[:400] for r in rows[:2]]
+    assert model.predict(" ".join(half))[2]
 
 
 # -- pages
