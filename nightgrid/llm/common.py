@@ -54,7 +54,7 @@ class TextEncoder:
     other tokenizer encodes each text as it is. Both give what ``encode`` gives for the text.
     """
 
-    def __init__(self, name: str, chunk_limit: int = 800_000, core_limit: int = 800_000):
+    def __init__(self, name: str, chunk_limit: int = 500_000, core_limit: int = 500_000):
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
@@ -104,6 +104,7 @@ class TextEncoder:
                 continue
             if letters.isalpha():  # of bytes: ASCII letters only
                 core = letters.lower()
+                core = piece if core == piece else core  # one object serves both caches
             else:
                 word = letters.decode("utf-8", "replace")
                 # Up to U+017F but for U+0130, letters are composed already and have one lower-case letter each.
