@@ -70,7 +70,7 @@ def k4(t):
         "recording_id", "channel", "channel_status_code", "source_hp_hz", "source_lp_hz", "effective_hp_hz", "notch_hz")
 
 
-@query("K7_report_sinks", CTE + f"""SELECT 'summary' AS report, r.channel, r.code::INT AS code, NULL::BIGINT AS recording_id, NULL::BIGINT AS start_seconds, sum((evaluated >> (r.code - 1)) & 1)::BIGINT AS n FROM qc JOIN {sq._RULES} ON r.channel = qc.channel GROUP BY ALL
+@query("K7_report_sinks", CTE + f"""SELECT 'summary' AS report, r.channel, r.code::INT AS code, NULL::BIGINT AS recording_id, NULL::BIGINT AS start_seconds, coalesce(sum((evaluated >> (r.code - 1)) & 1), 0)::BIGINT AS n FROM {sq._RULES} LEFT JOIN qc ON r.channel = qc.channel GROUP BY ALL
   UNION ALL SELECT 'events', qc.channel, r.code::INT, recording_id, qc.epoch_in_record * 30, 1 FROM qc JOIN {sq._RULES} ON r.channel = qc.channel AND (qc.flags >> (r.code - 1)) & 1 = 1""")
 def k7(t):
     root = scratch_path(t.spark, "reports")
