@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightgrid.llm import decontaminate, languages, packing, simhash
+from nightgrid.llm import decontaminate, languages, nearcopies, packing
 from nightgrid.session import write_once
 
 
@@ -22,9 +22,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: the one with the smallest doc_id.
 
+    Near-copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Of repeated rows of that doc_id one stays. A group in which no document has an id is left as it is.
     """
-    return simhash.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
