@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightgrid.llm import chat, counts, decontaminate, languages, packing, pages, sharding, simhash, tokenfiles, topk
+from nightgrid.llm import chat, counts, decontaminate, languages, packing, pages, sharding, simhash, tokenfiles, topk, whitening
 from nightgrid.llm.common import only
 from nightgrid.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -102,3 +102,10 @@ def op2(spark, folder):
 def op6(spark, folder):
     """Tokens of every document under the unigram vocabulary."""
     return counts.token_counts(table(spark, folder, "documents"))
+
+
+@query("op11_weighted_whitening")
+def op11(spark, folder):
+    """Leading whitened components of every embedding; a deviation that does not fit a long is null."""
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
