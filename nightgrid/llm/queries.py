@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightgrid.llm import chat, counts, decontaminate, languages, packing, pages, sharding, simhash, tokenfiles, topk, whitening
+from nightgrid.llm import chat, counts, decontaminate, languages, packing, pages, repair, sharding, simhash, tokenfiles, topk, whitening
 from nightgrid.llm.common import only
 from nightgrid.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -109,3 +109,10 @@ def op11(spark, folder):
     """Leading whitened components of every embedding; a deviation that does not fit a long is null."""
     found = whitening.whiten(table(spark, folder, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query("op12_structure_repair", repair.sql())
+def op12(spark, folder):
+    """Faults and cheapest repair of every conversation after damage."""
+    turns = only(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    return repair.digests(repair.repair(repair.damage(turns), turns))
