@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightgrid.llm import chat, counts, decontaminate, languages, packing, pages, repair, sharding, simhash, tokenfiles, topk, whitening
+from nightgrid.llm import chat, counts, decontaminate, languages, packing, pages, personal, repair, sharding, simhash, tokenfiles, topk, whitening
 from nightgrid.llm.common import only
 from nightgrid.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -116,3 +116,10 @@ def op12(spark, folder):
     """Faults and cheapest repair of every conversation after damage."""
     turns = only(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
     return repair.digests(repair.repair(repair.damage(turns), turns))
+
+
+@query("op13_personal_data")
+def op13(spark, folder):
+    """Spans of personal data in every document: those of the patterns, counted and digested, and with those the model adds."""
+    docs = only(table(spark, folder, "documents"), "doc_id", "text")
+    return personal.report(personal.detect(docs, personal.learn(docs)))
