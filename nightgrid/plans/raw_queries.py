@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nightgrid import model as m
 from nightgrid.functions import columns as c
 from nightgrid.functions import dsp
-from nightgrid.operators import calibrate, kernels, ranges, raw, rules, scan, vectors
+from nightgrid.operators import calibrate, chunked, kernels, ranges, raw, rules, scan, vectors
 from nightgrid.plans import preprocess
 from nightgrid.plans import signal_queries as sq
 from nightgrid.plans.registry import Tables, query
@@ -197,6 +197,58 @@ def x2(t):
     return t.embeddings.select("vec_id", F.posexplode(y).alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
+# --- the same kernels over signals cut into rows: four vectors make one signal, no task sees it whole ---------------
+_SIG = """sig AS (SELECT vec_id // 4 AS signal, flatten(list(list_transform(embedding, lambda v: v::DOUBLE) ORDER BY vec_id)) AS v FROM embeddings GROUP BY 1)"""
+
+
+def signals(t: Tables) -> DataFrame:
+    rows = t.embeddings.select(F.floor(F.col("vec_id") / 4).alias("signal"), "vec_id", "embedding")
+    return chunked.as_signal(rows, ["signal"], "vec_id", F.col("embedding"))
+
+
+def samples(parts: DataFrame, name: str) -> DataFrame:
+    return chunked.joined_values(parts, ["signal"], name).withColumn("value", F.round("value", 6))
+
+
+def _chunked_zero_phase_sql() -> str:
+    steps, source = [], "sig"
+    for k, (sections, gain) in enumerate(zip(dsp.BandFilter(0.3, 35.0, 200.0).stages, (0, 1)), 1):
+        taps = "[" + ",".join(f"{v!r}::DOUBLE" for v in _impulse(sections, 286)) + "]"
+        run = (f"SELECT signal, list_transform(range(1, len(w) + 1), lambda i: {gain} * w[1] + list_sum(list_transform(range(1, i + 1), lambda j: h[i - j + 1] * (w[j] - w[1])))) AS w "
+               f"FROM {{}}, (SELECT {taps} AS h)")
+        steps += [f"p{k} AS (SELECT signal, list_concat(list_transform(range(15, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v, list_transform(range(1, 16), lambda i: 2 * v[len(v)] - v[len(v) - i])) AS w FROM {source})",
+                  f"f{k} AS ({run.format(f'p{k}')})", f"r{k} AS (SELECT signal, list_reverse(w) AS w FROM f{k})", f"b{k} AS ({run.format(f'r{k}')})",
+                  f"x{k} AS (SELECT signal, list_reverse(w)[16:len(w) - 15] AS v FROM b{k})"]
+        source = f"x{k}"
+    return f"WITH {_SIG}, " + ", ".join(steps) + " SELECT signal, i AS place, round(v[i + 1], 6) AS value FROM x2, range(256) g(i) WHERE i < len(v)"
+
+
+@query("X2_chunked_band_filter", _chunked_zero_phase_sql())
+def x2_chunked(t):
+    """Filter states composed over chunks in a tree, forwards and backwards."""
+    return samples(chunked.band_filter(signals(t), ["signal"], dsp.BandFilter(0.3, 35.0, 200.0), block=64, fanout=2), "first")
+
+
+@query("X3_chunked_resample", f"""WITH {_SIG}, {_KAI.removeprefix("WITH ").split("  x AS")[0].strip().rstrip(",")},
+  x AS (SELECT signal, len(v) AS n, list_transform(range(-40, len(v) + 40), lambda i: CASE WHEN i < 0 THEN v[1] + i * (v[len(v)] - v[1]) / (len(v) - 1) WHEN i >= len(v) THEN v[len(v)] + (i - len(v) + 1) * (v[len(v)] - v[1]) / (len(v) - 1) ELSE v[i + 1] END) AS w FROM sig)
+  SELECT signal, o AS place, round(2 * list_sum(list_transform(range(greatest(-40, (o * 5 - 50) // 2), (o * 5 + 50) // 2 + 1), lambda i: CASE WHEN o * 5 - i * 2 BETWEEN -50 AND 50 THEN h[o * 5 - i * 2 + 51] * w[i + 41] ELSE 0 END)) / list_sum(h), 6) AS value FROM x, tp, range(103) g(o) WHERE o * 5 < n * 2""")
+def x3_chunked(t):
+    """Each chunk with the samples beside it, at the exact phase of the whole signal."""
+    return samples(chunked.resample(signals(t), ["signal"], 500.0, block=64), "tick")
+
+
+@query("X4_chunked_hold", f"""WITH {_SIG} SELECT signal, o AS place, round(v[o // 8 + 1], 6) AS value FROM sig, range(2048) g(o) WHERE o < 8 * len(v)""")
+def x4_chunked(t):
+    return samples(chunked.hold(signals(t), ["signal"], 25.0, block=64), "tick")
+
+
+@query("X7_chunked_decimation", f"""WITH {_SIG}, tp AS (SELECT list_transform(range(-20, 21), lambda j: (CASE WHEN j = 0 THEN 1 ELSE sin(pi() * 0.45 * j) / (pi() * 0.45 * j) END) * (0.5 + 0.5 * cos(pi() * j / 20))) AS h)
+  SELECT signal, k AS place, round(list_sum(list_transform(range(1, 42), lambda j: h[j] * v[(CASE WHEN 2 * k + j < 21 THEN 21 - j - 2 * k WHEN 2 * k + j - 21 >= len(v) THEN 2 * (len(v) - 1) - (2 * k + j - 21) ELSE 2 * k + j - 21 END) + 1])) / list_sum(h), 6) AS value
+  FROM sig, tp, range(128) g(k) WHERE 2 * k < len(v)""")
+def x7_chunked(t):
+    return samples(chunked.decimate(signals(t), ["signal"], 2, block=64), "place")
+
+
 @query("X1_finite_runs", """WITH s AS (SELECT vec_id, i - 1 AS i, abs(embedding[i]::DOUBLE) <= 0.2 AS ok FROM embeddings, range(1, 65) g(i)), g AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS grp FROM s WHERE ok)
   SELECT vec_id, min(i) AS first, max(i) AS last FROM g GROUP BY vec_id, grp""")
 def x1(t):
