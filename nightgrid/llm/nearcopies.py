@@ -3,9 +3,11 @@
 Copies that are nearly identical lie within three bits of each other: the covering tables find
 them and a spanning forest of each bucket joins them, so a large group costs no more than its size.
 Pairs down to the similarity itself lie up to a third of the bits apart, for which a covering family would need
-2^(r+1) - 1 tables. They meet under shingles instead: in the order of their hashes, two sets of
-similarity t share one of the first n - ceil(t n) + 1 of each. Every such pair of parts not yet joined is
-sifted by length and by the distance of 128-bit fingerprints. Whatever the source, only pairs whose exact similarity reaches t are links.
+2^(r+1) - 1 tables. They meet under shingles instead. Rounds under the few smallest hashes of each set come first: nearly all
+similar pairs share one of four, and of each meeting only a spanning forest of fingerprints that lie close is verified.
+So the members of a group are joined by about as many links as it has members. What is left is found for certain: in the order of their
+hashes, two sets of similarity t share one of the first n - ceil(t n) + 1 of each. Every such pair of parts not yet
+joined is sifted by length and by the distance of 128-bit fingerprints. Whatever the source, only pairs whose exact similarity reaches t are links.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from nightgrid.llm import simhash
 from nightgrid.llm.common import binary_column, only, slices
-from nightgrid.session import write_once
+from nightgrid.session import discard, write_once
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction of whole numbers so that equality is exact.
@@ -26,6 +28,12 @@ SIMILARITY = (4, 5)
 #: Bits of 128 by which fingerprints of a link may differ. At similarity 0.8 a bit differs with probability 0.15
 #: (0.19 for sets of five): 44 is over four standard deviations above the mean of either, 64 the mean of strangers.
 SIFT = 44
+#: Rounds before the complete one: leading hashes of each set, and bits by which fingerprints that are tried may differ.
+ROUNDS = ((4, 22),)
+#: A table of row keys is sent to all tasks up to this many rows (some 40 MB); a larger one is joined by shuffle.
+SENT_ROWS = 500_000
+#: Pairs that a task holds before it hands them on.
+HELD_PAIRS = 50_000
 
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE, seed: int = 42):
@@ -92,10 +100,15 @@ def _marks(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, _key string, digest binary, n long, f long, g long, lead array<long>")
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast only if it was counted to be small."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of ids whose shingle sets are similar enough; texts of other documents do not move."""
     pairs = write_once(pairs, "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = write_once(nodes.select("id", "_key").join(ends, "id", "left_semi"), "near-ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,19 +116,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame
             sets = [shingle_hashes(t).view("i8") for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    texts = keyed.select("_key", "text").join(wanted, "_key").dropDuplicates(["id"]).select("id", "text")
-    sets = write_once(texts.mapInArrow(run, "id long, hashes array<long>"), "near-sets")
+    texts = keyed.select("_key", "text").join(_sent(wanted), "_key").select("id", "text")
+    # Repeated rows give the same set again; one of each is joined.
+    sets = texts.mapInArrow(run, "id long, hashes array<long>").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    sets = write_once(sets, "near-sets")
     up, down = SIMILARITY
     a, b = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     # both / (x + y - both) >= up / down
-    return write_once(pairs.join(a, "a").join(b, "b").where((up + down) * both >= up * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+    links = write_once(pairs.join(a, "a").join(b, "b").where((up + down) * both >= up * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+    discard(pairs, wanted, sets)
+    return links
 
 
-def _apart(nodes: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of ids of different parts that share a leading hash and may be similar enough; none that is gets lost but by SIFT."""
+def _apart(nodes: DataFrame, block: int, leads: int | None = None, sift: int = SIFT) -> DataFrame:
+    """Pairs (a, b) of ids of different parts that share a leading hash and may be similar enough.
+
+    With ``leads`` only that many hashes count, and of each meeting a spanning forest of its parts comes out; without, every
+    pair, so none that is similar gets lost but by SIFT.
+    """
     up, down = SIMILARITY
-    keyed = nodes.select(F.explode("lead").alias("key"), "id", "part", "n", "f", "g")
+    lead = F.col("lead") if leads is None else F.slice("lead", 1, leads)
+    keyed = nodes.select(F.explode(lead).alias("key"), "id", "part", "n", "f", "g")
     shared = write_once(keyed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high")
                         .select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "near-keys")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -127,19 +149,53 @@ def _apart(nodes: DataFrame, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in slices(batches, 64):
-            out = set()
-            for low, high, members in zip(*[batch.column(c).to_pylist() for c in ("low", "high")], batch.column("members")):
-                ids, part, n, f, g, side = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "n", "f", "g", "mine"))
-                f, g = f.view(np.uint64), g.view(np.uint64)
+        def pairs_of(low, high, members) -> Iterator[tuple[int, int]]:
+            ids, part, n, f, g, side = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "n", "f", "g", "mine"))
+            f, g = f.view(np.uint64), g.view(np.uint64)
+
+            def close(i, js):
+                js = js[(part[js] != part[i]) & (down * np.minimum(n[js], n[i]) >= up * np.maximum(n[js], n[i]))]
+                return js[np.bitwise_count(f[js] ^ f[i]).astype(np.int16) + np.bitwise_count(g[js] ^ g[i]) <= sift]
+
+            if leads is None:
                 left = np.arange(len(ids)) if low == high else np.flatnonzero(side == low)
                 right = left if low == high else np.flatnonzero(side == high)
                 for at, i in enumerate(left):
-                    js = right[at + 1:] if low == high else right
-                    js = js[(part[js] != part[i]) & (down * np.minimum(n[js], n[i]) >= up * np.maximum(n[js], n[i]))]
-                    js = js[np.bitwise_count(f[js] ^ f[i]).astype(np.int16) + np.bitwise_count(g[js] ^ g[i]) <= SIFT]
-                    out.update((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in js)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+                    for j in close(i, right[at + 1:] if low == high else right):
+                        yield i, j
+                return
+            # Breadth first over parts: whichever member is reached brings its whole part along.
+            unseen = np.arange(len(ids))
+            while len(unseen):
+                first = part[unseen] == part[unseen[0]]
+                queue, unseen = unseen[first].tolist(), unseen[~first]
+                for i in queue:  # grows while it is read
+                    if not len(unseen):
+                        break
+                    found = close(i, unseen)
+                    if len(found):
+                        reached, at = np.unique(part[found], return_index=True)
+                        for j in found[at]:
+                            yield i, j
+                        come = np.isin(part[unseen], reached)
+                        queue += unseen[come].tolist()
+                        unseen = unseen[~come]
+
+        def handed(out: set) -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            out.clear()
+            return found
+
+        out: set = set()
+        for batch in slices(batches, 64):
+            ids = batch.column("members")
+            for low, high, members in zip(*[batch.column(c).to_pylist() for c in ("low", "high")], ids):
+                named = members.values.field("id").to_numpy(zero_copy_only=False)
+                for i, j in pairs_of(low, high, members):
+                    out.add((int(min(named[i], named[j])), int(max(named[i], named[j]))))
+                    if len(out) >= HELD_PAIRS:
+                        yield handed(out)
+        yield handed(out)
 
     return cells.select("low", "high", "members").mapInArrow(run, "a long, b long").distinct()
 
@@ -149,7 +205,7 @@ def keep_one(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
 
     Documents are linked where their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The row
     that stays has the smallest doc_id (rows without one come last; then by a hash of the text); of rows equal in
-    doc_id and text one stays. Texts without words count as equal. Column _key is reserved.
+    doc_id and text one stays. Texts without words count as equal. Columns _key and twice are reserved.
     """
     keyed = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string")))
     marked = write_once(_marks(keyed), "near-marks")
@@ -168,11 +224,18 @@ def keep_one(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
         joined = simhash.components(links)
         return joined.select(F.col("node").alias("id"), F.col("component").alias("part"))
 
-    settled = nodes.join(parts(close), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    links = close.unionByName(_verified(_apart(settled, block), nodes, keyed))
-    done = nodes.select("id", "digest").join(parts(links), "id", "left").select("digest", F.coalesce("part", "id").alias("part"))
+    for leads, sift in (*ROUNDS, (None, SIFT)):
+        settled = nodes.join(parts(close), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        close = close.unionByName(_verified(_apart(settled, block, leads, sift), nodes, keyed))
+    done = nodes.select("id", "digest").join(parts(close), "id", "left").select("digest", F.coalesce("part", "id").alias("part"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
     # Each digest's best row first, so that a large group of equal texts is not one task.
     best = marked.groupBy("digest").agg(first)
-    stay = best.join(done, "digest").groupBy("part").agg(F.min("first").alias("first")).select("first._key")
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    stay = write_once(best.join(done, "digest").groupBy("part").agg(F.min("first").alias("first")).select("first._key"), "near-kept")
+    rows = marked.groupBy("_key").agg(F.count("*").alias("rows")).join(stay.withColumn("stays", F.lit(True)), "_key", "left")
+    # Most rows stay, once: only the keys of others are looked up, so texts move only where these are too many to send.
+    odd = write_once(rows.where("stays is null or rows > 1").select("_key", F.col("stays").isNotNull().alias("twice")), "near-odd")
+    met = keyed.join(_sent(odd), "_key", "left")
+    discard(marked, nodes, heads, stay)
+    again = met.where("twice").dropDuplicates(["_key"])
+    return met.where("twice is null").unionByName(again).drop("_key", "twice")

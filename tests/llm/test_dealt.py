@@ -13,6 +13,7 @@ import xxhash
 
 import __spark_entry__ as driver
 import corpus_pipeline
+from test_nearcopies import kept_by_brute_force
 from nightgrid.llm import chat, common, counts, decontaminate, languages, packing, pages, sharding, simhash, tokenfiles, topk
 
 ODD = [None, "", " \t\n", "word", "Word word WORD", "12 34 !?", "é É ñandú «x»", "日本語 text", "a" * 5000, "one two three " * 3000, "<|endoftext|> x", "it's 'tis don't"]
@@ -457,8 +458,9 @@ def test_pipeline(spark, data_dir, given):
     documents = [(r.doc_id, r.text) for r in given.collect()]
     model = languages.learn(given)
     known = [(d, t) for d, t in documents if model.predict(t)[2]]
-    component = roots([fingerprint(t) for _, t in known], [d for d, _ in known])
-    single = [(d, t) for (d, t), c in zip(known, component) if d == c]
+    # The stage takes five-word shingles and a similarity of 0.8, unlike the fingerprints of op5.
+    kept = set(kept_by_brute_force(sorted(known)))
+    single = [(d, t) for d, t in known if d in kept]
     items = [decontaminate.plain_text(r.text) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
     for name, want in (("language_id", known), ("simhash_near_dedup", single)):
         given = stages[name](spark, given, data_dir)

@@ -53,3 +53,24 @@ def test_pairs_down_to_the_similarity(spark):
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == want
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_awkward_rows(spark):
+    """Null ids, repeated rows and columns with the names of keys; groups without an id keep one row."""
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, long, "p", 1), (1, long, "p", 1), (None, long, "q", 2), (2, long + " end", "r", 3), (None, "only here with no id at all", "s", 4), (None, "only here with no id at all", "s", 4),
+            (None, None, "t", 5), (3, "", "u", 6), (4, "nothing like the others in any way", None, None), (5, "nothing like the others in any way.", "v", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string, n int").repartition(4)
+    kept = nearcopies.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert got == sorted([rows[0], rows[4], rows[7], rows[8], rows[9]], key=repr)
+
+
+def test_large_groups_give_few_links(spark):
+    """A group of near-copies is joined by about as many links as it has members, in cut blocks too."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, edited(base, rng.randrange(3), rng)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs, block=64).collect()) == kept_by_brute_force(rows)
