@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nightgrid import model as m
 from nightgrid.functions.columns import epoch_offset_ns, finite, release_split
 from nightgrid.operators.scan import data_bucket, dense_index, number_bucket, running
+from nightgrid.session import sent
 
 _STEP = 4096
 
@@ -137,6 +138,25 @@ def window_epochs(windows: DataFrame) -> DataFrame:
         F.col("start_epoch"), F.col("start_epoch") + F.col("n_epochs") - 1)))
 
 
+def epochs_in_windows(epochs: DataFrame, records: DataFrame, context: int, stride: int | None = None, drop_last: bool = False,
+                      key: str = "recording_id") -> DataFrame:
+    """Epoch rows with every window they are in: the rows of ``window_epochs`` joined to ``epochs``, which stay where they are.
+
+    Which windows hold an epoch follows from its number and its record's length, so only one narrow row a
+    record meets the epochs; as long as these rows are few enough to be sent, no epoch is shuffled.
+    """
+    step = check_window_arguments(context, stride)
+    lengths = records.select(key, F.col("n_epochs").cast("bigint").alias("_n"))
+    at, last_window = F.col("epoch_in_record"), window_count(F.col("_n"), context, step, drop_last) - 1
+    first = F.greatest(F.lit(0), F.ceil((at - context + 1) / step))
+    last = F.least(F.floor(at / step), last_window)
+    rest = [c for c in epochs.columns if c not in (key, "epoch_in_record")]
+    rows = epochs.join(sent(lengths), key).where((at >= 0) & (at < F.col("_n")) & (first <= last))
+    rows = rows.withColumn("window_no", F.explode(F.sequence(first, last))).withColumn("start_epoch", F.col("window_no") * step)
+    return rows.withColumn("n_epochs", F.least(F.lit(context).cast("bigint"), F.col("_n") - F.col("start_epoch"))).select(
+        key, "epoch_in_record", "window_no", "start_epoch", "n_epochs", *rest)
+
+
 def window_ends(records: DataFrame, order: str, context: int, stride: int | None = None,
                 drop_last: bool = False, epochs: str = "n_epochs") -> DataFrame:
     """Global index range [window_start, window_end) of each record's windows."""

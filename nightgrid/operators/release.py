@@ -164,13 +164,30 @@ def damaged_shards(spark: SparkSession, root: str, name: str, digest_columns: Se
     return keys.join(now, "shard_id", "left").where(~F.col("digest").eqNullSafe(F.col("_now"))).select("shard_id", "run_id")
 
 
+#: Visible shards up to which a reader may hold their names.
+PINNED_SHARDS = 10_000
+
+
 def read_published(spark: SparkSession, root: str, name: str, verify: bool = False,
-                   digest_columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows of committed shards, each from one run; ``verify`` reads them twice and leaves out damaged shards."""
+                   digest_columns: Sequence[str] | None = None, pinned: bool = False) -> DataFrame:
+    """Rows of committed shards, each from one run; ``verify`` reads them twice and leaves out damaged shards.
+
+    ``pinned`` looks the visible shards up now and reads their folders by name, whatever is committed later; each read
+    then is a scan of the folders it needs, without a join. Above ``PINNED_SHARDS`` shards it joins as without.
+    """
     keys = visible(spark, root, name).select("run_id", "shard_id")
     if verify:
         keys = keys.join(damaged_shards(spark, root, name, digest_columns), ["run_id", "shard_id"], "left_anti")
-    return _stored(spark, root, name).join(keys, ["run_id", "shard_id"], "left_semi").drop("run_id")
+    found = keys.limit(PINNED_SHARDS + 1).collect() if pinned else []
+    if not pinned or len(found) > PINNED_SHARDS:
+        return _stored(spark, root, name).join(keys, ["run_id", "shard_id"], "left_semi").drop("run_id")
+    by_run: dict[str, list[str]] = {}
+    for run_id, shard_id in found:
+        by_run.setdefault(run_id, []).append(shard_id)
+    chosen = F.lit(False)
+    for run_id, shards in by_run.items():
+        chosen = chosen | ((F.col("run_id") == run_id) & F.col("shard_id").isin(shards))
+    return _stored(spark, root, name).where(chosen).drop("run_id")
 
 
 def check_release(version: str, status: str, tasks: Sequence[str] = (), schema: str | None = None) -> None:

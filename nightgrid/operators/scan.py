@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from nightgrid.functions.columns import finite
 
@@ -24,15 +25,23 @@ def number_bucket(x: Column, width: int = 65_536) -> Column:
 def data_bucket(df: DataFrame, order: str, parts: int = 128, sample: int = 4096) -> Column:
     """Bucket of a row by boundaries taken from the column's own values, of any orderable type.
 
-    A hash picks about ``sample`` values (never more than four times as many), whose quantiles are the
-    boundaries; so buckets are even for dense numbers, sparse ids and text alike. Null comes first.
+    Numbers and times are cut at approximate percentiles, which one mergeable aggregation gives. For other types a hash picks
+    about ``sample`` values (never more than four times as many), whose quantiles are the boundaries. So buckets are even
+    for dense numbers, sparse ids and text alike. Null comes first.
     """
     values = df.select(order).where(F.col(order).isNotNull())
+    if isinstance(df.schema[order].dataType, (NumericType, DateType, TimestampType)):
+        cuts = values.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], sample)).first()[0]
+        return _place(order, cuts or [])
     total = values.count()
     if total > sample:
         values = values.where(F.xxhash64(order, F.lit("bucket")) < F.lit(int(sample / total * (1 << 64)) - (1 << 63)))
     seen = sorted({r[0] for r in values.limit(4 * sample).collect()})
     cuts = [seen[len(seen) * i // parts] for i in range(1, parts)] if len(seen) > parts else seen[1:]
+    return _place(order, cuts)
+
+
+def _place(order: str, cuts: Sequence) -> Column:
     if not cuts:
         return F.lit(0)
     at_or_below = F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import nightgrid
 
@@ -21,6 +22,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A waveform row is 24-72 kB: small Arrow batches keep Python workers near 20 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Rows of very different size (long texts, lists of members) are bounded by bytes as well.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.session.timeZone": "UTC",
 }
 # Static settings, only for sessions built here. Recording a Python stack for every column
@@ -93,3 +96,12 @@ def discard(*written: DataFrame) -> None:
             if "/nightgrid/" in folder:
                 path = context._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a narrow table (a few numbers and a short key) up to which it is sent to every task: some 40 MB.
+SENT_ROWS = 500_000
+
+
+def sent(narrow: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A narrow table marked for broadcast if counting shows at most ``rows`` rows; a larger one is joined as Spark sees fit."""
+    return F.broadcast(narrow) if narrow.limit(rows + 1).count() <= rows else narrow

@@ -14,7 +14,7 @@ from nightgrid.sources.registry import BUILT_IN, Release
 
 def read_release(spark: SparkSession, root: str, version: str = m.RELEASE_VERSION,
                  status: str = "COMPLETE", tasks: Sequence[str] = (), verify: bool = False) -> Release:
-    """A release this package published; ``verify`` leaves out shards whose content no longer has its digest."""
+    """A release this package published, as it is committed now; ``verify`` leaves out shards whose content no longer has its digest."""
     release.check_release(version, status, tasks)
 
     def task_table(task: str) -> DataFrame:
@@ -24,21 +24,19 @@ def read_release(spark: SparkSession, root: str, version: str = m.RELEASE_VERSIO
 
     return Release(BUILT_IN, version, float(m.EPOCH_SECONDS), m.channel_dimension(spark),
                    release.read_published(spark, root, "records", verify),
-                   release.read_published(spark, root, "signal_epochs", verify), task_table)
+                   release.read_published(spark, root, "signal_epochs", verify, pinned=True), task_table)
 
 
 def read_windows(source: Release, context: int, stride: int | None = None, drop_last: bool = False,
                  split: str | None = None, seed: int = 42, ratios=(0.8, 0.1, 0.1),
                  grades: Sequence[int] | None = None, tasks: Sequence[str] = (),
                  transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Epoch rows of every window: filters first, then windows, then one join to the signals.
+    """Epoch rows of every window: filters first, then each stored epoch finds its windows; waveforms do not move.
 
     ``transform`` is the caller's own step over the finished rows, part of the same plan.
     """
     chosen = grid.select_records(source.records, source.name, split, seed, ratios, grades)
-    windows = grid.context_windows(chosen, context, stride, drop_last)
-    members = grid.window_epochs(windows)
-    rows = members.join(source.signals, ["recording_id", "epoch_in_record"])
+    rows = grid.epochs_in_windows(source.signals, chosen, context, stride, drop_last)
     for task in tasks:
         t = source.tasks(task).select("recording_id", "epoch_in_record", F.col("qc_code").alias(f"{task}_qc_code"),
                                       F.col("valid").alias(f"{task}_valid"))

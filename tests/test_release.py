@@ -1,10 +1,12 @@
 """Publication, resume, committed reads, reader registration, audits on mutated rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from nightgrid import model as m
-from nightgrid.operators import audits, release
+from nightgrid.operators import audits, grid, release
 from nightgrid.sources import published, registry
 from nightgrid.streaming.incremental import publish_arrivals
 
@@ -35,6 +37,15 @@ def test_publish_resume_and_windows(spark, tmp_path):
     rows = published.read_windows(source, 2)
     assert rows.select("recording_id", "window_no").distinct().count() == 4
     assert published.read_windows(source, 1, grades=[5]).count() == 5
+    # Waveforms stay where they are stored: nothing above their scan is shuffled.
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(source.signals) and re.search(r"\w*(?=Join)", plan(rows))[0] == "BroadcastHash"
+    for context, stride, drop_last in ((2, 1, False), (3, 2, True), (1, 3, False), (2, 5, False), (9, 4, True)):
+        chosen = source.records
+        want = grid.window_epochs(grid.context_windows(chosen, context, stride, drop_last)).join(source.signals, ["recording_id", "epoch_in_record"])
+        got = grid.epochs_in_windows(source.signals, chosen, context, stride, drop_last)
+        names = ["recording_id", "window_no", "start_epoch", "n_epochs", "epoch_in_record", "channel"]
+        assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
     tail = rows.where("recording_id = 'a1' AND window_no = 1").collect()
     assert [(r["epoch_in_record"], r["start_sec"], r["epoch_start_offset_ns"]) for r in tail] == [(2, 60.0, 60 * 10**9)]
 
