@@ -157,6 +157,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker lives on; what its task held goes back
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

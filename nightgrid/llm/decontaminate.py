@@ -103,7 +103,8 @@ class PieceIndex:
                 length = len(self.items[n][1])
                 k = budget(length, self.piece)
                 begin = last + 1 - size - offset
-                a, b = max(0, begin - k), min(len(whole), begin + length + k)
+                # The spaces put around the text mark word ends for whole items; no edit may be spent on them.
+                a, b = max(k > 0, begin - k), min(len(whole) - (k > 0), begin + length + k)
                 spans = windows.setdefault(n, [])
                 if spans and a <= spans[-1][1] and spans[-1][0] <= b:
                     spans[-1] = [min(a, spans[-1][0]), max(b, spans[-1][1])]
@@ -122,7 +123,7 @@ class PieceIndex:
                         break
             if best:
                 distance, end = best
-                _, back = myers(item[::-1], whole[max(0, end - len(item) - k):end][::-1], anchored=True)
+                _, back = myers(item[::-1], whole[max(k > 0, end - len(item) - k):end][::-1], anchored=True)
                 found.append((item_id, end - back - 1, end - 1, distance))
         return sorted(found)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from nightgrid.llm import simhash
 from nightgrid.llm.common import binary_column, only, slices
-from nightgrid.session import discard, write_once
+from nightgrid.session import discard, sent, write_once
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction of whole numbers so that equality is exact.
@@ -30,8 +30,6 @@ SIMILARITY = (4, 5)
 SIFT = 44
 #: Rounds before the complete one: leading hashes of each set, and bits by which fingerprints that are tried may differ.
 ROUNDS = ((4, 22),)
-#: A table of row keys is sent to all tasks up to this many rows (some 40 MB); a larger one is joined by shuffle.
-SENT_ROWS = 500_000
 #: Pairs that a task holds before it hands them on.
 HELD_PAIRS = 50_000
 
@@ -100,11 +98,6 @@ def _marks(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, _key string, digest binary, n long, f long, g long, lead array<long>")
 
 
-def _sent(keys: DataFrame) -> DataFrame:
-    """A written table of keys, to be broadcast only if it was counted to be small."""
-    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
-
-
 def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of ids whose shingle sets are similar enough; texts of other documents do not move."""
     pairs = write_once(pairs, "near-pairs")
@@ -116,7 +109,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame
             sets = [shingle_hashes(t).view("i8") for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    texts = keyed.select("_key", "text").join(_sent(wanted), "_key").select("id", "text")
+    texts = keyed.select("_key", "text").join(sent(wanted), "_key").select("id", "text")
     # Repeated rows give the same set again; one of each is joined.
     sets = texts.mapInArrow(run, "id long, hashes array<long>").groupBy("id").agg(F.first("hashes").alias("hashes"))
     sets = write_once(sets, "near-sets")
@@ -235,7 +228,7 @@ def keep_one(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
     rows = marked.groupBy("_key").agg(F.count("*").alias("rows")).join(stay.withColumn("stays", F.lit(True)), "_key", "left")
     # Most rows stay, once: only the keys of others are looked up, so texts move only where these are too many to send.
     odd = write_once(rows.where("stays is null or rows > 1").select("_key", F.col("stays").isNotNull().alias("twice")), "near-odd")
-    met = keyed.join(_sent(odd), "_key", "left")
+    met = keyed.join(sent(odd), "_key", "left")
     discard(marked, nodes, heads, stay)
     again = met.where("twice").dropDuplicates(["_key"])
     return met.where("twice is null").unionByName(again).drop("_key", "twice")
