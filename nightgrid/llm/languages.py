@@ -173,19 +173,20 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -
     """Fit on a bounded sample of (doc_id, text, lang) rows outside fold 2 with a language and a text.
 
     At most ``rows`` rows, chosen by a hash of id and text whose threshold follows from their
-    count, and at most ``chars`` characters of each, from a place that the hash picks.
+    count, then in the order of that hash, and at most ``chars`` characters of each, from a place that the hash picks. So any
+    order of the rows gives the same model, and rows that share an id are chosen one by one.
     """
     known = docs.where((F.coalesce(fold(F.col("doc_id")), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     count = known.count()
-    mark = F.xxhash64("doc_id", F.lit("language sample"))
+    mark = F.xxhash64("doc_id", "text", F.lit("language sample"))
     if count > rows:
         # As many rows fall below it as are wanted, give or take; the limit is the hard bound.
         known = known.where(mark < F.lit(int(0.95 * rows / count * (1 << 64)) - (1 << 63)))
     length = F.length("text")
-    start = F.when(length > chars, F.pmod(F.xxhash64("doc_id", F.lit("place")), (length - chars).cast("long"))).otherwise(0).cast("int") + 1
+    start = F.when(length > chars, F.pmod(F.xxhash64("doc_id", "text", F.lit("place")), (length - chars).cast("long"))).otherwise(0).cast("int") + 1
     # Half of the windows are short, so that short texts are judged as surely as long ones.
     size = F.when(mark % 2 == 0, F.lit(chars)).otherwise(F.lit(chars // 8))
-    sample = known.select("doc_id", F.col("text").substr(start, size).alias("text"), "lang").limit(rows).collect()
+    sample = known.select(mark.alias("mark"), "doc_id", F.col("text").substr(start, size).alias("text"), "lang").orderBy("mark", "lang").limit(rows).collect()
     sample.sort(key=lambda r: (str(r.doc_id), r.text))
     return LanguageModel.fit([r.text for r in sample], [r.lang for r in sample])
 

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -438,6 +439,21 @@ def test_counts_match_the_library(spark, docs, given):
         assert mine.count(text) == len(library.encode(text).ids)
 
 
+def test_labelled_rows_that_share_an_id(spark, given):
+    """Rows under one id are sampled one by one, and their order does not matter."""
+    rows = [(7, f"{t} {i}", lang) for i, (t, lang) in enumerate([(r.text, r.lang) for r in given.where("text is not null and lang is not null").limit(120).collect()] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.withColumn("doc_id", F.lit(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)).cast("long"))
+    samples, fit = [], languages.LanguageModel.fit
+    try:
+        languages.LanguageModel.fit = classmethod(lambda cls, texts, langs: samples.append((texts, langs)))
+        for shuffled in (docs, docs.repartition(5).orderBy("text")):
+            languages.learn(shuffled, rows=60)
+    finally:
+        languages.LanguageModel.fit = fit
+    assert samples[0] == samples[1] and 30 <= len(samples[0][0]) <= 60 and len(set(samples[0][1])) > 1
+
+
 # -- queries with SQL, and the pipeline
 
 
