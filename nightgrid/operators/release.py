@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from nightgrid import model as m
 from nightgrid.functions.columns import finite
 from nightgrid.functions.headers import path_is_safe, path_key
+from nightgrid.operators import digests
 from nightgrid.operators.audits import duplicates, problems
 from nightgrid.session import table_options
 
@@ -48,12 +49,6 @@ def index_digest(epochs: DataFrame, shard: str = "shard_id", block: int = 1024)
     return fold(groups, [shard], ["_g"]).withColumnRenamed("_h", "index_digest")
 
 
-def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of each file's bytes, with its size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def write_table(df: DataFrame, path: str, shard: str = "shard_id", order: Sequence[str] = ()) -> None:
     """Long table partitioned by shard, record-contiguous inside each file.
 
@@ -190,6 +185,67 @@ def read_published(spark: SparkSession, root: str, name: str, verify: bool = Fal
     return _stored(spark, root, name).where(chosen).drop("run_id")
 
 
+def visible_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path, bytes, file) of the files of visible shards; ``file`` is the path relative to the artifact."""
+    folder = lambda key: F.concat(F.lit(f"{key}="), key)
+    shown = visible(spark, root, name).select(folder("run_id").alias("_run"), folder("shard_id").alias("_shard"))
+    listed = digests.stored_files(spark, f"{root}/{name}", "*.parquet")
+    listed = listed.withColumn("file", F.element_at(F.split("path", f"/{name}/(?=run_id=)"), -1))
+    part = lambda i: F.element_at(F.split("file", "/"), i)
+    return listed.withColumns({"_run": part(1), "_shard": part(2)}).join(shown, ["_run", "_shard"], "left_semi").drop("_run", "_shard")
+
+
+def seal(spark: SparkSession, root: str, name: str) -> None:
+    """Store the block trees of the files of visible shards that have none yet, below ``root/trees``.
+
+    Paths are kept relative to the artifact, so a release may be moved. A repeated run adds what is new.
+    """
+    listed, done = visible_files(spark, root, name), trees(spark, root, name)
+    if done is not None:
+        listed = listed.join(done.where("level = 0 AND node = 0").select(F.col("path").alias("file")), "file", "left_anti")
+    nodes = digests.block_tree(listed.select("path", "bytes"))
+    nodes = nodes.withColumn("path", F.element_at(F.split("path", f"/{name}/(?=run_id=)"), -1))
+    nodes.write.mode("append").options(**table_options(nodes)).parquet(f"{root}/trees/{name}")
+
+
+def trees(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """Stored nodes of an artifact's files, paths relative to it; None before the first seal."""
+    try:
+        return spark.read.parquet(f"{root}/trees/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_verified(spark: SparkSession, root: str, name: str, within: dict[str, tuple], trusted: DataFrame | None = None) -> DataFrame:
+    """Committed rows with each named column in its closed interval, without those of files that are not as they were sealed.
+
+    Row groups are found by their stored bounds. They and the footers are hashed, by whole blocks, and followed up the
+    stored tree to its root, or to ``trusted`` (path relative to the artifact, digest) kept elsewhere; nothing is decoded before
+    that, and nothing else of the release is read. Files without a tree count as damaged. The check runs when this is
+    called, and the files it found intact are read by name: at most ``PINNED_SHARDS``, otherwise ask for less at a time.
+    """
+    nodes = trees(spark, root, name)
+    if nodes is None:
+        raise ValueError(f"{name} has not been sealed")
+    files = visible_files(spark, root, name)
+    whole = lambda df: df.withColumnRenamed("path", "file").join(files.select("file", "path"), "file").drop("file")
+    checked = digests.check_ranges(whole(nodes), digests.group_ranges(files, within), whole(trusted) if trusted is not None else None)
+    fine = checked.groupBy("path").agg(F.bool_and("intact").alias("_fine")).where("_fine")
+    intact = [r.path for r in fine.limit(PINNED_SHARDS + 1).collect()]
+    if len(intact) > PINNED_SHARDS:
+        raise ValueError("too many files for one verified read")
+    rows = read_published(spark, root, name)
+    if not intact:
+        return rows.limit(0)
+    # The files that were checked are the files that are read.
+    rows = spark.read.schema(rows.schema).option("basePath", f"{root}/{name}").parquet(*intact).select(rows.columns)
+    for column, (low, high) in within.items():
+        rows = rows.where(F.col(column).between(low, high))
+    return rows
+
+
 def check_release(version: str, status: str, tasks: Sequence[str] = (), schema: str | None = None) -> None:
     """Caller-level conditions of a readable release."""
     if version != m.RELEASE_VERSION or status not in m.RELEASE_STATUSES:

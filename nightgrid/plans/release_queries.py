@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from nightgrid import model as m
 from nightgrid.functions.headers import path_is_safe, path_key
-from nightgrid.operators import audits, batches, grid, inventory, labels, release, rules
+from nightgrid.operators import audits, batches, digests, grid, inventory, labels, release, rules
 from nightgrid.plans import label_queries as lq
 from nightgrid.plans import signal_queries as sq
 from nightgrid.plans.registry import Tables, query
-from nightgrid.session import scratch_path
+from nightgrid.session import scratch_path, write_once
 from nightgrid.sources import published, registry
 
 CTE, FULL = sq.CTE, sq.FULL
@@ -321,16 +321,50 @@ def f14(t):
     return release.index_digest(rows, block=3)
 
 
-@query("F14_file_checksums", """SELECT s_nationkey, octet_length(encode(string_agg(line, '' ORDER BY s_suppkey)))::BIGINT AS bytes, sha256(string_agg(line, '' ORDER BY s_suppkey)) AS sha256
-  FROM (SELECT *, s_suppkey || '|' || s_name || chr(10) AS line FROM supplier) GROUP BY 1""")
-def f14b(t):
-    """One text file a nation, its lines in key order, hashed as files."""
+_LINES = """f AS (SELECT s_nationkey, string_agg(line, '' ORDER BY s_suppkey) AS body FROM (SELECT *, s_suppkey || '|' || s_name || chr(10) AS line FROM supplier) GROUP BY 1)"""
+
+
+def nation_files(t: Tables) -> DataFrame:
+    """One text file a nation, its lines in key order: (path, bytes)."""
     path = scratch_path(t.spark, "files")
     lines = t.supplier.select("s_nationkey", "s_suppkey", F.concat_ws("|", "s_suppkey", "s_name").alias("value"))
     (lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey")
      .write.partitionBy("s_nationkey").text(path))
-    found = release.file_digests(t.spark, path, "*.txt")
-    return found.select(F.regexp_extract("path", r"s_nationkey=(\d+)/", 1).cast("int").alias("s_nationkey"), "bytes", "sha256")
+    return digests.stored_files(t.spark, path, "*.txt")
+
+
+def nation_key():
+    return F.regexp_extract("path", r"s_nationkey=(\d+)/", 1).cast("int").alias("s_nationkey")
+
+
+@query("F14_file_checksums", f"WITH {_LINES} SELECT s_nationkey, octet_length(encode(body))::BIGINT AS bytes, sha256(body) AS sha256 FROM f")
+def f14b(t):
+    """Files hashed as streams."""
+    return digests.file_digests(nation_files(t)).select(nation_key(), "bytes", "sha256")
+
+
+_TREE = f"""WITH {_LINES}, n AS (SELECT *, length(body) AS bytes, ceil(length(body) / 16)::BIGINT AS blocks FROM f),
+  l0 AS (SELECT s_nationkey, blocks, 0 AS level, i AS node, sha256('leaf:' || substr(body, i * 16 + 1, 16)) AS digest FROM n, range(blocks) g(i)),
+  """ + ", ".join(f"""l{k} AS (SELECT s_nationkey, blocks, {k} AS level, node // 8 AS node, sha256('node:' || string_agg(digest, ',' ORDER BY node)) AS digest
+  FROM l{k - 1} WHERE blocks > {8 ** (k - 1)} GROUP BY 1, 2, 4)""" for k in range(1, 7))
+
+
+@query("F14_block_tree", _TREE + " SELECT s_nationkey, blocks, level::INT AS level, node, digest FROM (" + " UNION ALL ".join(f"FROM l{k}" for k in range(7)) + ")")
+def f14c(t):
+    """Trees of eight nodes to a parent over blocks of 16 bytes, every node of every file."""
+    return digests.block_tree(nation_files(t), block=16, fan=8).select(nation_key(), "blocks", "level", "node", "digest")
+
+
+@query("F14_checked_ranges", f"""WITH {_LINES}, w AS (SELECT s_suppkey, s_nationkey, (s_suppkey * 37 % 2000)::BIGINT AS "at", (s_suppkey % 50)::BIGINT AS size FROM supplier)
+  SELECT s_suppkey, "at", size, size > 0 AND "at" + size <= length(body) AND s_nationkey % 5 <> 2 AS intact FROM w JOIN f USING (s_nationkey)""")
+def f14d(t):
+    """One range a supplier against trusted roots, of which every fifth nation's is another file's."""
+    files = nation_files(t)
+    nodes = write_once(digests.block_tree(files, block=16, fan=8), "nation-trees")
+    trusted = digests.roots(nodes).withColumn("digest", F.when(nation_key() % 5 == 2, F.lit("other")).otherwise(F.col("digest")))
+    asked = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_suppkey") * 37 % 2000).alias("at"), (F.col("s_suppkey") % 50).alias("size"))
+    wanted = asked.join(files.select(nation_key(), "path"), "s_nationkey")
+    return digests.check_ranges(nodes, wanted, trusted, block=16, fan=8).select("s_suppkey", "at", "size", "intact")
 
 
 @query("J10_signal_task_binding", lq.CTE + """, s AS (SELECT recording_id, epoch_in_record, epoch_in_record * 30000000000 + (recording_id % 20 = 3)::INT AS ns FROM slot),

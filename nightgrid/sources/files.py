@@ -140,3 +140,16 @@ def write_binary(rows: DataFrame, folder: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return rows.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def store(path: str):
+    """(file system, path in it); any URI that Arrow knows, or a plain local path. For use in tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def open_file(path: str):
+    """A file open for reading at any place."""
+    system, inner = store(path)
+    return system.open_input_file(inner)
