@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nightgrid import model as m
 from nightgrid.functions import columns as c
 from nightgrid.functions import dsp
-from nightgrid.operators import calibrate, chunked, kernels, ranges, raw, rules, scan, vectors
+from nightgrid.operators import calibrate, chunked, digests, kernels, ranges, raw, rules, scan, vectors
 from nightgrid.plans import preprocess
 from nightgrid.plans import signal_queries as sq
 from nightgrid.plans.registry import Tables, query
@@ -514,6 +514,49 @@ def s3b(t):
     return rows.select(F.regexp_extract("path", r"(\d+)\.edf$", 1).cast("bigint").alias("vec_id"), "sample_idx", "code", "error")
 
 
+def edf_cohort(t: Tables) -> str:
+    """Folder of EDF files that hold up to 100 vectors each, in order of vec_id: one record a vector, two signals of 32 samples."""
+    folder = scratch_path(t.spark, "edf")
+    rows = t.embeddings.selectExpr("vec_id", "CAST(floor(vec_id / 100) AS BIGINT) AS file_no", f"unhex({_HEX}) AS body")
+    per = rows.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("vec_id", "body"))).alias("all"))
+    two = lambda a, b, width: f"rpad('{a}', {width}, ' '), rpad('{b}', {width}, ' ')"
+    head = ("concat(rpad('0', 8, ' '), rpad('X', 80, ' '), rpad('R', 80, ' '), '01.02.03', '22.00.00', rpad('768', 8, ' '), rpad('', 44, ' '), rpad(CAST(size(all) AS STRING), 8, ' '), rpad('2', 8, ' '), rpad('2', 4, ' '), "
+            + ", ".join([two("F3-M2", "SpO2", 16), two("", "", 80), two("uV", "%", 8), two("-100", "0", 8), two("100", "120", 8), two("-32768", "-32768", 8), two("32767", "32767", 8), two("", "", 80), two("32", "32", 8), two("", "", 32)]) + ")")
+    content = f"concat(encode({head}, 'ISO-8859-1'), aggregate(all, CAST('' AS BINARY), (a, r) -> concat(a, r.body)))"
+    files.write_binary(per.selectExpr("concat(file_no, '.edf') AS path", f"{content} AS content"), folder)
+    return folder
+
+
+def file_no():
+    return F.regexp_extract("path", r"(\d+)[.]edf$", 1).cast("bigint").alias("file_no")
+
+
+_COHORT = "WITH c AS (SELECT vec_id // 100 AS file_no, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1 AS record, embedding FROM embeddings) "
+
+
+@query("S2_edf_listed_headers", _COHORT + """SELECT file_no, label AS raw_channel, unit, 16.0::DOUBLE AS fs_hz, 32 * count(*)::BIGINT AS sample_count, 2.0::DOUBLE * count(*) AS duration_seconds
+  FROM c, (VALUES ('F3-M2', 'uV'), ('SpO2', '%')) v(label, unit) GROUP BY file_no, label, unit""")
+def s2c(t):
+    """Headers of files that Spark lists."""
+    listed = digests.stored_files(t.spark, edf_cohort(t), "*.edf")
+    return edf.scan_headers(listed).select(file_no(), "raw_channel", "unit", "fs_hz", "sample_count", "duration_seconds")
+
+
+@query("S3_edf_listed_samples", _COHORT + "SELECT file_no, record * 32 + i AS sample_idx, round_even(embedding[i + 1]::DOUBLE * 1000, 0)::INT AS code FROM c, range(32) g(i) WHERE record BETWEEN 3 AND 90")
+def s3c(t):
+    """Records 3 to 90 of the first signal of files that Spark lists, in stretches of 4 KiB."""
+    listed = digests.stored_files(t.spark, edf_cohort(t), "*.edf")
+    return edf.scan_samples(listed, "f3-m2", 3, 91, step=4096).select(file_no(), "sample_idx", "code")
+
+
+@query("S3_edf_sample_range", _COHORT + "SELECT file_no, record * 32 + i AS sample_idx, round_even(embedding[i + 33]::DOUBLE * 1000, 0)::INT AS code FROM c, range(32) g(i) WHERE record * 32 + i BETWEEN 1000 AND 1999")
+def s3d(t):
+    """Samples 1000 to 1999 of the second signal; only the records that hold them are read."""
+    edf.register(t.spark)
+    source = t.spark.read.format("edf_samples").option("channel", "SPO2").option("fromSample", 1000).option("toSample", 1999)
+    return source.load(edf_cohort(t)).select(file_no(), "sample_idx", "code")
+
+
 @query("S12_file_discovery", """SELECT 'sub-' || s_nationkey || '/ses-' || s_suppkey % 2 AS session_key, count(*) AS suppliers FROM supplier GROUP BY 1""")
 def s12(t):
     """Files named by the table's keys, found again by their folder pattern."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightgrid.operators import raw
+from nightgrid.operators import digests
 from nightgrid.sources import edf, files
 
 
@@ -58,6 +59,32 @@ def test_edf_tails(spark, tmp_path, records, cut, error):
     assert [r["error"] for r in missing] == ["no_signal: none"]
 
 
+def test_edf_ranges_and_listed_scans(spark, tmp_path):
+    """Sample ranges give the rows that a filter gives; scans over a listing give the rows of the sources."""
+    for i, n in enumerate("abcd"):
+        write_edf(tmp_path / f"{n}.edf", ["F3-M2", "SpO2"], [4, 1], 10 + i, cut=300 if n == "d" else None)
+    edf.register(spark)
+    path = lambda n: str(tmp_path / f"{n}.edf")
+    rows = lambda df: sorted(map(str, df.withColumn("path", F.regexp_extract("path", "[^/]+$", 0)).collect()))
+    every = spark.read.format("edf_samples").option("channel", "f3-m2").load(str(tmp_path)).cache()
+    listed = digests.stored_files(spark, str(tmp_path), "*.edf")
+    for low, high in ((9, 22), (39, None), (5, 5), (7, 3), (0, 10_000)):
+        source = spark.read.format("edf_samples").option("channel", "f3-m2").option("bytesPerPartition", 25).option("fromSample", low)
+        got = (source if high is None else source.option("toSample", high)).load(str(tmp_path))
+        want = every.where(f"error IS NOT NULL OR sample_idx BETWEEN {low} AND {high or 1 << 40}")
+        assert rows(got) == rows(want) == rows(edf.scan_samples(listed, "f3-m2", step=33, within=(low, high))), (low, high)
+    # A condition on the listing decides which files are opened.
+    some = listed.where(F.col("path").endswith("/a.edf") | F.col("path").endswith("/d.edf"))
+    assert rows(edf.scan_samples(some, "f3-m2")) == rows(every.where(F.col("path").isin(path("a"), path("d"))))
+    heads = spark.read.format("edf_header").load(str(tmp_path))
+    assert rows(edf.scan_headers(listed)) == rows(heads) and heads.count() == 7
+    gone = spark.createDataFrame([(path("gone"), 900)], "path string, bytes bigint")
+    assert "gone.edf" in edf.scan_headers(gone).first().error and "gone.edf" in edf.scan_samples(gone, "x", step=100).collect()[0].error
+    none = digests.stored_files(spark, str(tmp_path), "*.none")
+    assert edf.scan_headers(none).count() == edf.scan_samples(none, "x").count() == 0
+    every.unpersist()
+
+
 def test_metadata_and_labels(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿BIDSFolder,SessionID,BDSPPatientID,RecordingDuration,StartDateTime,EndDateTime\nsub-b,2,p2,nan,2001,\nsub-a,ses-1,p1, 60 ,1999,\n", encoding="utf-8")
     df = files.read_metadata(spark, str(tmp_path / "m.csv"), limit=1)
