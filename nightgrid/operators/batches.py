@@ -171,6 +171,52 @@ def exact_once_batches(windows: DataFrame, batch_size: int, seed: int, epoch_pas
             .withColumn("slot", F.col("_rank") % batch_size).drop("_h", "_rank"))
 
 
+#: Rounds of a shuffle without sorting, and how often an index may leave [0, n) on the way.
+ROUNDS, WALKS = 4, 64
+
+
+def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Column:
+    """Where a keyed permutation of [0, n) sends ``index``, computed from the index alone.
+
+    Four Feistel rounds permute the square of side ceil(sqrt(n)), at most 2 sqrt(n) + 1 larger than n; what lands outside
+    [0, n) is sent on until it is inside, which keeps the map one-to-one. Where the square has more than ``WALKS`` places
+    outside, n is above 1,000 and 64 walks in a row fall outside with a probability below 10^-70; the query then
+    fails. ``inverse`` undoes it.
+    """
+    side = F.ceil(F.sqrt(n.cast("double")))
+    half = lambda i, x: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", key, i.cast("string"), x.cast("string")), 256), 1, 12), 16, 10).cast("bigint"), side)
+
+    def step(state: Column, i: Column) -> Column:
+        left, right = state["l"], state["r"]
+        pair = (F.pmod(right - half(i, left), side), left) if inverse else (right, F.pmod(left + half(i, right), side))
+        return F.struct(pair[0].alias("l"), pair[1].alias("r"))
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / side).alias("l"), F.pmod(x, side).alias("r"))
+        order = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if inverse else range(ROUNDS))])
+        return F.aggregate(order, start, step, lambda s: s["l"] * side + s["r"])
+
+    walks = F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), F.least(F.lit(WALKS).cast("bigint"), side * side - n)))
+    found = F.aggregate(walks, once(index.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(found < n, found).otherwise(F.raise_error(F.lit("no place found by the permutation")).cast("bigint"))
+
+
+def permuted_batches(indexed: DataFrame, batch_size: int, seed: int, epoch_pass: int, index: str = "grade_index",
+                     size: str = "grade_size", grade: str = "night_grade") -> DataFrame:
+    """One pass over windows that carry a dense index within their grade and the grade's size: batch_no and slot, without a sort.
+
+    The index is made once; a pass is an expression on each row. Which windows batch k holds follows from k too:
+    ``permuted(position, n, batch_key(...))`` for its positions, so a pass resumes at any batch.
+    """
+    place = permuted(F.col(index), F.col(size), batch_key(seed, epoch_pass, F.col(grade)), inverse=True)
+    return (indexed.withColumn("_place", place).withColumn("batch_no", F.floor(F.col("_place") / batch_size))
+            .withColumn("slot", F.col("_place") % batch_size).drop("_place"))
+
+
+def batch_key(seed: int, epoch_pass: int, grade: Column) -> Column:
+    return F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch_pass)), grade.cast("string"))
+
+
 def fixed_subset(windows: DataFrame, size: int, seed: int, split: str = "split",
                  order: str = "window_index") -> DataFrame:
     """Uniform sample without replacement per split, the same on every run.

@@ -123,6 +123,18 @@ def d1(t):
     return batches.exact_once_batches(windows(t), 32, 9, 1)
 
 
+@query("D1_permuted_batches", _WIN.replace("WITH win", "WITH RECURSIVE win") + """, k AS (SELECT *, row_number() OVER (PARTITION BY night_grade ORDER BY window_index) - 1 AS k, count(*) OVER (PARTITION BY night_grade) AS n FROM win),
+  p AS (SELECT window_index, night_grade, split, n, ceil(sqrt(n))::BIGINT AS a, k // ceil(sqrt(n))::BIGINT AS l, k % ceil(sqrt(n))::BIGINT AS r, 0 AS i FROM k
+   UNION ALL SELECT window_index, night_grade, split, n, a, (r + a - ('0x' || substr(sha256('9:1:' || night_grade || ':' || (3 - i % 4) || ':' || l), 1, 12))::BIGINT % a) % a, l, i + 1 FROM p WHERE i % 4 <> 0 OR i = 0 OR l * a + r >= n)
+  SELECT window_index, night_grade, split, (l * a + r) // 32 AS batch_no, (l * a + r) % 32 AS slot FROM p WHERE i > 0 AND i % 4 = 0 AND l * a + r < n""")
+def d1b(t):
+    """A pass as an expression on rows indexed once; no sort by a hash per pass."""
+    rows = windows(t)
+    sizes = rows.groupBy("night_grade").agg(F.count("*").alias("grade_size"))
+    indexed = batches.dense_index(rows, ["window_index"], batches.data_bucket(rows, "window_index"), "grade_index", ["night_grade"])
+    return batches.permuted_batches(indexed.join(sizes, "night_grade"), 32, 9, 1).drop("grade_index", "grade_size")
+
+
 @query("D4_fixed_subset", _WIN + """SELECT window_index, night_grade, split FROM win
   QUALIFY row_number() OVER (PARTITION BY split ORDER BY sha256('5:' || window_index), window_index) <= 100""")
 def d4(t):

@@ -12,7 +12,7 @@ import __spark_entry__ as driver
 
 SAMPLE = (
     "A2_night_grade", "A3_rule_summary", "A5_hard_events", "A8_token_ranking", "A9_issue_counts", "A13_duration_quantiles", "A22_combination_completeness",
-    "A34_header_field_distribution", "A40_profile_summary", "A44_masked_attention_pooling", "D1_exact_once_batches", "D2_class_metrics", "F2_parse_prefilter_strict",
+    "A34_header_field_distribution", "A40_profile_summary", "A44_masked_attention_pooling", "D1_exact_once_batches", "D1_permuted_batches", "D2_class_metrics", "F2_parse_prefilter_strict",
     "F8_release_split", "F13_path_safety", "F14_block_tree", "F14_checked_ranges", "F14_file_checksums", "J3_h5_edf_compare", "J5_expected_channel_missing", "J8_point_in_interval", "K8_idempotent_publish", "K9_release_ledger",
     "L5_time_grid_overlay", "L8_alignment_summary", "P16_channel_selection", "P24_session_findings", "Q6_line_power_fraction", "Q14_placeholder_rows",
     "S2_edf_header_scan", "S2_edf_listed_headers", "S3_edf_listed_samples", "S3_edf_sample_range", "U1_registered_reader_windows", "V1_flag_audit", "V13_batch_contract", "W5_global_index_lookup", "W11_greedy_shards", "W13_pad_batches", "X2_chunked_band_filter", "X3_chunked_resample", "X3_rational_resample")
