@@ -197,8 +197,8 @@ def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Co
         return F.aggregate(order, start, step, lambda s: s["l"] * side + s["r"])
 
     walks = F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), F.least(F.lit(WALKS).cast("bigint"), side * side - n)))
-    found = F.aggregate(walks, once(index.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(found < n, found).otherwise(F.raise_error(F.lit("no place found by the permutation")).cast("bigint"))
+    lost = F.raise_error(F.lit("no place found by the permutation")).cast("bigint")
+    return F.aggregate(walks, once(index.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(once(x)), lambda x: F.when(x < n, x).otherwise(lost))
 
 
 def permuted_batches(indexed: DataFrame, batch_size: int, seed: int, epoch_pass: int, index: str = "grade_index",
