@@ -49,12 +49,12 @@ class TextEncoder:
     """Ids of whole texts, as bytes of little-endian unsigned integers of ``width`` bytes.
 
     For a tokenizer that never joins text across white space, each distinct piece between ASCII
-    white space is encoded once per worker and looked up afterwards; of a piece made of ASCII
+    white space is encoded once per worker and looked up afterwards (two generations of at most ``chunk_limit`` and one batch each); of a piece made of ASCII
     or Latin letters with closing punctuation, the lower-cased letters are looked up by themselves. Any
     other tokenizer encodes each text as it is. Both give what ``encode`` gives for the text.
     """
 
-    def __init__(self, name: str, chunk_limit: int = 500_000, core_limit: int = 500_000):
+    def __init__(self, name: str, chunk_limit: int = 400_000, core_limit: int = 300_000):
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
@@ -68,9 +68,12 @@ class TextEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.chunks: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.aged_chunks: dict[bytes, bytes] = {}
+        self.aged_cores: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
         self.chunk_limit, self.core_limit = chunk_limit, core_limit
         self.kind = "H" if self.width == 2 else "I"
+        self.coded = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())] if self.wordwise else []
         # Byte-level models spell a text's bytes in printable characters: those that print stand for themselves.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -96,15 +99,19 @@ class TextEncoder:
         return [self.pack(e.ids) for e in found]
 
     def _learn(self, pieces: set[bytes]) -> None:
-        rest = []
+        """Ids of new pieces; words met for the first time go to the model, everything else to the library."""
+        rest, plain, words, cores = [], [], {}, self.cores
         for piece in pieces:
             letters = piece.rstrip(_ENDS)
-            if len(piece) > 64 or not letters:
+            if len(piece) > 64:
                 rest.append(piece)
                 continue
             if letters.isalpha():  # of bytes: ASCII letters only
                 core = letters.lower()
-                core = piece if core == piece else core  # one object serves both caches
+                if core == piece:
+                    core = piece  # one object serves both caches
+                if core not in cores:
+                    words[core] = core.decode()
             else:
                 word = letters.decode("utf-8", "replace")
                 # Up to U+017F but for U+0130, letters are composed already and have one lower-case letter each.
@@ -112,34 +119,45 @@ class TextEncoder:
                     rest.append(piece)
                     continue
                 core = word.lower().encode()
-            tail = piece[len(letters):]
-            ids = self.cores.get(core)
-            if ids is None:
-                text = core.decode() if core.isascii() else "".join([self.spelled[b] for b in core])
-                ids = self.cores[core] = self.pack([t.id for t in self.model.tokenize(text)])
-            if tail not in self.tails:
-                self.tails[tail] = self._library([tail])[0]
-            self.chunks[piece] = ids + self.tails[tail]
-        self.chunks.update(zip(rest, self._library(rest)))
+                if core not in cores:
+                    words[core] = "".join([self.spelled[b] for b in core])
+            plain.append((piece, core, piece[len(letters):]))
+        aged, tokenize, coded = self.aged_cores, self.model.tokenize, self.coded
+        for core, text in words.items():
+            cores[core] = aged.get(core) or b"".join([coded[t.id] for t in tokenize(text)])
+        chunks, tails = self.chunks, self.tails
+        for piece, core, tail in plain:
+            if tail and tail not in tails:
+                tails[tail] = self._library([tail])[0]
+            chunks[piece] = cores[core] + tails[tail] if tail else cores[core]
+        chunks.update(zip(rest, self._library(rest)))
+
+    def _age(self) -> None:
+        """A full cache becomes the old generation, from which words still in use come back; the one before goes."""
+        if len(self.chunks) > self.chunk_limit:
+            self.chunks, self.aged_chunks = {}, self.chunks
+        if len(self.cores) > self.core_limit:
+            self.cores, self.aged_cores = {}, self.cores
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Texts as UTF-8 bytes (None: empty) to the bytes of their ids."""
         texts = [t or b"" for t in texts]
         if not self.wordwise:
             return self._library(texts)
-        if len(self.chunks) > self.chunk_limit:
-            self.chunks.clear()
-        if len(self.cores) > self.core_limit:
-            self.cores.clear()
-        known, out, long = self.chunks, [], set()
+        self._age()
+        known, aged, out, long = self.chunks, self.aged_chunks, [], set()
         for text in texts:
             pieces = text.split()
             found = list(map(known.get, pieces))
             if None in found:
-                new = set(pieces).difference(known)
+                new = {p for p, ids in zip(pieces, found) if ids is None}
+                if aged:
+                    back = [p for p in new if p in aged]
+                    known.update(zip(back, map(aged.get, back)))
+                    new.difference_update(back)
                 self._learn(new)
                 long.update(p for p in new if len(p) > 64)
-                found = map(known.get, pieces)
+                found = [known[p] if ids is None else ids for p, ids in zip(pieces, found)]
             out.append(b"".join(found))
         for piece in long:
             known.pop(piece, None)

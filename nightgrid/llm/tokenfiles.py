@@ -136,6 +136,10 @@ class TokenFile:
                 start, i = bound, i + 1
 
 
+#: Tasks that read files back at most; of fewer files each gets one.
+READ_TASKS = 10_000
+
+
 def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER, end_id: int | None = END_ID,
                       ids_per_file: int = 4_000_000) -> DataFrame:
     """Encode every whole text of (doc_id, text) and write the ids in ascending doc_id order.
@@ -144,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     (ids in all files before). A file takes documents until it has ``ids_per_file`` ids. Task
     attempts write under names of their own and only files of the attempts that succeeded come
     into the manifest, so a lost executor leaves no half-written or doubled file behind it.
-    A null text is empty; rows without doc_id come first; repeated doc_ids stay, ordered by text.
+    A null text is empty; rows without doc_id come first; repeated doc_ids stay, ordered by text within a task and by a hash of it across tasks.
     An empty table gives an empty manifest. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
@@ -225,4 +229,6 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(r, k.type) for r, k in zip(rows, kinds)], schema=kinds)
 
-    return manifest.select("path", "start").repartition("path").mapInArrow(run, schema)
+    # A stated number of tasks: a table of short rows would otherwise be merged into one that reads every file.
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(run, schema)
