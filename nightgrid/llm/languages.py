@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nightgrid.llm.common import give_back, only
+from nightgrid.session import sent, write_once
+
 
 #: Documented bounds of the fit: labelled rows, and characters taken from each of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 800
@@ -172,21 +175,25 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Fit on a bounded sample of (doc_id, text, lang) rows outside fold 2 with a language and a text.
 
-    At most ``rows`` rows, chosen by a hash of id and text whose threshold follows from their
-    count, then in the order of that hash, and at most ``chars`` characters of each, from a place that the hash picks. So any
+    At most ``rows`` rows, chosen by a hash of id and text whose threshold follows from the count of their language, then in
+    the order of hash against threshold: half of the bound goes to languages in proportion to their rows, half in equal parts, so that a rare
+    language is learned and a frequent one does not take all. Of each row at most ``chars`` characters are read, from a place that the hash picks. So any
     order of the rows gives the same model, and rows that share an id are chosen one by one.
     """
-    known = docs.where((F.coalesce(fold(F.col("doc_id")), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = known.count()
+    known = only(docs, "doc_id", "text", "lang").where((F.coalesce(fold(F.col("doc_id")), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    each = write_once(known.groupBy("lang").agg(F.count("*").alias("_rows")), "language-counts")
+    count, langs = each.agg(F.sum("_rows"), F.count("*")).first()
     mark = F.xxhash64("doc_id", "text", F.lit("language sample"))
-    if count > rows:
-        # As many rows fall below it as are wanted, give or take; the limit is the hard bound.
-        known = known.where(mark < F.lit(int(0.95 * rows / count * (1 << 64)) - (1 << 63)))
+    rank = (mark.cast("double") + 2.0**63) / 2.0**64  # uniform between 0 and 1
+    if count and count > rows:
+        # As many rows have a rank below 1 as are wanted, give or take; the limit is the hard bound.
+        rank = rank / F.least(F.lit(1.0), 0.475 * rows * (1.0 / count + 1.0 / (langs * F.col("_rows"))))
+        known = known.join(sent(each), "lang").where(rank <= 1)
     length = F.length("text")
     start = F.when(length > chars, F.pmod(F.xxhash64("doc_id", "text", F.lit("place")), (length - chars).cast("long"))).otherwise(0).cast("int") + 1
     # Half of the windows are short, so that short texts are judged as surely as long ones.
     size = F.when(mark % 2 == 0, F.lit(chars)).otherwise(F.lit(chars // 8))
-    sample = known.select(mark.alias("mark"), "doc_id", F.col("text").substr(start, size).alias("text"), "lang").orderBy("mark", "lang").limit(rows).collect()
+    sample = known.select(rank.alias("rank"), mark.alias("mark"), "doc_id", F.col("text").substr(start, size).alias("text"), "lang").orderBy("rank", "mark", "lang").limit(rows).collect()
     sample.sort(key=lambda r: (str(r.doc_id), r.text))
     return LanguageModel.fit([r.text for r in sample], [r.lang for r in sample])
 
@@ -203,5 +210,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang_pred", "score", "accepted"]).astype({"score": float, "accepted": bool})
+        give_back()
 
     return docs.withColumn(into, predict(F.col(text)))
