@@ -45,37 +45,35 @@ def greedy_batches(planned: DataFrame, key: str, order: str, size: str = "estima
     block of rows is a function from "offset of the first batch start" (fewer than
     max_records choices) to the same offset in the next block. Blocks compute their
     functions in parallel, a tree composes them sixty-four at a time, and blocks then number
-    their rows in parallel. ``order`` may be of any orderable type.
+    their rows in parallel. ``order`` may be of any orderable type and need not be unique: rows equal in it go by key,
+    then by size. Positions are written once, and rows get their batch by position.
     """
-    flat = dense_index(planned, [order], data_bucket(planned, order), "_pos")
-    narrow = flat.select(key, "_pos", F.col(size).cast("double").alias("_size"))
-    home = F.floor(F.col("_pos") / block)
-    # A block also sees the first rows of the next one, where its last batch may end.
-    copies = F.when((F.col("_pos") % block < max_records) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    seen = narrow.select("_pos", "_size", F.explode(copies).alias("_block"))
+    flat = write_once(dense_index(planned, list(dict.fromkeys([order, key, size])), data_bucket(planned, order), "_pos"), "batch-order")
+    # Neighbouring blocks are worked on together, some 16,384 rows in one call.
+    unit = block * max(1, 16_384 // block)
+    narrow = flat.select("_pos", F.col(size).cast("double").alias("_size"))
+    home = F.floor(F.col("_pos") / unit)
+    # A unit also sees the first rows of the next one, where its last batch may end.
+    copies = F.when((F.col("_pos") % unit < max_records) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    seen = narrow.select("_pos", "_size", F.explode(copies).alias("_unit"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
-        base = int(pdf["_block"].iloc[0]) * block
-        at = pdf["_pos"].to_numpy() - base
-        stop = _next_start(pdf["_size"].to_numpy(), max_records, target)
-        inside = int((at < block).sum())
-        leave, count = np.zeros(inside, np.int64), np.zeros(inside, np.int64)
-        for i in range(inside - 1, -1, -1):
-            j = stop[i]
-            if j >= inside:
-                leave[i], count[i] = j - inside, 1
-            else:
-                leave[i], count[i] = leave[j], count[j] + 1
-        entries = min(max_records, inside)
-        return pd.DataFrame({"_block": base // block, "_entry": range(entries),
-                             "_leave": leave[:entries], "_count": count[:entries], "_rows": inside})
+        base = int(pdf["_unit"].iloc[0]) * unit
+        stops = _next_start(pdf["_size"].to_numpy(), max_records, target).tolist()
+        inside, out = int((pdf["_pos"] - base < unit).sum()), []
+        for low in range(0, inside, block):
+            high = min(low + block, inside)
+            leave, count = [0] * (high - low), [0] * (high - low)
+            for i in range(high - low - 1, -1, -1):
+                j = stops[low + i]
+                leave[i], count[i] = (j - high, 1) if j >= high else (leave[j - low], count[j - low] + 1)
+            out += [((base + low) // block, e, leave[e], count[e], high - low) for e in range(min(max_records, high - low))]
+        return pd.DataFrame(out, columns=["_block", "_entry", "_leave", "_count", "_rows"])
 
-    steps = seen.groupBy("_block").applyInPandas(
-        chain, "_block bigint, _entry int, _leave bigint, _count bigint, _rows bigint")
+    steps = seen.groupBy("_unit").applyInPandas(chain, _STEPS)
 
-    starts = _block_starts(write_once(steps, "block-steps"), -(-planned.count() // block), max_records)
-    key_type = planned.schema[key].dataType.simpleString()
+    starts = _block_starts(write_once(steps, "block-steps"), -(-flat.count() // block), max_records)
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
@@ -85,28 +83,36 @@ def greedy_batches(planned: DataFrame, key: str, order: str, size: str = "estima
         while i < n:
             shard[i : stop[i]] = no
             i, no = int(stop[i]), no + 1
-        return pd.DataFrame({key: pdf[key], "_pos": pdf["_pos"], "shard_no": shard})
+        return pd.DataFrame({"_pos": pdf["_pos"], "shard_no": shard})
 
-    numbered = (narrow.withColumn("_block", home).join(starts, "_block")
-                .groupBy("_block").applyInPandas(number, f"{key} {key_type}, _pos bigint, shard_no bigint"))
-    return planned.join(numbered.withColumnRenamed("_pos", "position"), key)
+    # What enters a unit is what enters its first block.
+    entered = starts.where(F.col("_block") % (unit // block) == 0).select((F.col("_block") * block / unit).cast("bigint").alias("_unit"), "_entry", "_done")
+    numbered = narrow.withColumn("_unit", home).join(entered, "_unit").groupBy("_unit").applyInPandas(number, "_pos bigint, shard_no bigint")
+    return flat.join(numbered, "_pos").select(*planned.columns, F.col("_pos").alias("position"), "shard_no")
 
 
 _STEPS = "_block bigint, _entry int, _leave bigint, _count bigint, _rows bigint"
 
 
-def _walk(pdf: pd.DataFrame, entry: int):
-    """Blocks of one group in order, entered at ``entry``: (block, entry, batches begun before) of each, then what leaves."""
-    done = 0
-    for block, rows in pdf.groupby("_block", sort=True):
-        yield block, entry, done
-        size = int(rows["_rows"].iloc[0])
-        if entry >= size:
-            entry -= size
-        else:
-            row = rows[rows["_entry"] == entry].iloc[0]
-            entry, done = int(row["_leave"]), done + int(row["_count"])
-    yield None, entry, done
+class _Walk:
+    """Blocks of one group in order, each a function from the row where it is entered."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values(["_block", "_entry"])
+        self.blocks, first = np.unique(pdf["_block"].to_numpy(), return_index=True)
+        self.first, self.rows = first.tolist(), pdf["_rows"].to_numpy()[first].tolist()
+        self.leave, self.count = pdf["_leave"].tolist(), pdf["_count"].tolist()
+
+    def enter(self, entry: int) -> tuple[list[tuple[int, int]], int, int]:
+        """(entry, batches begun before) of each block, then what leaves the last one and all batches begun."""
+        met, done = [], 0
+        for first, rows in zip(self.first, self.rows):
+            met.append((entry, done))
+            if entry >= rows:
+                entry -= rows
+            else:
+                entry, done = self.leave[first + entry], done + self.count[first + entry]
+        return met, entry, done
 
 
 def _block_starts(steps: DataFrame, blocks: int, max_records: int, fan: int = 64) -> DataFrame:
@@ -117,16 +123,15 @@ def _block_starts(steps: DataFrame, blocks: int, max_records: int, fan: int = 64
     """
 
     def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf.groupby("_block")["_rows"].first().sum())
-        out = []
-        for entry in range(min(max_records, size)):
-            *_, (_, leave, count) = _walk(pdf, entry)
-            out.append((key[0], entry, leave, count, size))
+        walk = _Walk(pdf)
+        size = sum(walk.rows)
+        out = [(key[0], entry, *walk.enter(entry)[1:], size) for entry in range(min(max_records, size))]
         return pd.DataFrame(out, columns=["_block", "_entry", "_leave", "_count", "_rows"])
 
     def descend(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         base = int(above["_done"].iloc[0])
-        out = [(b, e, base + d) for b, e, d in _walk(pdf, int(above["_entry"].iloc[0])) if b is not None]
+        walk = _Walk(pdf)
+        out = [(int(b), e, base + d) for b, (e, d) in zip(walk.blocks, walk.enter(int(above["_entry"].iloc[0]))[0])]
         return pd.DataFrame(out, columns=["_block", "_entry", "_done"])
 
     group = F.floor(F.col("_block") / fan).cast("bigint")

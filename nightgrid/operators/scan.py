@@ -42,10 +42,17 @@ def data_bucket(df: DataFrame, order: str, parts: int = 128, sample: int = 4096)
 
 
 def _place(order: str, cuts: Sequence) -> Column:
-    if not cuts:
-        return F.lit(0)
-    at_or_below = F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))
-    return F.coalesce(F.size(at_or_below), F.lit(-1))
+    """How many cuts are at or below a value, -1 for null: a search tree of plain comparisons.
+
+    No lambda: in a self join Spark has moved conditions over a lambda to the side that lacks the column.
+    """
+    cuts, value = sorted(set(cuts)), F.col(order)
+
+    def among(low: int, high: int) -> Column:
+        middle = (low + high) // 2
+        return F.lit(low) if low == high else F.when(value < F.lit(cuts[middle]), among(low, middle)).otherwise(among(middle + 1, high))
+
+    return F.when(value.isNull(), F.lit(-1)).otherwise(among(0, len(cuts))) if cuts else F.lit(0)
 
 
 def _over(how: str, value: Column, window) -> Column:

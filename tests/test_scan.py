@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightgrid.operators import batches, grid
-from nightgrid.operators.scan import data_bucket, dense_index, exact_quantiles, islands, number_bucket, running
+from nightgrid.operators.scan import _place, data_bucket, dense_index, exact_quantiles, islands, number_bucket, running
 
 
 def skewed(n=600, seed=1):
@@ -175,3 +175,24 @@ def test_order_by_any_key(spark, make):
     assert [placed[k] for k in keys] == list(range(900))
     buckets = df.groupBy(data_bucket(df, "key").alias("b")).count().collect()
     assert len(buckets) > 100 and max(r["count"] for r in buckets) < 40
+
+
+def test_text_order_joined_to_its_own_buckets(spark, tmp_path):
+    """The buckets of a text key are joined back to its rows; Spark once moved the condition to the side without the key."""
+    spark.range(15_000).select(F.format_string("Customer#%09d", "id").alias("name"), "id").write.parquet(str(tmp_path / "named"))
+    df = spark.read.parquet(str(tmp_path / "named")).select(F.col("name").alias("key"), "id")
+    placed = dense_index(df, ["key"], data_bucket(df, "key"), "at")
+    assert placed.where("at <> id").count() == 0 and placed.count() == 15_000
+    for value, bucket in spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "v string").select("v", _place("v", ["b", "c"])).collect():
+        assert bucket == {"a": 0, "b": 1, "c": 2, None: -1}[value]
+
+
+@pytest.mark.parametrize("block", [4, 50, 1000])
+def test_greedy_batches_with_equal_keys(spark, block):
+    """Rows that share a key stay as many as they are, and go by size."""
+    rows = [(f"night-{i % 70:03d}", 1 + i * 7919 % 40) for i in range(700)] + [(None, 3), (None, 2)]
+    df = spark.createDataFrame(rows, "key string, size bigint").repartition(3)
+    got = batches.greedy_batches(df, "key", "key", "size", 4, 90, block).orderBy("position").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r.key, r["size"]) for r in got] == order and [r.position for r in got] == list(range(702))
+    assert [r.shard_no for r in got] == greedy([s for _, s in order], 4, 90)
