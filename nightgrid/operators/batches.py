@@ -235,7 +235,8 @@ def fixed_subset(windows: DataFrame, size: int, seed: int, split: str = "split",
     before = Window.partitionBy(split).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     last = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
             .where(F.col("_before") < size).groupBy(split).agg(F.max("_d").alias("_last")))
-    near = rows.join(last, split).where(F.col("_d") <= F.col("_last"))
+    # One row a split goes to every task: rows are sifted where they are read, and a split is never gathered.
+    near = rows.join(F.broadcast(last), split).where(F.col("_d") <= F.col("_last"))
     w = Window.partitionBy(split).orderBy("_h", order)
     return near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size).drop("_k", "_h", "_d", "_last")
 

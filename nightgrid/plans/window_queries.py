@@ -130,9 +130,10 @@ def d1(t):
 def d1b(t):
     """A pass as an expression on rows indexed once; no sort by a hash per pass."""
     rows = windows(t)
+    # At most five rows.
     sizes = rows.groupBy("night_grade").agg(F.count("*").alias("grade_size"))
     indexed = batches.dense_index(rows, ["window_index"], batches.data_bucket(rows, "window_index"), "grade_index", ["night_grade"])
-    return batches.permuted_batches(indexed.join(sizes, "night_grade"), 32, 9, 1).drop("grade_index", "grade_size")
+    return batches.permuted_batches(indexed.join(F.broadcast(sizes), "night_grade"), 32, 9, 1).drop("grade_index", "grade_size")
 
 
 @query("D4_fixed_subset", _WIN + """SELECT window_index, night_grade, split FROM win

@@ -1,5 +1,6 @@
 """Order-dependent operators against brute force, with one key holding a third of the rows."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -196,3 +197,20 @@ def test_greedy_batches_with_equal_keys(spark, block):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
     assert [(r.key, r["size"]) for r in got] == order and [r.position for r in got] == list(range(702))
     assert [r.shard_no for r in got] == greedy([s for _, s in order], 4, 90)
+
+
+def test_fixed_subset_gathers_no_split(spark):
+    """However large the tables are taken to be, rows of a split are sifted before they move."""
+    rows = [(i, "train" if i % 10 else "test") for i in range(3000)]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = batches.fixed_subset(spark.createDataFrame(rows, "window_index bigint, split string"), 25, 5)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        want = set()
+        for split in ("train", "test"):
+            want |= set(sorted((i for i, s in rows if s == split), key=lambda i: hashlib.sha256(f"5:{i}".encode()).hexdigest())[:25])
+        assert {r.window_index for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
