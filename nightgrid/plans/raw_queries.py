@@ -14,7 +14,7 @@ from nightgrid.operators import calibrate, chunked, digests, kernels, ranges, ra
 from nightgrid.plans import preprocess
 from nightgrid.plans import signal_queries as sq
 from nightgrid.plans.registry import Tables, query
-from nightgrid.session import scratch_path
+from nightgrid.session import scratch_path, spread
 from nightgrid.sources import edf, files, published, registry
 
 # --- manifest: orders are files, line items are their channels ---------------------------------
@@ -29,7 +29,9 @@ _CHAN = ["concat('/n/', l_orderkey, '.h5') AS path",
 
 
 def channel_rows(t: Tables) -> DataFrame:
-    rows = t.lineitem.selectExpr(*_CHAN)
+    path, *fields = _CHAN
+    # Dealt by file before anything is grouped: a task holds its share of the files, not of the table.
+    rows = spread(t.lineitem.selectExpr(path, "l_linenumber", "l_partkey"), "path").selectExpr("path", *fields)
     rest = [x for x in rows.columns if x not in ("path", "source_name")]
     # Line numbers repeat inside an order; the longest of equal names stands for the channel.
     best = rows.groupBy("path", "source_name").agg(F.max(F.struct("length", *[x for x in rest if x != "length"])).alias("r"))

@@ -105,3 +105,15 @@ SENT_ROWS = 500_000
 def sent(narrow: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """A narrow table marked for broadcast if counting shows at most ``rows`` rows; a larger one is joined as Spark sees fit."""
     return F.broadcast(narrow) if narrow.limit(rows + 1).count() <= rows else narrow
+
+
+#: Rows of a table (a few dozen short columns) that one task sorts or hashes at a time: some 100 MB.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt by their keys to as many tasks as there are ``rows`` rows in the table, so that a task's share does not grow with it.
+
+    Grouping and joining by these keys, or grouping by more, needs no further exchange. No key may hold a large part of the rows.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
