@@ -16,7 +16,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +28,24 @@ from nightgrid.session import write_once
 
 #: Samples of a block (half a megabyte) and children of a node of the tree; both bound a task, not the signal.
 BLOCK, FANOUT = 1 << 16, 64
+#: Samples of the blocks, and nodes of the tree (2 kB each), that one call works on; small groups share a call.
+CALL_SAMPLES, CALL_NODES = 1 << 20, 2048
 _DOUBLES = ArrayType(DoubleType())
 
 
+def _shared(df: DataFrame, group: Sequence[str], calls: int) -> DataFrame:
+    """Rows with the number of the call that works on their group, among others."""
+    return df.withColumn("_call", F.pmod(F.xxhash64(*group), F.lit(max(1, calls))))
+
+
+def _groups(table: pa.Table, names: Sequence[str]) -> dict[tuple, list[int]]:
+    """Places of the rows of each group."""
+    found: dict[tuple, list[int]] = {}
+    for at, key in enumerate(zip(*[table[n].to_pylist() for n in names])):
+        found.setdefault(key, []).append(at)
+    return found
+
+
 def finite_runs(chunks: DataFrame, keys: Sequence[str], bucket: int = 1 << 24) -> DataFrame:
     """(keys, run_first, run_stop) of the finite runs of whole signals; only run edges move.
 
@@ -58,7 +72,8 @@ def pieces(chunks: DataFrame, keys: Sequence[str], context: int = 0, least: int
 
     ``before`` and ``after`` are up to ``context`` samples of the run beside the piece. A piece at either end of its run has
     at least ``least`` samples, a run of fewer than twice as many is one piece. A sample goes to its block, and to the
-    next one if it lies within the halo; with notes on the runs they are the only rows that move. A task holds one block.
+    next one if it lies within the halo; with notes on the runs they are the only rows that move. A call holds some
+    ``CALL_SAMPLES`` samples.
     """
     if block < 2 * least:
         raise ValueError("a block holds at least two least pieces")
@@ -78,28 +93,36 @@ def pieces(chunks: DataFrame, keys: Sequence[str], context: int = 0, least: int
         schema = schema.add(name, _DOUBLES)
     size = block + 2 * halo
 
-    def deal(key: tuple, samples: pa.Table, runs: pa.Table) -> pa.Table:
-        at = key[-1].as_py() * block - halo
-        held = np.full(size, np.nan)
-        starts, lists = samples["at"].to_numpy(), samples["values"].combine_chunks()
-        for start, values in zip(starts.tolist(), lists if len(starts) else []):
-            part = values.values.to_numpy(zero_copy_only=False)
-            held[start - at:start - at + len(part)] = part
-        rows = []
-        for first, last in sorted(zip(runs["run_first"].to_pylist(), runs["run_stop"].to_pylist())):
-            a, z = (_cut(at + halo + side, first, last, least) for side in (0, block))
-            if a < z:
-                left, right = max(first, a - context), min(last, z + context)
-                rows.append((first, last, a, z, held[left - at:a - at], held[a - at:z - at], held[z - at:right - at]))
+    # Both sides come from the same rows: the names of one are changed so that the keys are told apart.
+    group, other = [*keys, "block"], [f"_{k}" for k in [*keys, "block"]]
+
+    def deal(samples: pa.Table, runs: pa.Table) -> pa.Table:
+        here, lists, starts = _groups(samples, group), samples["values"].combine_chunks(), samples["at"].to_pylist()
+        firsts, lasts = runs["run_first"].to_pylist(), runs["run_stop"].to_pylist()
+        ids, rows = [], []
+        for key, noted in _groups(runs, other).items():
+            at = key[-1] * block - halo
+            held = np.full(size, np.nan)
+            for i in here.get(key, ()):
+                part = lists[i].values.to_numpy(zero_copy_only=False)
+                held[starts[i] - at:starts[i] - at + len(part)] = part
+            for first, last in sorted((firsts[i], lasts[i]) for i in noted):
+                a, z = (_cut(at + halo + side, first, last, least) for side in (0, block))
+                if a < z:
+                    left, right = max(first, a - context), min(last, z + context)
+                    ids.append(key[:-1])
+                    rows.append((first, last, a, z, held[left - at:a - at], held[a - at:z - at], held[z - at:right - at]))
         columns = list(zip(*rows)) or [()] * 7
-        data = {k: pa.array([v.as_py()] * len(rows), v.type) for k, v in zip(keys, key)}
+        data = {k: pa.array([i[n] for i in ids], samples.schema.field(k).type) for n, k in enumerate(keys)}
         data |= {n: pa.array(c, pa.int64()) for n, c in zip(("run_first", "run_stop", "first", "stop"), columns)}
         data |= {n: pa.array(c, pa.list_(pa.float64())) for n, c in zip(("before", "values", "after"), columns[4:])}
         return pa.table(data)
 
-    # Both sides come from the same rows: the names of one are changed so that the keys are told apart.
-    notes = notes.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "block"]], "run_first", "run_stop")
-    return slices.groupBy(*keys, "block").cogroup(notes.groupBy(*[f"_{k}" for k in [*keys, "block"]])).applyInArrow(deal, schema)
+    notes = notes.select(*[F.col(k).alias(f"_{k}") for k in group], "run_first", "run_stop")
+    total = chunks.agg(F.sum(F.size("values").cast("long"))).first()[0] or 0
+    calls = -(-total // CALL_SAMPLES)
+    slices, notes = _shared(slices, group, calls), _shared(notes, other, calls)
+    return slices.groupBy("_call").cogroup(notes.groupBy("_call")).applyInArrow(deal, schema)
 
 
 # -- zero-phase band filter -----------------------------------------------------------------------
@@ -147,8 +170,8 @@ class Element:
         return Element(matrix, np.concatenate([ll2 @ still + c2, d + rr @ back_still])), flow, still
 
 
-def _element(row) -> Element:
-    return Element(np.asarray(row.matrix).reshape(2 * _SIDE, 2 * _SIDE), np.asarray(row.offset))
+def _element(matrix: pa.ListScalar, offset: pa.ListScalar) -> Element:
+    return Element(matrix.values.to_numpy().reshape(2 * _SIDE, 2 * _SIDE), offset.values.to_numpy())
 
 
 def _entering(elements: list[Element], left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -195,35 +218,51 @@ def band_filter(chunks: DataFrame, keys: Sequence[str], band: dsp.BandFilter, bl
                  pa.array([e.offset for e in found], pa.list_(pa.float64()))], names=kind.names)
 
     levels = [write_once(fine.mapInArrow(elements, kind), "band-elements")]
-    ends = levels[0].agg(F.min("place"), F.max("place")).first()
-
-    def joined(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.sort_values("place").itertuples())
-        whole = _element(rows[0])
-        for row in rows[1:]:
-            whole = whole.before(_element(row))[0]
-        return pd.DataFrame([[*key, whole.matrix.reshape(-1), whole.offset]], columns=kind.names)
+    ends = levels[0].agg(F.min("place"), F.max("place"), F.count("*")).first()
+    node = [*keys, "run_first", "parent"]
+    calls = -(-ends[2] // CALL_NODES)
+
+    def joined(part: pa.Table) -> pa.Table:
+        places, matrices, offsets = part["place"].to_pylist(), part["matrix"].combine_chunks(), part["offset"].combine_chunks()
+        ids, found = [], []
+        for key, rows in _groups(part, node).items():
+            rows.sort(key=places.__getitem__)
+            whole = _element(matrices[rows[0]], offsets[rows[0]])
+            for i in rows[1:]:
+                whole = whole.before(_element(matrices[i], offsets[i]))[0]
+            ids.append(key)
+            found.append(whole)
+        data = {k: pa.array([i[n] for i in ids], part.schema.field(name).type) for n, (k, name) in enumerate(zip(kind.names, node))}
+        return pa.table(data | {"matrix": pa.array([e.matrix.reshape(-1) for e in found], pa.list_(pa.float64())),
+                                "offset": pa.array([e.offset for e in found], pa.list_(pa.float64()))})
 
     over = lambda df: df.withColumn("parent", F.floor(F.col("place") / F.lit(fanout)))
-    low, high = ends if ends[0] is not None else (0, 0)
+    low, high = ends[:2] if ends[0] is not None else (0, 0)
     # Up: until each run is below one node.
     while low != high:
         low, high = low // fanout, high // fanout
         if low != high:
-            levels.append(write_once(over(levels[-1]).groupBy(*keys, "run_first", "parent").applyInPandas(joined, kind), f"band-level-{len(levels)}"))
+            levels.append(write_once(_shared(over(levels[-1]), node, calls).groupBy("_call").applyInArrow(joined, kind), f"band-level-{len(levels)}"))
 
-    def spread(key: tuple, children: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
+    def spread(children: pa.Table, parents: pa.Table) -> pa.Table:
         """Down: from what enters a node to what enters its children."""
-        rows = list(children.sort_values("place").itertuples())
-        enters = np.asarray(parent["entering"].iloc[0]) if len(parent) else np.zeros(2 * _SIDE)
-        inside = _entering([_element(r) for r in rows], enters[:_SIDE], enters[_SIDE:])
-        return pd.DataFrame([[*key[:-1], r.place, np.concatenate(pair)] for r, pair in zip(rows, inside)], columns=states.names)
+        places, matrices, offsets = children["place"].to_pylist(), children["matrix"].combine_chunks(), children["offset"].combine_chunks()
+        above, entering = _groups(parents, node), parents["entering"].combine_chunks()
+        ids, found = [], []
+        for key, rows in _groups(children, node).items():
+            rows.sort(key=places.__getitem__)
+            enters = entering[above[key][0]].values.to_numpy() if key in above else np.zeros(2 * _SIDE)
+            inside = _entering([_element(matrices[i], offsets[i]) for i in rows], enters[:_SIDE], enters[_SIDE:])
+            ids += [(*key[:-1], places[i]) for i in rows]
+            found += [np.concatenate(pair) for pair in inside]
+        data = {k: pa.array([i[n] for i in ids], children.schema.field(k).type) for n, k in enumerate(states.names[:-1])}
+        return pa.table(data | {"entering": pa.array(found, pa.list_(pa.float64()))})
 
     # Nothing enters a whole run from outside.
     known = fine.sparkSession.createDataFrame([], states)
     for level in reversed(levels):
-        known = (over(level).groupBy(*keys, "run_first", "parent")
-                 .cogroup(known.withColumnRenamed("place", "parent").groupBy(*keys, "run_first", "parent")).applyInPandas(spread, states))
+        known = (_shared(over(level), node, calls).groupBy("_call")
+                 .cogroup(_shared(known.withColumnRenamed("place", "parent"), node, calls).groupBy("_call")).applyInArrow(spread, states))
 
     rest = [n for n in cut.columns if n != "values"]
 

@@ -118,3 +118,21 @@ def test_chunk_position_by_running_size(spark):
     rows = spark.createDataFrame([(1, 5, [1.0, 2.0]), (1, 3, [0.5]), (2, 9, [4.0]), (1, 8, [3.0])], "k long, n long, v array<double>")
     got = sorted((r.k, r.first, r["values"]) for r in chunked.as_signal(rows, ["k"], "n", F.col("v")).collect())
     assert got == [(1, 0, [0.5]), (1, 1, [1.0, 2.0]), (1, 3, [3.0]), (2, 0, [4.0])]
+
+
+@pytest.mark.parametrize("samples, nodes", [(128, 2), (1 << 20, 2048)])
+def test_small_groups_share_a_call(spark, monkeypatch, samples, nodes):
+    """Blocks and nodes of many short signals are worked on together, in any number of calls."""
+    monkeypatch.setattr(chunked, "CALL_SAMPLES", samples)
+    monkeypatch.setattr(chunked, "CALL_NODES", nodes)
+    signals = {k: np.random.default_rng(k).normal(size=300) for k in range(6)}
+    rows = [(k, at, x[at:at + 50].tolist()) for k, x in signals.items() for at in range(0, 300, 50)]
+    band = dsp.BandFilter(0.3, 35.0, 200.0)
+    out = chunked.band_filter(spark.createDataFrame(rows, "signal bigint, first bigint, values array<double>"), ["signal"], band, block=64, fanout=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_call" in plan and "InPandas" not in plan
+    got = {k: np.full(300, np.nan) for k in signals}
+    for r in out.collect():
+        got[r.signal][r.first:r.stop] = r["values"]
+    for k, x in signals.items():
+        assert np.allclose(got[k], band.apply(x.copy()), atol=1e-9)
