@@ -1,13 +1,15 @@
-"""Near-copies by exact Jaccard similarity of word shingles, with SimHash to find and sift the pairs.
+"""Near-copies by exact Jaccard similarity of word shingles; SimHash, leading hashes and parity sketches find and sift the pairs.
 
 Copies that are nearly identical lie within three bits of each other: the covering tables find
 them and a spanning forest of each bucket joins them, so a large group costs no more than its size.
 Pairs down to the similarity itself lie up to a third of the bits apart, for which a covering family would need
 2^(r+1) - 1 tables. They meet under shingles instead. Rounds under the few smallest hashes of each set come first: nearly all
-similar pairs share one of four, and of each meeting only a spanning forest of fingerprints that lie close is verified.
-So the members of a group are joined by about as many links as it has members. What is left is found for certain: in the order of their
-hashes, two sets of similarity t share one of the first n - ceil(t n) + 1 of each. Every such pair of parts not yet
-joined is sifted by length and by the distance of 128-bit fingerprints. Whatever the source, only pairs whose exact similarity reaches t are links.
+similar pairs share one of four, and of each meeting only a spanning forest of sets whose sketches lie close is verified.
+So the members of a group are joined by about as many links as it has members. What is left is found for certain: in any one
+order of all shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of each. The order here is by how often a shingle
+occurs in a sample of the documents, rarest first, so that what many documents share brings few of them together; the sample decides the order,
+not what is found. Every such pair of parts not yet joined is sifted by length and by a bound on the difference of the sets that loses
+none. Whatever the source, only pairs whose exact similarity reaches t are links.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightgrid.llm import simhash
@@ -25,11 +27,12 @@ from nightgrid.session import discard, sent, write_once
 SHINGLE = 5
 #: Similarity of a link, as a fraction of whole numbers so that equality is exact.
 SIMILARITY = (4, 5)
-#: Bits of 128 by which fingerprints of a link may differ. At similarity 0.8 a bit differs with probability 0.15
-#: (0.19 for sets of five): 44 is over four standard deviations above the mean of either, 64 the mean of strangers.
-SIFT = 44
-#: Rounds before the complete one: leading hashes of each set, and bits by which fingerprints that are tried may differ.
-ROUNDS = ((4, 22),)
+#: Bits of the smallest parity sketch. Each element of a set turns a bit over, so two sketches differ in no more bits than the sets in elements.
+SKETCH = 1_024
+#: Rounds before the complete one: smallest hashes of each set that count.
+ROUNDS = (4,)
+#: Documents, about, whose shingles are counted for the order, and the number of shingles that come last in it; all others go by hash.
+ORDER_DOCS, ORDER_KEPT = 10_000, 100_000
 #: Pairs that a task holds before it hands them on.
 HELD_PAIRS = 50_000
 
@@ -70,32 +73,106 @@ def _mixed(hashes):
     return x ^ (x >> np.uint64(31))
 
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """Key columns of each row with its set's digest, size, two fingerprints and leading hashes."""
+def parity_sketch(hashes) -> bytes:
+    """Bits, each set if an odd number of the hashes falls on it: SKETCH doubled until there are two for each hash."""
+    import numpy as np
+
+    bits = max(SKETCH, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else SKETCH
+    falls = np.bincount((_mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((falls & 1).astype(bool)).tobytes()
+
+
+def folded(sketch):
+    """The sketch of half as many bits (arrays of words, along the last axis)."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number of elements by which the sets of two sketches differ at least."""
+    import numpy as np
+
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = folded(y)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose whole sketches allow them to be similar enough."""
+    up, down = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes = batch.column("sizes").to_pylist()
+            near = [(down + up) * least_difference(x, y) <= (down - up) * n
+                    for x, y, n in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    x, y = (nodes.select(F.col("id").alias(i), F.col("wide").alias(to), F.col("n").alias(f"n{to}")) for i, to in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("sizes")).mapInArrow(run, "a long, b long")
+
+
+def _frequent(keyed: DataFrame):
+    """Shingle hashes, ascending, that occur in three or more of about ORDER_DOCS documents, and in how many; the most frequent ones."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            found = [shingle_hashes(t) for t in binary_column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("i8"), pa.int64())], ["key"])
+
+    given = keyed.select("_key", "text")
+    share = -(-given.count() // ORDER_DOCS)
+    if share > 1:
+        given = given.where(F.pmod(F.xxhash64("_key"), F.lit(share)) == 0)
+    counted = given.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    kept = counted.orderBy(F.desc("n"), "key").limit(ORDER_KEPT).toPandas()
+    keys = kept["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], kept["n"].to_numpy(np.int64)[order]
+
+
+def _marks(docs: DataFrame, frequent) -> DataFrame:
+    """Key columns of each row with its set's digest, size, fingerprint, sketch (short and whole), smallest hashes and, rarest first, leading hashes."""
     up, down = SIMILARITY
+    common, often = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
         import numpy as np
 
+        def rarest_first(hashes):
+            if not len(common) or not len(hashes):
+                return hashes
+            at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+            return hashes[np.argsort(np.where(common[at] == hashes, often[at], 0), kind="stable")]
+
         for batch in slices(batches):
-            digests, sizes, first, second, leads = [], [], [], [], []
+            digests, sizes, bits, odd, wide, least, leads = [], [], [], [], [], [], []
             for text in binary_column(batch, "text"):
                 hashes = shingle_hashes(text)
                 n = len(hashes)
                 digests.append(blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest())
                 sizes.append(n)
-                first.append(sign_bits(hashes))
-                second.append(sign_bits(_mixed(hashes)))
-                leads.append(hashes[:n + up * -n // down + 1 if n else 0].view("i8"))
-            lead = pa.array(leads, pa.list_(pa.int64()))
+                bits.append(sign_bits(hashes))
+                wide.append(parity_sketch(hashes))
+                narrow = np.frombuffer(wide[-1], np.uint64)
+                while 64 * len(narrow) > SKETCH:
+                    narrow = folded(narrow)
+                odd.append(narrow.tobytes())
+                least.append(hashes[:max(ROUNDS)].view("i8"))
+                leads.append(rarest_first(hashes)[:n + up * -n // down + 1 if n else 0].view("i8"))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(first, pa.int64()), pa.array(second, pa.int64()), lead], ["doc_id", "_key", "digest", "n", "f", "g", "lead"])
+                [batch.column("doc_id"), batch.column("_key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()),
+                 pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.array(least, longs), pa.array(leads, longs)],
+                ["doc_id", "_key", "digest", "n", "f", "odd", "wide", "least", "lead"])
 
     given = only(docs, "doc_id", "_key", "text")
-    return given.mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, _key string, digest binary, n long, f long, g long, lead array<long>")
+    return given.mapInArrow(
+        run, f"doc_id {dict(given.dtypes)['doc_id']}, _key string, digest binary, n long, f long, odd binary, wide binary, least array<long>, lead array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -122,33 +199,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame
     return links
 
 
-def _apart(nodes: DataFrame, block: int, leads: int | None = None, sift: int = SIFT) -> DataFrame:
+def _apart(nodes: DataFrame, block: int, leads: int | None = None) -> DataFrame:
     """Pairs (a, b) of ids of different parts that share a leading hash and may be similar enough.
 
-    With ``leads`` only that many hashes count, and of each meeting a spanning forest of its parts comes out; without, every
-    pair, so none that is similar gets lost but by SIFT.
+    With ``leads`` only that many smallest hashes count, and of each meeting a spanning forest of its parts comes out; without,
+    every pair, so none that is similar gets lost.
     """
     up, down = SIMILARITY
-    lead = F.col("lead") if leads is None else F.slice("lead", 1, leads)
-    keyed = nodes.select(F.explode(lead).alias("key"), "id", "part", "n", "f", "g")
-    shared = write_once(keyed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high")
-                        .select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "near-keys")
+    lead = F.col("lead") if leads is None else F.slice("least", 1, leads)
+    # Keys, ids and parts move once; all else is looked up for those that meet another part.
+    key = Window.partitionBy("key")
+    met = (nodes.select(F.explode(lead).alias("key"), "id", "part")
+           .select("key", "id", F.min("part").over(key).alias("low"), F.max("part").over(key).alias("high"), F.count("*").over(key).alias("rows"))
+           .where("low <> high").select("key", "id", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
+    met = write_once(met, "near-meets")
+    about = nodes.select("id", "part", "n", "odd").join(met.select("id").distinct(), "id", "left_semi")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = (keyed.join(shared, "key").withColumn("mine", mine).withColumn("other", other)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # For a forest each block of a large meeting is compared with the first one, which goes to all; otherwise each with each.
+    other = F.explode(every if leads is None else F.when(F.col("mine") == 0, every).otherwise(F.array(F.lit(0))))
+    cells = (met.join(about, "id").withColumn("mine", mine).withColumn("other", other)
              .groupBy("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-             .agg(F.collect_list(F.struct("id", "part", "n", "f", "g", "mine")).alias("members")))
+             .agg(F.collect_list(F.struct("id", "part", "n", "mine", "odd")).alias("members")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         def pairs_of(low, high, members) -> Iterator[tuple[int, int]]:
-            ids, part, n, f, g, side = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "n", "f", "g", "mine"))
-            f, g = f.view(np.uint64), g.view(np.uint64)
+            ids, part, n, side = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "n", "mine"))
+            odd = np.frombuffer(b"".join(members.values.field("odd").to_pylist()), np.uint64).reshape(len(ids), -1)
 
             def close(i, js):
                 js = js[(part[js] != part[i]) & (down * np.minimum(n[js], n[i]) >= up * np.maximum(n[js], n[i]))]
-                return js[np.bitwise_count(f[js] ^ f[i]).astype(np.int16) + np.bitwise_count(g[js] ^ g[i]) <= sift]
+                # Of similar sets no more than (down - up) / (down + up) of all elements lie in one only; the sketches' bits are a lower bound of that.
+                return js[(down + up) * np.bitwise_count(odd[js] ^ odd[i]).sum(axis=1, dtype=np.int64) <= (down - up) * (n[js] + n[i])]
 
             if leads is None:
                 left = np.arange(len(ids)) if low == high else np.flatnonzero(side == low)
@@ -190,7 +274,8 @@ def _apart(nodes: DataFrame, block: int, leads: int | None = None, sift: int = S
                         yield handed(out)
         yield handed(out)
 
-    return cells.select("low", "high", "members").mapInArrow(run, "a long, b long").distinct()
+    # The cells hold short sketches, as a set comes to many; the few pairs that they leave meet the whole ones.
+    return _sifted(cells.select("low", "high", "members").mapInArrow(run, "a long, b long").distinct(), nodes)
 
 
 def keep_one(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
@@ -201,9 +286,9 @@ def keep_one(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
     doc_id and text one stays. Texts without words count as equal. Columns _key and twice are reserved.
     """
     keyed = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string")))
-    marked = write_once(_marks(keyed), "near-marks")
+    marked = write_once(_marks(keyed, _frequent(keyed)), "near-marks")
     # Written once: an id must not change between reads.
-    nodes = write_once(marked.groupBy("digest").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in ("n", "f", "g", "lead")])
+    nodes = write_once(marked.groupBy("digest").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in ("n", "f", "odd", "wide", "least", "lead")])
                        .withColumn("id", F.monotonically_increasing_id()), "near-nodes")
 
     heads = write_once(nodes.groupBy("f").agg(F.min("id").alias("head")), "near-heads")
@@ -217,9 +302,9 @@ def keep_one(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
         joined = simhash.components(links)
         return joined.select(F.col("node").alias("id"), F.col("component").alias("part"))
 
-    for leads, sift in (*ROUNDS, (None, SIFT)):
+    for leads in (*ROUNDS, None):
         settled = nodes.join(parts(close), "id", "left").withColumn("part", F.coalesce("part", "id"))
-        close = close.unionByName(_verified(_apart(settled, block, leads, sift), nodes, keyed))
+        close = close.unionByName(_verified(_apart(settled, block, leads), nodes, keyed))
     done = nodes.select("id", "digest").join(parts(close), "id", "left").select("digest", F.coalesce("part", "id").alias("part"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
     # Each digest's best row first, so that a large group of equal texts is not one task.

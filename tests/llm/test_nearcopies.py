@@ -74,3 +74,38 @@ def test_large_groups_give_few_links(spark):
     rows = [(i, edited(base, rng.randrange(3), rng)) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs, block=64).collect()) == kept_by_brute_force(rows)
+
+
+def test_family_below_the_similarity_gives_few_pairs(spark):
+    """Texts edited too much to be links, and one line that all texts share: what is verified grows with the texts, not with their square."""
+    rng = random.Random(11)
+    base, line = [f"w{rng.randrange(5000)}" for _ in range(200)], "a very common line that every one of these many texts holds".split()
+    rows = [(i, " ".join([*edited(base, 8, rng).split(), *line])) for i in range(300)]
+    rows += [(300 + i, " ".join([*(f"v{rng.randrange(10 ** 6)}" for _ in range(60)), *line])) for i in range(100)]
+    rows += [(400 + i, rows[i][1] + " end") for i in range(0, 300, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    verified = nearcopies._verified
+    try:
+        nearcopies._verified = lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1]
+        kept = sorted(r.doc_id for r in nearcopies.keep_one(docs).collect())
+    finally:
+        nearcopies._verified = verified
+    assert kept == kept_by_brute_force(rows) and len(kept) == 400
+    assert sum(seen) < 2 * len(rows), seen
+
+
+def test_sketches_lose_no_link():
+    """The bound from two sketches, of different lengths too, is at most the number of elements in which the sets differ, and close to it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    sets = [pool[a:b] for a, b in ((0, 1), (0, 0), (0, 500), (20, 530), (0, 9000), (500, 9000), (0, 8000), (3000, 12000))]
+    sketches = [nearcopies.parity_sketch(s) for s in sets]
+    for x, of_x in zip(sets, sketches):
+        for y, of_y in zip(sets, sketches):
+            apart, least = len(np.setxor1d(x, y)), nearcopies.least_difference(of_x, of_y)
+            assert least <= apart
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) > 0:
+                assert least >= 0.7 * min(apart, len(x) // 3)
