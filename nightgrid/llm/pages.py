@@ -1,27 +1,31 @@
-"""Main text of web pages: what markup decides, and shingle counting per host for what it leaves open.
-
-Blocks of a page are sorted by their markup into article, boilerplate and open ones. Where a page
-marks its article, that is its text: passages that many articles share stay, and a footer that
-occurs once goes, which repetition alone would both get wrong. The open blocks of the other pages are
-cut into shingles of eight tokens, whose hashes are counted by host: a shingle on pages with different
-content is a repeated run. That is no suffix array: nothing is ordered and no neighbours are compared,
-and where every page marks its article no page comes this far.
+"""Main text of web pages: a host suffix array over the blocks of every page, with markup as evidence.
+
+The blocks of all pages, boilerplate too, are suffixes of one array per host. It is built in parts: a task sorts the
+suffixes of a stretch of its pages to the depth of a run, neighbours that agree so far are one prefix, and the prefixes of
+all stretches are merged by key range. So a run is found on whatever pages of its host it lies, and no host is one task.
+Repetition alone would be wrong both ways: passages that many articles share stay, and a footer that occurs once goes.
+So each run carries the parts of the pages in which it lies, and markup of the page itself is checked last.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightgrid.llm.common import only, slices
+from nightgrid.llm.common import only, open_store, shared_folder, slices
 from nightgrid.session import write_once
 
 #: Tokens a repeated run has at least; a shorter block counts as a whole.
 RUN_TOKENS = 8
+#: Tokens after which a task sorts the stretch of pages it holds, and bytes of html for each key range in the merge.
+STRETCH_TOKENS, RANGE_BYTES = 1_000_000, 16 << 20
 
 # Element names of HTML.
 RAW = frozenset("script style noscript template textarea title svg iframe object".split())
@@ -99,8 +103,8 @@ def _ended(stack: list[tuple[str, int]], tag: str) -> int | None:
     return found
 
 
-def blocks(html: str, scanner: re.Pattern | None = None) -> list[tuple[int, str]]:
-    """(part, text) of every non-empty block in page order; boilerplate is left out.
+def blocks(html: str, scanner: re.Pattern | None = None, boiler: list[tuple[int, str]] | None = None) -> list[tuple[int, str]]:
+    """(part, text) of every non-empty block in page order; boilerplate is left out, and added to ``boiler`` if given.
 
     Character references are decoded, white space in a block becomes one space, comments, scripts and markup go. An end tag
     that HTML lets a page omit is implied by the start tag that follows. What is dropped inside a line does not break it.
@@ -110,7 +114,7 @@ def blocks(html: str, scanner: re.Pattern | None = None) -> list[tuple[int, str]
     scanner = scanner or _scanner()
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    level, pending, at, size = OPEN, [], 0, len(html)
+    level, pending, aside, at, size = OPEN, [], [], 0, len(html)
     part = OPEN  # of the pending text
 
     def flush() -> None:
@@ -120,6 +124,12 @@ def blocks(html: str, scanner: re.Pattern | None = None) -> list[tuple[int, str]
             if text:
                 out.append((part, text))
 
+    def flush_aside() -> None:
+        text = " ".join("".join(aside).split())
+        aside.clear()
+        if text:
+            boiler.append((BOILER, text))
+
     def turn(to: int) -> None:
         nonlocal level
         if to != level and BOILER not in (to, level):
@@ -134,6 +144,8 @@ def blocks(html: str, scanner: re.Pattern | None = None) -> list[tuple[int, str]
                 flush()
             pending.append(unescape(html[at:stop]))
             part = level
+        elif boiler is not None and stop > at:
+            aside.append(unescape(html[at:stop]))
         if not m:
             break
         at = m.end()
@@ -142,8 +154,7 @@ def blocks(html: str, scanner: re.Pattern | None = None) -> list[tuple[int, str]
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag == "br" or tag == "img":
-            if level != BOILER:
-                pending.append(" ")
+            (aside if level == BOILER else pending).append(" ")
             continue
         if not closing and tag in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -151,6 +162,8 @@ def blocks(html: str, scanner: re.Pattern | None = None) -> list[tuple[int, str]
             continue
         if tag not in INLINE:
             flush()
+            if aside and boiler is not None:
+                flush_aside()
         if tag in VOID and tag != "hr":
             continue
         if closing:
@@ -170,20 +183,23 @@ def blocks(html: str, scanner: re.Pattern | None = None) -> list[tuple[int, str]
             if level != BOILER and said is not None:
                 turn(BOILER if said == BOILER else max(level, said))
     flush()
+    if aside and boiler is not None:
+        flush_aside()
     return out
 
 
-def decide(html: str, scanner: re.Pattern | None = None) -> tuple[str | None, list[str]]:
-    """(text, []) where markup tells the article from the rest, else (None, open blocks).
+def leading_part(found: list[tuple[int, str]]) -> int:
+    """The part in which a page's article lies: ``article`` and ``main`` elements (one may hold the other), else elements whose class or id names the content, else what is open."""
+    top = max((p for p, _ in found), default=OPEN)
+    return top if top >= MAIN else OPEN
 
-    The text is what lies in ``article`` and ``main`` elements (one may hold the other), or else in elements whose class or id names the content.
-    """
+
+def decide(html: str, scanner: re.Pattern | None = None) -> tuple[str | None, list[str]]:
+    """What markup says of a page by itself: (text, []) where it tells the article from the rest, else (None, open blocks)."""
     found = blocks(html, scanner)
-    for part in (ARTICLE, MAIN):
-        chosen = [t for p, t in found if p >= part]
-        if chosen:
-            return "\n".join(chosen), []
-    return (None, [t for _, t in found]) if found else ("", [])
+    part = leading_part(found)
+    chosen = [t for p, t in found if p >= part]
+    return (None, chosen) if found and part == OPEN else ("\n".join(chosen), [])
 
 
 def host_of(url: str | None) -> str:
@@ -192,84 +208,251 @@ def host_of(url: str | None) -> str:
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
-def _suffixes(open_pages: DataFrame, run_tokens: int) -> DataFrame:
-    """Every shingle of the open blocks (a shorter block as a whole): host, a hash of the tokens, page content, and where it is."""
+#: What is known of a run: it lies on several pages, it lies in an article or main part.
+SEVERAL, IN_ARTICLE = 1, 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Stretch:
+    """The pages of a stretch, and the sorted suffixes of their blocks.
+
+    A page is two documents, its text and its boilerplate, so that a menu entry is no evidence against a headline of
+    the same words. Tokens of different hosts or kinds are different symbols: no prefix spans two arrays.
+    """
+
+    def __init__(self, run_tokens: int = RUN_TOKENS):
+        self.run_tokens = run_tokens
+        self.rows: list[tuple] = []
+        self.ids: list[int] = []
+        self.lengths: list[int] = []  # of blocks
+        self.parts: list[int] = []
+        self.owners: list[int] = []  # the document of each block
+        self.documents: dict[int, int] = {}  # key to number: equal documents are one
+        numbers = count()
+        self.symbols: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(numbers.__next__))
+
+    def add(self, page_id: int | None, url: str | None, found: list[tuple[int, str]], boiler: list[tuple[int, str]]) -> None:
         from xxhash import xxh64_intdigest
 
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        kinds = [("host", pa.string()), ("run", pa.int64()), ("page", pa.int64()), ("uid", pa.int64()), ("block", pa.int32()), ("at", pa.int32())]
-        for batch in slices(batches, 64):
-            rows: list[list] = [[] for _ in kinds]
-            for row in batch.to_pylist():
-                page = signed(xxh64_intdigest("\n".join(row["open"])))
-                for b, text in enumerate(row["open"]):
-                    tokens = text.split(" ")
-                    for at in range(max(1, len(tokens) - run_tokens + 1)):
-                        part = tokens[at:at + run_tokens]
-                        values = (row["host"], signed(xxh64_intdigest(f"{len(part)} " + " ".join(part))), page, row["uid"], b, at)
-                        for to, value in zip(rows, values):
-                            to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, (_, k) in zip(rows, kinds)], [n for n, _ in kinds])
-
-    return open_pages.select("uid", "host", "open").mapInArrow(run, "host string, run long, page long, uid long, block int, at int")
-
-
-def main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
+        self.rows.append((page_id, url, found, boiler))
+        host, ids = host_of(url), self.ids
+        for kind, own in enumerate((found, boiler)):
+            seed = xxh64_intdigest(f"{kind} {host}")
+            # Pages of one text are one, but a footer under two texts is on two pages.
+            content = found + boiler if kind else found
+            document = self.documents.setdefault(xxh64_intdigest("\n".join([f"{p} {t}" for p, t in content]), seed), len(self.documents))
+            symbol, at = self.symbols[seed].__getitem__, len(ids)
+            for part, text in own:
+                ids.extend(map(symbol, text.split(" ")))
+                self.lengths.append(len(ids) - at)
+                at = len(ids)
+                self.parts.append(part)
+                self.owners.append(document)
+
+    def sort(self) -> None:
+        """Suffix order to the depth of a run, by doubling; neighbours that agree are one prefix, with what is known of it here."""
+        from xxhash import xxh64_intdigest
+
+        n, run = len(self.ids), self.run_tokens
+        self.length = np.array(self.lengths, np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        end = np.repeat(self.first + self.length, self.length)
+        ids = np.array(self.ids, np.int64)
+        place, key, depth = np.arange(n), ids.astype(np.uint64) + np.uint64(1), 1
+        self.ids = []
+        while depth < run:
+            rank = key if depth == 1 else np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+            step = min(depth, run - depth)
+            after = np.zeros(n, np.uint64)  # 0: the block has ended
+            after[:max(0, n - step)] = rank[step:]
+            after[place + step >= end] = 0
+            key = rank << np.uint64(32) | after
+            depth += step
+        # A shorter block is a suffix as a whole; of the others each suffix that is as long as a run.
+        self.windows = np.maximum(1, self.length - run + 1)
+        block = np.repeat(np.arange(len(self.length)), self.windows)
+        at = np.arange(len(block)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows) + self.first[block]
+        order = np.argsort(key[at])
+        ordered = key[at[order]]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
+        owner = np.array(self.owners, np.int64)[block[order]]
+        flags = np.zeros(0, np.uint8)
+        if len(starts):
+            article = np.logical_or.reduceat(np.array(self.parts)[block[order]] >= MAIN, starts)
+            flags = (SEVERAL * (np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)) + IN_ARTICLE * article).astype(np.uint8)
+        # A prefix is known to other stretches by a hash of its tokens.
+        codes = np.zeros(sum(map(len, self.symbols.values())), np.uint64)
+        for seed, symbol in self.symbols.items():
+            codes[np.fromiter(symbol.values(), np.int64, len(symbol))] = np.fromiter(map(xxh64_intdigest, symbol, repeat(seed)), np.uint64, len(symbol))
+        head = at[order[starts]]
+        keys = np.zeros(len(head), np.uint64)
+        coded, last = codes[ids], end[head] - head
+        for j in range(run):
+            keys *= np.uint64(0x9E3779B97F4A7C15)
+            inside = np.flatnonzero(last > j)
+            keys[inside] += coded[head[inside] + j]
+        keys ^= keys >> np.uint64(31)
+        keys *= np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+        prefix = np.empty(len(order), np.int64)
+        prefix[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        # Documents are keys too: how many stretches hold a page tells whether those that hold its runs are more.
+        documents = np.fromiter(self.documents, np.uint64, len(self.documents))
+        self.keys, entry = np.unique(np.concatenate([keys, documents]), return_inverse=True)
+        self.flags = np.zeros(len(self.keys), np.uint8)
+        np.bitwise_or.at(self.flags, entry[:len(keys)], flags)
+        self.entry = entry[prefix]  # of every suffix
+        self.holder = entry[len(keys):][np.array(self.owners, np.int64)] if self.owners else np.zeros(0, np.int64)  # of every block
+        self.name = f"{xxh64_intdigest(self.keys.tobytes()):016x}"
+
+    def repeated(self, flags: np.ndarray, stretches: np.ndarray) -> list[tuple[bool, bool]]:
+        """Of every block: all its tokens lie in runs of several pages; all lie in such runs as no article has.
+
+        A run lies on other pages too if one stretch has it on several, or if more stretches have it than have this page.
+        """
+        block = np.repeat(np.arange(len(self.length)), self.windows)
+        several = (flags[self.entry] & SEVERAL > 0) | (stretches[self.entry] > stretches[self.holder[block]])
+        at = np.arange(len(block)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows) + self.first[block]
+        whole = []
+        for run in (several, several & (flags[self.entry] & IN_ARTICLE == 0)):
+            reach = np.zeros(int(self.length.sum()) + self.run_tokens + 1, np.int64)
+            np.add.at(reach, at[run], 1)
+            np.add.at(reach, np.minimum(at[run] + self.run_tokens, (self.first + self.length)[block[run]]), -1)
+            bare = np.concatenate([[0], np.cumsum(np.cumsum(reach) == 0)])
+            whole.append(bare[self.first + self.length] == bare[self.first])
+        return list(zip(*(w.tolist() for w in whole)))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], run_tokens: int, stretch_tokens: int) -> Iterator[Stretch]:
+    """The rows of a task in stretches of bounded size; where one ends depends on the rows alone."""
+    scanner, stretch = _scanner(), Stretch(run_tokens)
+    for batch in slices(batches):
+        for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            boiler: list[tuple[int, str]] = []
+            stretch.add(page_id, url, blocks(html or "", scanner, boiler), boiler)
+            if len(stretch.ids) >= stretch_tokens:
+                stretch.sort()
+                yield stretch
+                stretch = Stretch(run_tokens)
+    if stretch.rows:
+        stretch.sort()
+        yield stretch
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, most of them small, by planes of bytes."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _host_runs(pages: DataFrame, run_tokens: int, stretch_tokens: int, range_bytes: int) -> str:
+    """Merge the sorted prefixes of all stretches by key range; the folder in which each stretch finds what all know of its own."""
+    ranges = max(pages.sparkSession.sparkContext.defaultParallelism,
+                 -(-(pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // range_bytes))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _stretches(batches, run_tokens, stretch_tokens):
+            # Sorted keys go as differences: the lower halves as they are, the upper ones are small.
+            bounds = np.searchsorted((s.keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+            rows: list[tuple] = []
+            for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+                if hi > lo:
+                    steps = np.diff(s.keys[lo:hi], prepend=np.uint64(0))
+                    rows.append((b, s.name, int(hi - lo), steps.astype("<u4").tobytes(), _packed(steps >> np.uint64(32)), _packed(s.flags[lo:hi])))
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            for at in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + 64]), kinds)],
+                                                 ["range", "stretch", "n", "low", "high", "flags"])
+
+    def merge(part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        keys = np.concatenate([np.cumsum(np.frombuffer(r["low"], "<u4").astype(np.uint64) + (_unpacked(r["high"], r["n"]).astype(np.uint64) << np.uint64(32)),
+                                         dtype=np.uint64) for r in rows])
+        flags = np.concatenate([_unpacked(r["flags"], r["n"]).astype(np.uint8) for r in rows])
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        held = np.diff(np.append(starts, len(keys)))
+        known, stretches = np.empty(len(keys), np.uint8), np.empty(len(keys), np.uint32)
+        known[order] = np.repeat(np.bitwise_or.reduceat(flags[order], starts), held)
+        stretches[order] = np.repeat(held, held)
+        ends = np.cumsum([r["n"] for r in rows])
+        return pa.table({"stretch": pa.array([r["stretch"] for r in rows], pa.string()), "range": pa.array([r["range"] for r in rows], pa.int32()),
+                         "n": pa.array([r["n"] for r in rows], pa.int32()),
+                         "flags": pa.array([_packed(known[e - r["n"]:e]) for e, r in zip(ends, rows)], pa.binary()),
+                         "stretches": pa.array([_packed(stretches[e - r["n"]:e]) for e, r in zip(ends, rows)], pa.binary())})
+
+    folder = shared_folder(pages.sparkSession, "host-runs")
+    (pages.mapInArrow(send, "range int, stretch string, n int, low binary, high binary, flags binary").repartitionById(ranges, "range")
+     .groupBy("range").applyInArrow(merge, "stretch string, range int, n int, flags binary, stretches binary")
+     .repartition("stretch").write.partitionBy("stretch").parquet(folder))
+    return folder
+
+
+def _known(folder: str, stretch: Stretch) -> tuple[np.ndarray, np.ndarray]:
+    """What all stretches know of the keys of one, in the order of its keys."""
+    import pyarrow.parquet as pq
+
+    if not len(stretch.keys):
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+    store, path = open_store(f"{folder}/stretch={stretch.name}")
+    try:
+        found = pq.read_table(path, filesystem=store, partitioning=None).to_pylist()
+    except FileNotFoundError as missing:
+        raise RuntimeError("The two reads of the pages differ in order: give a table of files, or leave stable out") from missing
+    parts = {r["range"]: r for r in found}  # equal stretches have equal answers
+    parts = [parts[b] for b in sorted(parts)]
+    return (np.concatenate([_unpacked(r["flags"], r["n"]).astype(np.uint8) for r in parts]),
+            np.concatenate([_unpacked(r["stretches"], r["n"]) for r in parts]))
+
+
+def main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS, evidence: bool = False, stable: bool = False,
+              stretch_tokens: int = STRETCH_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html).
 
-    Where markup names an article (or else a main part), its blocks outside menus, headers,
-    footers, sidebars, notices, adverts, forms and comments are the text, joined by a line
-    feed. On other pages each block not so marked stays unless all its tokens lie in runs of ``run_tokens`` tokens or
-    more (the whole block if it is shorter) that occur on pages of the same host with other content. Null or empty
-    html gives an empty text; pages without url form one host; equal pages count as one. Repeated rows stay.
-    An empty table gives no rows. Other columns are not read.
+    All blocks of all pages go through the suffix arrays of their hosts. A block outside menus, headers, footers, sidebars,
+    notices, adverts, forms and comments is repeated if all its tokens lie in runs of ``run_tokens`` tokens or more (the
+    whole block if it is shorter) that occur on pages of the same host with other content, and in no article or main part
+    there. The text is the blocks that are not repeated, joined by a line feed; where markup of the page names an article
+    (or else a main part), of these only its blocks. Null or empty html gives an empty text; pages without url form one
+    host; equal pages count as one. Repeated rows stay. An empty table gives no rows. Other columns are not read.
+
+    ``evidence`` adds counts of blocks: ``shared`` of the text that lie on several pages, ``repeated`` left out by runs,
+    ``boiler_repeated`` and ``boiler_single`` left out by markup that lie on several pages or not. The pages are read twice and
+    must come in the same order: they are written first unless ``stable`` says that they are a table of files.
     """
+    spark = pages.sparkSession
+    # The splits of the two reads must not follow executors that come or go in between.
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    read = only(pages, "page_id", "url", "html")
+    if not stable:
+        read = write_once(read, "pages")
+    folder = _host_runs(read, run_tokens, stretch_tokens, range_bytes)
+    counts = ["shared", "repeated", "boiler_repeated", "boiler_single"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        scanner, uid = _scanner(), TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
-            urls = batch.column("url").to_pylist()
-            found = [decide(h or "", scanner) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(uid, uid + len(urls)), pa.int64()), batch.column("page_id").cast(pa.int64()), pa.array(urls, pa.string()),
-                 pa.array([host_of(u) for u in urls], pa.string()), pa.array([t for t, _ in found], pa.string()),
-                 pa.array([o for _, o in found], pa.list_(pa.string()))], ["uid", "page_id", "url", "host", "text", "open"])
-            uid += len(urls)
-
-    # Written once: the open pages are read twice, and a row's uid must not change between the reads.
-    parsed = write_once(only(pages, "page_id", "url", "html").mapInArrow(
-        run, "uid long, page_id long, url string, host string, text string, open array<string>"), "page-blocks")
-    undecided = parsed.where("text is null")
-    suffixes = _suffixes(undecided, run_tokens)
-    repeated = (suffixes.groupBy("host", "run").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-                .where("first <> last").select("host", "run"))
-    covered = (suffixes.join(repeated, ["host", "run"], "left_semi")
-               .groupBy("uid").agg(F.collect_list(F.struct("block", "at")).alias("runs")))
-
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            texts = []
-            for row in batch.to_pylist():
-                starts: dict[int, list[int]] = {}
-                for r in row["runs"] or []:
-                    starts.setdefault(r["block"], []).append(r["at"])
-                kept = []
-                for b, text in enumerate(row["open"]):
-                    reach, tokens = 0, text.count(" ") + 1
-                    for at in sorted(starts.get(b, [])):
-                        if at > reach:
-                            break
-                        reach = at + run_tokens
-                    if reach < tokens:
-                        kept.append(text)
-                texts.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    rest = (undecided.join(covered, "uid", "left").select("page_id", "url", "open", "runs")
-            .mapInArrow(unique, "page_id long, url string, text string"))
-    return (parsed.where("text is not null").select("page_id", "url", "text").unionByName(rest)
-            .withColumn("n_chars", F.length("text").cast("long")))
+        for s in _stretches(batches, run_tokens, stretch_tokens):
+            verdicts = iter(s.repeated(*_known(folder, s)))
+            out: list[tuple] = []
+            for page_id, url, found, boiler in s.rows:
+                part, kept, shared, repeated = leading_part(found), [], 0, 0
+                for p, text in found:
+                    several, no_article = next(verdicts)
+                    if p >= part:
+                        if no_article:
+                            repeated += 1
+                        else:
+                            kept.append(text)
+                            shared += several
+                several = sum(next(verdicts)[0] for _ in boiler)
+                out.append((page_id, url, "\n".join(kept), shared, repeated, several, len(boiler) - several))
+            kinds = [pa.int64(), pa.string(), pa.string()] + [pa.int64()] * len(counts)
+            for at in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at:at + 256]), kinds)], ["page_id", "url", "text", *counts])
+
+    texts = read.mapInArrow(run, "page_id long, url string, text string, " + ", ".join(f"{c} long" for c in counts))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), *(counts if evidence else []))

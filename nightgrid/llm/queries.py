@@ -54,7 +54,7 @@ def op3(spark, folder):
 @query("op9_host_text")
 def op9(spark, folder):
     """Main text of every page."""
-    return pages.main_text(table(spark, folder, "pages"))
+    return pages.main_text(table(spark, folder, "pages"), evidence=True, stable=True)
 
 
 TOP_K_SQL = """
