@@ -10,12 +10,11 @@ So each run carries the parts of the pages in which it lies, and markup of the p
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +56,50 @@ NOT_NAMES = frozenset("has with no is without".split())
 BOILER, OPEN, MAIN, ARTICLE = range(4)
 
 
-def _scanner() -> re.Pattern:
-    return re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+#: Spellings of tags a scanner keeps, and the characters of each at most.
+KEPT_TAGS, KEPT_CHARS = 4096, 64
+
+
+class Scanner:
+    """The next markup of a page, with what a tag means: (tag, closing, closes itself, what it says of its content).
+
+    Few spellings make up most tags, so their meaning is kept. Only a tag whose quotes close before its first ``>`` is:
+    where that spelling comes again, it is the whole tag, whatever follows.
+    """
+
+    def __init__(self):
+        self.pattern = re.compile(
+            r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+        self.ends = {tag: re.compile(rf"</{re.escape(tag)}\s*>", re.I) for tag in RAW}
+        self.kept: dict[str, tuple[str, bool, bool, int | None]] = {}
+
+    def next(self, html: str, at: int) -> tuple[int, int, tuple[str, bool, bool, int | None] | None] | None:
+        """(start, end, meaning) of the first markup from a place on; no meaning: not a tag. None if there is no markup."""
+        while (start := html.find("<", at)) >= 0:
+            end = html.find(">", start, start + KEPT_CHARS) + 1
+            meaning = self.kept.get(html[start:end])
+            if meaning:
+                return start, end, meaning
+            m = self.pattern.match(html, start)
+            if m:
+                tag = (m[2] or m[5] or "").lower()
+                if not tag:
+                    return start, m.end(), None
+                closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+                closed = attributes.endswith("/")
+                meaning = tag, closing, closed, None if closing or closed or tag in RAW or tag in VOID else part_of(tag, attributes)
+                if m[2] and m.end() == end:
+                    if len(self.kept) >= KEPT_TAGS:
+                        self.kept.clear()
+                    self.kept[m[0]] = meaning
+                return start, m.end(), meaning
+            at = start + 1
+        return None
 
 
 _ATTRIBUTE = r"""([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?"""
+#: Without one of these no attribute says anything.
+_SAYING = r"(?i:class|id|role|hidden|style|itemprop)"
 
 
 def part_of(tag: str, attributes: str) -> int | None:
@@ -72,7 +110,7 @@ def part_of(tag: str, attributes: str) -> int | None:
     if tag in DROPPED:
         return BOILER
     level = ARTICLE if tag in ("article", "main") else None
-    if attributes.strip(" /"):
+    if attributes and re.search(_SAYING, attributes):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in re.finditer(_ATTRIBUTE, attributes)}
         role = found.get("role", "").lower()
         if role in DROPPED_ROLES or "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")):
@@ -91,10 +129,13 @@ def part_of(tag: str, attributes: str) -> int | None:
     return level
 
 
+_ENDED = {tag: ((IMPLIED[tag],) if tag in IMPLIED else ()) + ((_P,) if tag in ENDS_P else ()) for tag in ENDS_P | set(IMPLIED)}
+
+
 def _ended(stack: list[tuple[str, int]], tag: str) -> int | None:
     """Place of the outermost open element whose end tag is implied by a start tag; None if there is none."""
     found = None
-    for ends, inside in ((IMPLIED[tag],) if tag in IMPLIED else ()) + ((_P,) if tag in ENDS_P else ()):
+    for ends, inside in _ENDED.get(tag, ()):
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in ends:
                 found = i if found is None else min(i, found)
@@ -103,7 +144,7 @@ def _ended(stack: list[tuple[str, int]], tag: str) -> int | None:
     return found
 
 
-def blocks(html: str, scanner: re.Pattern | None = None, boiler: list[tuple[int, str]] | None = None) -> list[tuple[int, str]]:
+def blocks(html: str, scanner: Scanner | None = None, boiler: list[tuple[int, str]] | None = None) -> list[tuple[int, str]]:
     """(part, text) of every non-empty block in page order; boilerplate is left out, and added to ``boiler`` if given.
 
     Character references are decoded, white space in a block becomes one space, comments, scripts and markup go. An end tag
@@ -111,58 +152,61 @@ def blocks(html: str, scanner: re.Pattern | None = None, boiler: list[tuple[int,
     """
     from html import unescape
 
-    scanner = scanner or _scanner()
+    scanner = scanner or Scanner()
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
     level, pending, aside, at, size = OPEN, [], [], 0, len(html)
     part = OPEN  # of the pending text
 
     def flush() -> None:
-        if pending:
-            text = " ".join("".join(pending).split())
-            pending.clear()
-            if text:
-                out.append((part, text))
+        text = " ".join("".join(pending).split())
+        pending.clear()
+        if text:
+            out.append((part, text))
 
     def flush_aside() -> None:
         text = " ".join("".join(aside).split())
         aside.clear()
-        if text:
+        if text and boiler is not None:
             boiler.append((BOILER, text))
 
     def turn(to: int) -> None:
         nonlocal level
-        if to != level and BOILER not in (to, level):
+        if pending and to != level and BOILER not in (to, level):
             flush()
         level = to
 
     while at < size:
-        m = scanner.search(html, at)
-        stop = m.start() if m else size
-        if level != BOILER and stop > at:
-            if part != level:  # a dropped element lay between
-                flush()
-            pending.append(unescape(html[at:stop]))
-            part = level
-        elif boiler is not None and stop > at:
-            aside.append(unescape(html[at:stop]))
-        if not m:
+        markup = scanner.next(html, at)
+        stop = markup[0] if markup else size
+        if stop > at:
+            text = html[at:stop]
+            if "&" in text:
+                text = unescape(text)
+            if level != BOILER:
+                if pending and part != level:  # a dropped element lay between
+                    flush()
+                pending.append(text)
+                part = level
+            elif boiler is not None:
+                aside.append(text)
+        if not markup:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        _, at, meaning = markup
+        if not meaning:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        tag, closing, closed, said = meaning
         if tag == "br" or tag == "img":
             (aside if level == BOILER else pending).append(" ")
             continue
-        if not closing and tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+        if not closing and tag in RAW and not closed:
+            end = scanner.ends[tag].search(html, at)
             at = end.end() if end else size
             continue
         if tag not in INLINE:
-            flush()
-            if aside and boiler is not None:
+            if pending:
+                flush()
+            if aside:
                 flush_aside()
         if tag in VOID and tag != "hr":
             continue
@@ -177,13 +221,13 @@ def blocks(html: str, scanner: re.Pattern | None = None, boiler: list[tuple[int,
         if ended is not None:
             turn(stack[ended][1])
             del stack[ended:]
-        if tag != "hr" and not attributes.endswith("/"):
+        if tag != "hr" and not closed:
             stack.append((tag, level))
-            said = part_of(tag, attributes)
             if level != BOILER and said is not None:
                 turn(BOILER if said == BOILER else max(level, said))
-    flush()
-    if aside and boiler is not None:
+    if pending:
+        flush()
+    if aside:
         flush_aside()
     return out
 
@@ -194,7 +238,7 @@ def leading_part(found: list[tuple[int, str]]) -> int:
     return top if top >= MAIN else OPEN
 
 
-def decide(html: str, scanner: re.Pattern | None = None) -> tuple[str | None, list[str]]:
+def decide(html: str, scanner: Scanner | None = None) -> tuple[str | None, list[str]]:
     """What markup says of a page by itself: (text, []) where it tells the article from the rest, else (None, open blocks)."""
     found = blocks(html, scanner)
     part = leading_part(found)
@@ -212,8 +256,16 @@ def host_of(url: str | None) -> str:
 SEVERAL, IN_ARTICLE = 1, 2
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers with every bit spread over all; different ones stay different."""
+    values = values ^ (values >> np.uint64(31))
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(29)
+    return values
+
+
 class Stretch:
-    """The pages of a stretch, and the sorted suffixes of their blocks.
+    """The pages of a stretch, and the suffixes of their blocks.
 
     A page is two documents, its text and its boilerplate, so that a menu entry is no evidence against a headline of
     the same words. Tokens of different hosts or kinds are different symbols: no prefix spans two arrays.
@@ -222,98 +274,125 @@ class Stretch:
     def __init__(self, run_tokens: int = RUN_TOKENS):
         self.run_tokens = run_tokens
         self.rows: list[tuple] = []
-        self.ids: list[int] = []
-        self.lengths: list[int] = []  # of blocks
+        self.texts: list[str] = []  # of blocks
+        self.tokens = 0
         self.parts: list[int] = []
         self.owners: list[int] = []  # the document of each block
+        self.places: list[int] = []  # the array of each block
         self.documents: dict[int, int] = {}  # key to number: equal documents are one
-        numbers = count()
-        self.symbols: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(numbers.__next__))
+        self.arrays: dict[int, int] = {}  # seed to number: an array is a host's pages of one kind
 
     def add(self, page_id: int | None, url: str | None, found: list[tuple[int, str]], boiler: list[tuple[int, str]]) -> None:
         from xxhash import xxh64_intdigest
 
         self.rows.append((page_id, url, found, boiler))
-        host, ids = host_of(url), self.ids
+        host, seen = host_of(url), 0
         for kind, own in enumerate((found, boiler)):
             seed = xxh64_intdigest(f"{kind} {host}")
+            parts, texts = [p for p, _ in own], [t for _, t in own]
             # Pages of one text are one, but a footer under two texts is on two pages.
-            content = found + boiler if kind else found
-            document = self.documents.setdefault(xxh64_intdigest("\n".join([f"{p} {t}" for p, t in content]), seed), len(self.documents))
-            symbol, at = self.symbols[seed].__getitem__, len(ids)
-            for part, text in own:
-                ids.extend(map(symbol, text.split(" ")))
-                self.lengths.append(len(ids) - at)
-                at = len(ids)
-                self.parts.append(part)
-                self.owners.append(document)
-
-    def sort(self) -> None:
-        """Suffix order to the depth of a run, by doubling; neighbours that agree are one prefix, with what is known of it here."""
+            seen = xxh64_intdigest("\n".join([str(parts), *texts]), seed ^ seen)
+            document = self.documents.setdefault(seen, len(self.documents))
+            self.texts += texts
+            self.parts += parts
+            self.owners += [document] * len(own)
+            self.places += [self.arrays.setdefault(seed, len(self.arrays))] * len(own)
+            self.tokens += sum([t.count(" ") for t in texts]) + len(texts)
+
+    def close(self) -> None:
+        """The words of all blocks, and of every suffix the hash of its prefix, by which other stretches know it."""
         from xxhash import xxh64_intdigest
 
-        n, run = len(self.ids), self.run_tokens
-        self.length = np.array(self.lengths, np.int64)
+        run = self.run_tokens
+        split = pc.split_pattern(pa.array(self.texts, pa.large_string()), " ")
+        self.length = pc.list_value_length(split).to_numpy().astype(np.int64)
         self.first = np.cumsum(self.length) - self.length
-        end = np.repeat(self.first + self.length, self.length)
-        ids = np.array(self.ids, np.int64)
-        place, key, depth = np.arange(n), ids.astype(np.uint64) + np.uint64(1), 1
-        self.ids = []
-        while depth < run:
-            rank = key if depth == 1 else np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-            step = min(depth, run - depth)
-            after = np.zeros(n, np.uint64)  # 0: the block has ended
-            after[:max(0, n - step)] = rank[step:]
-            after[place + step >= end] = 0
-            key = rank << np.uint64(32) | after
-            depth += step
+        words = split.flatten().dictionary_encode()
+        self.words, spelled = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+        hashes = _mixed(np.fromiter(map(xxh64_intdigest, spelled), np.uint64, len(spelled)))
+        places = np.fromiter(self.arrays, np.uint64, len(self.arrays))[np.array(self.places, np.int64)]
+        codes = _mixed(hashes[self.words] ^ np.repeat(places, self.length))
+        self.texts = []
         # A shorter block is a suffix as a whole; of the others each suffix that is as long as a run.
         self.windows = np.maximum(1, self.length - run + 1)
-        block = np.repeat(np.arange(len(self.length)), self.windows)
-        at = np.arange(len(block)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows) + self.first[block]
-        order = np.argsort(key[at])
-        ordered = key[at[order]]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
-        owner = np.array(self.owners, np.int64)[block[order]]
+        self.block = np.repeat(np.arange(len(self.length)), self.windows)
+        self.at = np.arange(len(self.block)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows) + self.first[self.block]
+        step, n = np.uint64(0x9E3779B97F4A7C15), len(codes)
+        codes = np.concatenate([codes, np.zeros(run, np.uint64)])
+        prefix = np.zeros(n, np.uint64)
+        for j in range(run):
+            prefix *= step
+            prefix += codes[j:j + n]
+        short = np.flatnonzero(self.length < run)
+        first, length, whole = self.first[short], self.length[short], np.zeros(len(short), np.uint64)
+        for j in range(run):
+            whole *= step
+            whole += np.where(length > j, codes[first + j], np.uint64(0))
+        prefix[first] = whole
+        self.prefix = _mixed(prefix[self.at])
+
+    def _named(self, prefixes: np.ndarray) -> np.ndarray:
+        """Sets the keys of the stretch, in order, and returns the place of each prefix and then of each document.
+
+        Documents are keys too: how many stretches hold a page tells whether those that hold its runs are more.
+        """
+        from xxhash import xxh64_intdigest
+
+        self.keys, entry = np.unique(np.concatenate([prefixes, np.fromiter(self.documents, np.uint64, len(self.documents))]), return_inverse=True)
+        self.name = f"{xxh64_intdigest(self.keys.tobytes()):016x}"
+        return entry
+
+    def sort(self) -> None:
+        """Suffix order to the depth of a run; neighbours that agree so far are one prefix, with what is known of it here."""
+        n, run, depth = len(self.words), self.run_tokens, 1
+        end = np.repeat(self.first + self.length, self.length)
+        symbols = pa.array(np.repeat(np.array(self.places, np.int64) << 32, self.length) | self.words).dictionary_encode().indices
+        place, rank = np.arange(n), symbols.to_numpy().astype(np.uint64) + np.uint64(1)
+        key = rank
+        while n and depth < run:
+            # As many ranks as a key holds, two or more; their order gives the ranks of longer prefixes.
+            bits, ahead = int(rank.max()).bit_length(), 0
+            key = rank
+            for _ in range(64 // bits - 1):
+                step = min(ahead + depth, run - depth)
+                if step == ahead:
+                    break
+                after = np.zeros(n, np.uint64)  # 0: the block has ended
+                after[:max(0, n - step)] = rank[step:]
+                after[place + step >= end] = 0
+                key, ahead = key << np.uint64(bits) | after, step
+            depth += ahead
+            if depth < run:
+                rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        key = key[self.at]
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(order) else np.zeros(0, np.int64)
         flags = np.zeros(0, np.uint8)
         if len(starts):
-            article = np.logical_or.reduceat(np.array(self.parts)[block[order]] >= MAIN, starts)
+            block = self.block[order]
+            owner = np.array(self.owners, np.int64)[block]
+            article = np.logical_or.reduceat((np.array(self.parts) >= MAIN)[block], starts)
             flags = (SEVERAL * (np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)) + IN_ARTICLE * article).astype(np.uint8)
-        # A prefix is known to other stretches by a hash of its tokens.
-        codes = np.zeros(sum(map(len, self.symbols.values())), np.uint64)
-        for seed, symbol in self.symbols.items():
-            codes[np.fromiter(symbol.values(), np.int64, len(symbol))] = np.fromiter(map(xxh64_intdigest, symbol, repeat(seed)), np.uint64, len(symbol))
-        head = at[order[starts]]
-        keys = np.zeros(len(head), np.uint64)
-        coded, last = codes[ids], end[head] - head
-        for j in range(run):
-            keys *= np.uint64(0x9E3779B97F4A7C15)
-            inside = np.flatnonzero(last > j)
-            keys[inside] += coded[head[inside] + j]
-        keys ^= keys >> np.uint64(31)
-        keys *= np.uint64(0xBF58476D1CE4E5B9)
-        keys ^= keys >> np.uint64(29)
-        prefix = np.empty(len(order), np.int64)
-        prefix[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-        # Documents are keys too: how many stretches hold a page tells whether those that hold its runs are more.
-        documents = np.fromiter(self.documents, np.uint64, len(self.documents))
-        self.keys, entry = np.unique(np.concatenate([keys, documents]), return_inverse=True)
+        entry = self._named(self.prefix[order[starts]])
         self.flags = np.zeros(len(self.keys), np.uint8)
-        np.bitwise_or.at(self.flags, entry[:len(keys)], flags)
-        self.entry = entry[prefix]  # of every suffix
-        self.holder = entry[len(keys):][np.array(self.owners, np.int64)] if self.owners else np.zeros(0, np.int64)  # of every block
-        self.name = f"{xxh64_intdigest(self.keys.tobytes()):016x}"
+        np.bitwise_or.at(self.flags, entry[:len(starts)], flags)
+
+    def find(self) -> None:
+        """The places of suffixes and pages among the sorted keys, where the array was built and merged before."""
+        entry = self._named(self.prefix)
+        self.entry = entry[:len(self.prefix)]  # of every suffix
+        self.holder = entry[len(self.prefix):][np.array(self.owners, np.int64)]  # of every block
 
     def repeated(self, flags: np.ndarray, stretches: np.ndarray) -> list[tuple[bool, bool]]:
         """Of every block: all its tokens lie in runs of several pages; all lie in such runs as no article has.
 
         A run lies on other pages too if one stretch has it on several, or if more stretches have it than have this page.
         """
-        block = np.repeat(np.arange(len(self.length)), self.windows)
-        several = (flags[self.entry] & SEVERAL > 0) | (stretches[self.entry] > stretches[self.holder[block]])
-        at = np.arange(len(block)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows) + self.first[block]
+        block, at, known = self.block, self.at, flags[self.entry]
+        several = (known & SEVERAL > 0) | (stretches[self.entry] > stretches[self.holder][block])
         whole = []
-        for run in (several, several & (flags[self.entry] & IN_ARTICLE == 0)):
+        for run in (several, several & (known & IN_ARTICLE == 0)):
             reach = np.zeros(int(self.length.sum()) + self.run_tokens + 1, np.int64)
             np.add.at(reach, at[run], 1)
             np.add.at(reach, np.minimum(at[run] + self.run_tokens, (self.first + self.length)[block[run]]), -1)
@@ -324,17 +403,17 @@ class Stretch:
 
 def _stretches(batches: Iterator[pa.RecordBatch], run_tokens: int, stretch_tokens: int) -> Iterator[Stretch]:
     """The rows of a task in stretches of bounded size; where one ends depends on the rows alone."""
-    scanner, stretch = _scanner(), Stretch(run_tokens)
+    scanner, stretch = Scanner(), Stretch(run_tokens)
     for batch in slices(batches):
         for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
             boiler: list[tuple[int, str]] = []
             stretch.add(page_id, url, blocks(html or "", scanner, boiler), boiler)
-            if len(stretch.ids) >= stretch_tokens:
-                stretch.sort()
+            if stretch.tokens >= stretch_tokens:
+                stretch.close()
                 yield stretch
                 stretch = Stretch(run_tokens)
     if stretch.rows:
-        stretch.sort()
+        stretch.close()
         yield stretch
 
 
@@ -355,6 +434,7 @@ def _host_runs(pages: DataFrame, run_tokens: int, stretch_tokens: int, range_byt
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _stretches(batches, run_tokens, stretch_tokens):
+            s.sort()
             # Sorted keys go as differences: the lower halves as they are, the upper ones are small.
             bounds = np.searchsorted((s.keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
             rows: list[tuple] = []
@@ -436,6 +516,7 @@ def main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS, evidence: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _stretches(batches, run_tokens, stretch_tokens):
+            s.find()
             verdicts = iter(s.repeated(*_known(folder, s)))
             out: list[tuple] = []
             for page_id, url, found, boiler in s.rows:

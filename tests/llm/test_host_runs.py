@@ -85,3 +85,36 @@ def test_given_pages_go_through_the_arrays(spark, data_dir):
     got = {r.page_id: (r.text, r.shared, r.repeated, r.boiler_repeated, r.boiler_single) for r in driver.queries()["op9_host_text"](spark, data_dir).collect()}
     assert got == {r[0]: w for r, w in zip(rows, brute(rows, pages.RUN_TOKENS))}
     assert sum(w[3] + w[4] for w in got.values())
+
+
+@pytest.mark.parametrize("run, words", [(1, 3), (3, 3), (8, 2), (8, 70_000), (20, 70_000)])
+def test_the_sorted_array_and_its_second_read_agree(run, words):
+    rng = random.Random(run)
+    # So many words that a key does not hold a whole run, and passages that come again at its start, inside it and at its end.
+    word = lambda: f"w{rng.randrange(words)}"
+    again = [" ".join(word() for _ in range(n)) for n in (1, 5, 9, 30)]
+    block = lambda: " ".join(rng.choice([word, word, lambda: rng.choice(again)])() for _ in range(rng.randrange(1, 200)))
+    stretch, seen = pages.Stretch(run), defaultdict(set)
+    known, article = {}, set()
+    for i in range(600):
+        host = rng.choice("xy")
+        found, boiler = [(rng.choice([pages.OPEN, pages.ARTICLE]), block()) for _ in range(rng.randrange(3))], [(pages.BOILER, block()) for _ in range(rng.randrange(2))]
+        stretch.add(i, f"http://{host}/{i}", found, boiler)
+        for kind, own in enumerate((found, boiler)):
+            for part, text in own:
+                tokens = text.split(" ")
+                for at in range(max(1, len(tokens) - run + 1)):
+                    prefix = host, kind, tuple(tokens[at:at + run])
+                    seen[prefix].add(i)
+                    if part >= pages.MAIN:
+                        article.add(prefix)
+                    known.setdefault(len(known), prefix)
+    stretch.close()
+    stretch.sort()
+    keys, flags, name = stretch.keys, stretch.flags, stretch.name
+    stretch.find()
+    assert stretch.name == name and (stretch.keys == keys).all() and len(stretch.entry) == len(known)
+    assert len(set(stretch.entry.tolist())) == len(seen)
+    want = [pages.SEVERAL * (len(seen[p]) > 1) + pages.IN_ARTICLE * (p in article) for p in known.values()]
+    assert flags[stretch.entry].tolist() == want
+    assert len(set(zip(stretch.entry.tolist(), known.values()))) == len(seen)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 import pytest
 
 from nightgrid.llm import pages
@@ -36,3 +39,28 @@ def test_omitted_end_tags_equal_written_ones():
     for tag in ("</li>", "</p>", "</td>", "</tr>"):
         full_without = full.replace(tag, "")
         assert pages.decide(full_without) == pages.decide(full)
+
+
+def test_a_spelling_is_read_once(monkeypatch):
+    html = '<nav class="menu"><ul><li><a href="/a">a</a></ul></nav><article><h1 id=t>T</h1><p>x<p>y<p>z</article><footer>f</footer>'
+    read, part_of = [], pages.part_of
+    monkeypatch.setattr(pages, "part_of", lambda tag, attributes: read.append(tag) or part_of(tag, attributes))
+    stretches = pages._stretches(iter([pa.RecordBatch.from_pydict({"page_id": range(50), "url": ["http://h"] * 50, "html": [html] * 50})]), 8, 10**6)
+    rows = [r for s in stretches for r in s.rows]
+    assert [r[2] for r in rows] == [[(pages.ARTICLE, t) for t in "Txyz"]] * 50 and [[t for _, t in r[3]] for r in rows] == [["a", "f"]] * 50
+    assert sorted(read) == sorted(["nav", "ul", "li", "a", "article", "h1", "p", "footer"])
+
+
+def test_kept_spellings_change_no_page(monkeypatch):
+    monkeypatch.setattr(pages, "KEPT_TAGS", 20)
+    rng = random.Random(9)
+    pieces = ["<", ">", "<p>", "</p>", '<p class="ad">', "<p class='ad' >", '<p title="a', '">', "'", "x y", "&amp;", "<!--", "-->", "<!-- c -->", "<br/>", "<b hidden>", "</b>", "<li>",
+              "<div id=menu>", "</div>", "<DIV>", "<article>", "</article>", "<script>", "</script >", "<svg/>", "<a href=/x>", "</a", "<p\n>", "<!doctype x>", "</ >", "<p/>", "<hr class=ad>",
+              "<p data-a='>' class=ad>", f"<p title='{'t' * pages.KEPT_CHARS}'>", "<"]
+    kept = pages.Scanner()
+    for _ in range(4000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        got, want = [], []
+        assert (pages.blocks(html, kept, got), got) == (pages.blocks(html, pages.Scanner(), want), want), html
+        assert pages.blocks(html, kept) == pages.blocks(html), html
+    assert 0 < len(kept.kept) <= 20
