@@ -147,11 +147,12 @@ def check_ranges(nodes: DataFrame, wanted: DataFrame, trusted: DataFrame | None
             .withColumn("intact", F.coalesce((F.col("at") >= 0) & (F.col("size") > 0) & ends & F.col("_intact"), F.lit(False))).drop("_bytes", "_intact"))
 
 
-def group_ranges(files: DataFrame, within: dict[str, tuple]) -> DataFrame:
+def group_ranges(files: DataFrame, within: dict[str, tuple] | None) -> DataFrame:
     """Byte ranges (path, at, size) of Parquet files that may hold rows with each named column in its closed interval.
 
-    These are the row groups whose stored bounds meet the intervals, and the footers of their files; only footers are
-    read, so nothing unchecked is decoded. A footer that cannot be read gives a range that no file has (-1).
+    These are the row groups whose stored bounds meet the intervals, and the footers of their files, or of every file
+    only the footer if ``within`` is None; only footers are read, so nothing unchecked is decoded. A footer that cannot
+    be read gives a range that no file has (-1).
     """
 
     def meets(group, places) -> bool:
@@ -176,6 +177,8 @@ def group_ranges(files: DataFrame, within: dict[str, tuple]) -> DataFrame:
         groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
         # Row groups lie one behind the other: each reaches to where the next begins.
         edges = [*(min(first(group.column(c)) for c in range(group.num_columns)) for group in groups), end]
+        if within is None:
+            return [(end, length)]
         chosen = [(at, stop - at) for group, at, stop in zip(groups, edges, edges[1:]) if meets(group, places)]
         return [*chosen, (end, length)] if chosen else []
 

@@ -141,13 +141,13 @@ def visible(spark: SparkSession, root: str, name: str) -> DataFrame:
     return passed.groupBy("shard_id").agg(F.min_by(F.struct("run_id", "epochs", "digest"), "run_id").alias("_c")).select("shard_id", "_c.*")
 
 
-def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All rows of an artifact with run_id and shard_id as the text they are, leading zeros and all."""
-    files = spark.read.option("basePath", f"{root}/{name}")
-    found = files.parquet(f"{root}/{name}").schema
+def _stored(spark: SparkSession, root: str, name: str, *paths: str) -> DataFrame:
+    """All rows of an artifact, or of some of its files, with run_id and shard_id as the text they are, leading zeros and all."""
+    files, paths = spark.read.option("basePath", f"{root}/{name}"), paths or (f"{root}/{name}",)
+    found = files.parquet(*paths).schema
     keys = ("run_id", "shard_id")
     schema = StructType([StructField(f.name, StringType()) if f.name in keys else f for f in found])
-    return files.schema(schema).parquet(f"{root}/{name}")
+    return files.schema(schema).parquet(*paths)
 
 
 def damaged_shards(spark: SparkSession, root: str, name: str, digest_columns: Sequence[str] | None = None) -> DataFrame:
@@ -218,6 +218,19 @@ def trees(spark: SparkSession, root: str, name: str) -> DataFrame | None:
         return None
 
 
+def _one_intact(files: DataFrame, check: Callable[[DataFrame], list[str]]) -> str | None:
+    """A file of (path, ...) whose footer is intact, looked for in growing lots in the order of their paths; None if there is none."""
+    seen, lot = 0, 1
+    while True:
+        part = files.orderBy("path").offset(seen).limit(lot)
+        found = check(digests.group_ranges(part, None))
+        if found:
+            return min(found)
+        if part.count() < lot:
+            return None
+        seen, lot = seen + lot, min(2 * lot, PINNED_SHARDS)
+
+
 def read_verified(spark: SparkSession, root: str, name: str, within: dict[str, tuple], trusted: DataFrame | None = None) -> DataFrame:
     """Committed rows with each named column in its closed interval, without those of files that are not as they were sealed.
 
@@ -225,22 +238,30 @@ def read_verified(spark: SparkSession, root: str, name: str, within: dict[str, t
     stored tree to its root, or to ``trusted`` (path relative to the artifact, digest) kept elsewhere; nothing is decoded before
     that, and nothing else of the release is read. Files without a tree count as damaged. The check runs when this is
     called, and the files it found intact are read by name: at most ``PINNED_SHARDS``, otherwise ask for less at a time.
+    The schema is that of an intact file too, where none holds such rows of one with an intact footer; without any, an error.
     """
     nodes = trees(spark, root, name)
     if nodes is None:
         raise ValueError(f"{name} has not been sealed")
     files = visible_files(spark, root, name)
     whole = lambda df: df.withColumnRenamed("path", "file").join(files.select("file", "path"), "file").drop("file")
-    checked = digests.check_ranges(whole(nodes), digests.group_ranges(files, within), whole(trusted) if trusted is not None else None)
-    fine = checked.groupBy("path").agg(F.bool_and("intact").alias("_fine")).where("_fine")
-    intact = [r.path for r in fine.limit(PINNED_SHARDS + 1).collect()]
+
+    def check(ranges: DataFrame) -> list[str]:
+        checked = digests.check_ranges(whole(nodes), ranges, whole(trusted) if trusted is not None else None)
+        fine = checked.groupBy("path").agg(F.bool_and("intact").alias("_fine")).where("_fine")
+        return [r.path for r in fine.limit(PINNED_SHARDS + 1).collect()]
+
+    intact = check(digests.group_ranges(files, within))
     if len(intact) > PINNED_SHARDS:
         raise ValueError("too many files for one verified read")
-    rows = read_published(spark, root, name)
+    shown = intact or [_one_intact(files, check)]
+    if shown == [None]:
+        raise ValueError(f"no file of {name} is as it was sealed")
+    # The files that were checked are the files that are read.
+    rows = _stored(spark, root, name, *shown)
+    rows = rows.select("shard_id", *[c for c in rows.columns if c not in ("run_id", "shard_id")])
     if not intact:
         return rows.limit(0)
-    # The files that were checked are the files that are read.
-    rows = spark.read.schema(rows.schema).option("basePath", f"{root}/{name}").parquet(*intact).select(rows.columns)
     for column, (low, high) in within.items():
         rows = rows.where(F.col(column).between(low, high))
     return rows

@@ -111,3 +111,26 @@ def test_sealed_release(spark, tmp_path):
         file.write_bytes(data)
         assert {r for r, _ in read()} == {"a1", "b1"}
     assert read("a2", "a2") == []
+
+
+def test_no_damaged_file_gives_the_schema(spark, tmp_path):
+    root = str(tmp_path / "release")
+    release.publish(root, tables(spark, {"00000", "00001"}))
+    release.seal(spark, root, "signal_epochs")
+    read = lambda low="a", high="z": {r.recording_id for r in release.read_verified(spark, root, "signal_epochs", {"recording_id": (low, high)}).collect()}
+    owned = {r.shard_id: r.recording_id for r in release.read_published(spark, root, "signal_epochs").select("shard_id", "recording_id").distinct().collect()}
+    # Spark takes the schema from the first file: each is damaged in its turn.
+    files = sorted((tmp_path / "release" / "signal_epochs").glob("run_id=*/shard_id=*/*.parquet"))
+    shards = [f.parent.name.removeprefix("shard_id=") for f in files]
+    assert len(set(shards)) == len(shards) == 2
+    for file, shard in zip(files, shards):
+        whole = file.read_bytes()
+        file.write_bytes(whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:])
+        assert owned[shard] not in read() and read()
+        assert read(owned[shard], owned[shard]) == set() == read("zz", "zzz")
+        file.write_bytes(whole)
+    assert set(owned.values()) <= read()
+    for file in files:
+        file.write_bytes(file.read_bytes()[:-6] + b"\0" * 6)
+    with pytest.raises(ValueError, match="sealed"):
+        read()
