@@ -98,8 +98,6 @@ class Scanner:
 
 
 _ATTRIBUTE = r"""([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?"""
-#: Without one of these no attribute says anything.
-_SAYING = r"(?i:class|id|role|hidden|style|itemprop)"
 
 
 def part_of(tag: str, attributes: str) -> int | None:
@@ -110,7 +108,9 @@ def part_of(tag: str, attributes: str) -> int | None:
     if tag in DROPPED:
         return BOILER
     level = ARTICLE if tag in ("article", "main") else None
-    if attributes and re.search(_SAYING, attributes):
+    named = attributes.lower()
+    # Other attributes say nothing, and those of most links and images are not worth the parse.
+    if "role" in named or "hidden" in named or "style" in named or "itemprop" in named or tag not in INLINE and ("class" in named or "id" in named):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in re.finditer(_ATTRIBUTE, attributes)}
         role = found.get("role", "").lower()
         if role in DROPPED_ROLES or "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -64,3 +65,18 @@ def test_kept_spellings_change_no_page(monkeypatch):
         assert (pages.blocks(html, kept, got), got) == (pages.blocks(html, pages.Scanner(), want), want), html
         assert pages.blocks(html, kept) == pages.blocks(html), html
     assert 0 < len(kept.kept) <= 20
+
+
+@pytest.mark.parametrize("tag, attributes, part", [
+    ("a", ' class="ad" href="/x"', None), ("a", ' class="x" ROLE="navigation"', pages.BOILER), ("span", " class=x STYLE='display : none'", pages.BOILER),
+    ("b", " HIDDEN", pages.BOILER), ("span", " itemProp=articleBody", pages.MAIN), ("div", ' CLASS="ad"', pages.BOILER), ("div", ' width="3"', None),
+    ("section", " ID=story", pages.MAIN), ("p", " data-role=main", None)])
+def test_attributes_that_say_something(tag, attributes, part):
+    assert pages.part_of(tag, attributes) == part
+
+
+def test_links_and_images_are_not_parsed(monkeypatch):
+    parsed, finditer = [], re.finditer
+    monkeypatch.setattr(re, "finditer", lambda pattern, text: parsed.append(text) or finditer(pattern, text))
+    html = "".join(f'<p><a class="l{i}" href="/{i}" title="t">x</a><img class=ad src="/{i}.png">' for i in range(9))
+    assert pages.blocks(html) == [(pages.OPEN, "x")] * 9 and not parsed
