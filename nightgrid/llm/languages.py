@@ -21,7 +21,8 @@ ORDERS, BUCKETS, WIDTH = 4, 1 << 16, 16
 REJECT_SHARE, REJECT_MARGIN = 0.0005, 0.6
 UNKNOWN = "und"
 #: Bytes of text read together, for each column of the table: their distinct pieces are held with a row each. And pieces looked up at a time.
-GROUP_BYTES, PIECES = 64 << 20, 4096
+GROUP_BYTES, PIECES = 128 << 20, 4096
+MARKS = """.,;:!?'"()"""
 
 
 def code_points(text: str):
@@ -121,12 +122,12 @@ class LanguageModel:
         """For each text the sum of its subwords' rows.
 
         White space ends every subword, so that sum is the sum over the pieces between white space, and a piece
-        that occurs often is read once.
+        that occurs often is read once. Capital letters and marks around a piece make no other subwords.
         """
         import numpy as np
 
-        split = pc.ascii_split_whitespace(texts)
-        pieces = split.flatten().dictionary_encode()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        pieces = pc.ascii_trim(split.flatten(), MARKS).dictionary_encode()
         distinct, numbers, edges = pieces.dictionary, pieces.indices.to_numpy(), split.offsets.to_numpy()
         sums = np.zeros((len(distinct), self.rows.shape[1]))
         for at in range(0, len(distinct), PIECES):
