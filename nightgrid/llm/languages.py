@@ -21,7 +21,7 @@ ORDERS, BUCKETS, WIDTH = 4, 1 << 16, 16
 REJECT_SHARE, REJECT_MARGIN = 0.0005, 0.6
 UNKNOWN = "und"
 #: Bytes of text read together, for each column of the table: their distinct pieces are held with a row each. And pieces looked up at a time.
-GROUP_BYTES, PIECES = 128 << 20, 4096
+GROUP_BYTES, PIECES = 48 << 20, 2048
 MARKS = """.,;:!?'"()"""
 
 
@@ -70,8 +70,8 @@ def joined(arrays: Iterator[pa.Array], size: int) -> Iterator[pa.Array]:
     for array in arrays:
         held.append(array)
         if sum(a.nbytes for a in held) >= size:
-            yield pa.concat_arrays(held)
-            held = []
+            together, held, array = pa.concat_arrays(held), [], None  # no second copy stays while the first is worked on
+            yield together
     if held:
         yield pa.concat_arrays(held)
 
@@ -129,6 +129,7 @@ class LanguageModel:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         pieces = pc.ascii_trim(split.flatten(), MARKS).dictionary_encode()
         distinct, numbers, edges = pieces.dictionary, pieces.indices.to_numpy(), split.offsets.to_numpy()
+        del split, pieces
         sums = np.zeros((len(distinct), self.rows.shape[1]))
         for at in range(0, len(distinct), PIECES):
             sums[at:at + PIECES] = self.line_sums("\n".join(distinct.slice(at, PIECES).to_numpy(zero_copy_only=False)))
